@@ -9,11 +9,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.functions.seeds import UINT32, hash_uint32, order_hash
-from tallyweave.operators.order import batch_slots, natural_levels, natural_position, shifts_below, with_position
+from tallyweave.operators.order import hash_position, natural_levels, natural_position, shifts_below, with_position
 
 # A source row that is drawn very often is copied, so that no join key of the
 # final lookup meets more than this many draws.
 DRAWS_PER_COPY = 64
+REPEATS_PER_STEP = 1024
+_SECOND = "second"
 
 
 def mix_normalize(spec: DataFrame, weight: str = "p", name: str = "share") -> DataFrame:
@@ -47,17 +49,33 @@ def _by_source(values: Mapping[str, int]) -> Column:
     return expr.cast("bigint")
 
 
-def fetch_rows(draws: DataFrame, indexed: DataFrame, repeats: Mapping[str, int]) -> DataFrame:
-    """Join draws ``(source, idx, pass)`` to source rows ``(source, idx)``.
+def repeat_rows(df: DataFrame, times: int, name: str) -> DataFrame:
+    """Every row ``times`` times, numbered by ``name`` from 0.
+
+    Many repeats of few rows are made in two steps with a shuffle between them, so
+    one task never has to emit all copies of its rows.
+    """
+    if times <= REPEATS_PER_STEP:
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint"))))
+    outer = math.isqrt(times - 1) + 1
+    inner = math.ceil(times / outer)
+    coarse = df.withColumn("__outer", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(outer - 1).cast("bigint"))))
+    fine = coarse.repartition("__outer").withColumn(
+        name,
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(inner - 1).cast("bigint"))) + F.col("__outer") * inner,
+    )
+    return fine.where(F.col(name) < times).drop("__outer")
+
+
+def fetch_rows(draws: DataFrame, indexed: Mapping[str, DataFrame], repeats: Mapping[str, int]) -> DataFrame:
+    """Join draws ``(source, idx, pass)`` to the rows ``idx`` of each source.
 
     ``repeats`` bounds how often a row of each source is drawn. A short source in a
     long mix is drawn over and over; its rows are copied ``repeats / DRAWS_PER_COPY``
     times and the draws spread over the copies, so the join has no hot key.
     """
     copies = {s: max(1, math.ceil(r / DRAWS_PER_COPY)) for s, r in repeats.items()}
-    spread = indexed.withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), _by_source(copies) - 1))
-    )
+    spread = tag_sources({s: repeat_rows(df, copies[s], "__copy") for s, df in indexed.items()})
     keyed = draws.withColumn("__copy", F.col("pass") % _by_source(copies))
     return keyed.join(spread, ["source", "idx", "__copy"]).drop("__copy")
 
@@ -93,7 +111,7 @@ def _last_slot(spark, slots: int, weights, seed, sizes) -> int | None:
     coarse = F.shiftright("leaf", 17)
     counts = plan.groupBy("source", coarse.alias("top"), "leaf").agg(F.count(F.lit(1)).alias("n"))
     tops = counts.groupBy("source", "top").agg(F.sum("n").alias("n"))
-    ahead = Window.orderBy("top").partitionBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("source").orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("source", "top", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("top_off"))
     inside = Window.partitionBy("source", "top").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
     crossing = (
@@ -119,8 +137,10 @@ def _last_slot(spark, slots: int, weights, seed, sizes) -> int | None:
     return last.first()[0]
 
 
-def mix_draws(spark, sizes: Mapping[str, int], weights: Mapping[str, float], seed: int | str) -> DataFrame:
-    """``(slot, source, idx, pass)`` until every source was used up once."""
+def mix_draws(
+    spark, sizes: Mapping[str, int], weights: Mapping[str, float], seed: int | str
+) -> tuple[DataFrame, int]:
+    """``(slot, source, idx, pass)`` until every source was used up once, and their number."""
     bad = [s for s, w in weights.items() if not w > 0]
     if bad:
         raise ValueError(f"weights must be positive, a source without weight is never used up: {bad}")
@@ -133,9 +153,21 @@ def mix_draws(spark, sizes: Mapping[str, int], weights: Mapping[str, float], see
         plan, natural_levels(F.col("slot"), shifts_below(last + 1)), [F.col("slot")], "rank", ["source"]
     )
     n = _by_source(sizes)
-    return ranked.select(
+    draws = ranked.select(
         "slot", "source", (F.col("rank") % n).alias("idx"), F.floor(F.col("rank") / n).cast("bigint").alias("pass")
     )
+    return draws, last + 1
+
+
+def _repeats(sizes: Mapping[str, int], weights: Mapping[str, float], slots: int) -> dict[str, int]:
+    """About how often a row of each source is drawn; sets the number of copies."""
+    total = float(sum(weights.values()))
+    return {s: math.ceil(slots * w / total / sizes[s]) for s, w in weights.items()}
+
+
+def _check(sources: Mapping[str, DataFrame], weights: Mapping[str, float]) -> None:
+    if set(sources) != set(weights):
+        raise ValueError("sources and weights must name the same datasets")
 
 
 def mix_weighted(
@@ -145,46 +177,94 @@ def mix_weighted(
 
     ``key`` is a unique integer key inside each source and gives its row order.
     """
-    if set(sources) != set(weights):
-        raise ValueError("sources and weights must name the same datasets")
-    tagged = tag_sources(sources)
-    spark = tagged.sparkSession
+    _check(sources, weights)
+    tagged = tag_sources({s: df.select(key) for s, df in sources.items()})
     sizes = source_sizes(tagged, list(weights))
-    draws = mix_draws(spark, sizes, weights, seed)
-    indexed = natural_position(tagged, key, "idx", ["source"])
-    # Upper bound of the draws per row: all slots of the plan over the source size.
-    total = float(sum(weights.values()))
-    longest = 2 * max(sizes[s] * total / w for s, w in weights.items()) + 1000
-    repeats = {s: math.ceil(longest * weights[s] / total / sizes[s]) for s in weights}
-    return fetch_rows(draws, indexed, repeats)
+    draws, slots = mix_draws(tagged.sparkSession, sizes, weights, seed)
+    indexed = {s: natural_position(df, key, "idx") for s, df in sources.items()}
+    return fetch_rows(draws, indexed, _repeats(sizes, weights, slots))
+
+
+def _places(df: DataFrame, turn: int, sources: int, size: int, longest: int, idx: str) -> DataFrame:
+    """Output places of a numbered source in a round robin: row ``idx`` of the source
+    with turn ``j`` of ``k`` comes at ``k * (idx + round * size) + j``. Plain
+    arithmetic, no join."""
+    at = F.col(idx) + F.col("round") * F.lit(size)
+    repeated = repeat_rows(df, math.ceil(longest / size), "round")
+    return repeated.where(at < longest).withColumn("pos", at * sources + turn)
 
 
 def interleave_round_robin(sources: Mapping[str, DataFrame], key: str) -> DataFrame:
-    """Alternate the sources row by row until the longest one ends; short ones restart."""
-    tagged = tag_sources(sources)
-    sizes = source_sizes(tagged, list(sources))
-    names = list(sources)
+    """Alternate the sources row by row until the longest one ends; short ones restart.
+
+    The rows of a source are ordered by their unique integer ``key``.
+    """
+    sizes = source_sizes(tag_sources({s: df.select(key) for s, df in sources.items()}), list(sources))
     longest = max(sizes.values())
-    turn = F.floor(F.col("id") / len(names)).cast("bigint")
-    source = F.element_at(F.array(*[F.lit(s) for s in names]), (F.col("id") % len(names) + 1).cast("int"))
-    plan = tagged.sparkSession.range(longest * len(names)).select(
-        F.col("id").alias("pos"), source.alias("source"), turn.alias("turn")
+    return tag_sources(
+        {
+            s: _places(natural_position(df, key, "idx"), j, len(sources), sizes[s], longest, "idx").drop("round")
+            for j, (s, df) in enumerate(sources.items())
+        }
     )
-    n = _by_source(sizes)
-    draws = plan.select(
-        "pos", "source", (F.col("turn") % n).alias("idx"), F.floor(F.col("turn") / n).cast("bigint").alias("pass")
+
+
+def build_mixture(
+    sources: Mapping[str, DataFrame],
+    weights: Mapping[str, float],
+    second: DataFrame,
+    key: str,
+    seed: int | str,
+) -> DataFrame:
+    """Weighted mix, shuffled, alternating with a second, shuffled set.
+
+    Everything is planned on narrow index rows (slot, source, row number); the
+    source rows are joined once, at the end. Gives ``pos, part, origin`` and the
+    columns of the rows.
+    """
+    _check(sources, weights)
+    tagged = tag_sources({**{s: df.select(key) for s, df in sources.items()}, _SECOND: second.select(key)})
+    sizes = source_sizes(tagged, [*weights, _SECOND])
+    rest_size = sizes.pop(_SECOND)
+    draws, slots = mix_draws(second.sparkSession, sizes, weights, seed)
+    longest = max(slots, rest_size)
+
+    shuffled = hash_position(draws, ["slot"], seed, "at")
+    plan = _places(shuffled, 0, 2, slots, longest, "at").select(
+        "pos", "source", "idx", (F.col("pass") + F.col("round")).alias("pass")
+    )
+    rounds = math.ceil(longest / slots)
+    repeats = {s: r * rounds for s, r in _repeats(sizes, weights, slots).items()}
+    indexed = {s: natural_position(df, key, "idx") for s, df in sources.items()}
+    mixed = fetch_rows(plan, indexed, repeats).drop("idx", "pass").withColumnRenamed("source", "origin")
+
+    rest = _places(hash_position(second, [key], seed, "at"), 1, 2, rest_size, longest, "at").drop("round", "at")
+    return mixed.withColumn("part", F.lit("mixture")).unionByName(
+        rest.withColumn("origin", F.lit(_SECOND)).withColumn("part", F.lit(_SECOND))
     )
-    repeats = {s: math.ceil(longest / sizes[s]) for s in names}
-    return fetch_rows(draws, natural_position(tagged, key, "idx", ["source"]), repeats)
 
 
 def batch_plan(numbered: DataFrame, batch: int, accumulate: int, max_steps: int, pos: str = "pos") -> DataFrame:
-    """Training manifest with its rows; the rows cycle when the steps outlast them."""
+    """Training manifest with its rows; the rows cycle when the steps outlast them.
+
+    Row ``pos`` fills the slots ``pos + pass * rows``, so no join is needed.
+    """
     rows = numbered.count()
     if rows == 0:
         raise ValueError("no rows to train on")
-    slots = batch_slots(numbered.sparkSession, batch, accumulate, max_steps, rows)
-    draws = slots.withColumn("source", F.lit("")).withColumnRenamed("pos", "idx")
-    indexed = numbered.withColumn("source", F.lit("")).withColumnRenamed(pos, "idx")
-    repeats = {"": math.ceil(batch * accumulate * max_steps / rows)}
-    return fetch_rows(draws, indexed, repeats).drop("source").withColumnRenamed("idx", pos)
+    per_step = batch * accumulate
+    total = per_step * max_steps
+    slot = F.col("slot_id")
+    return (
+        repeat_rows(numbered, max(1, math.ceil(total / rows)), "pass")
+        .withColumn("slot_id", F.col(pos) + F.col("pass") * F.lit(rows))
+        .where(slot < total)
+        .select(
+            "slot_id",
+            F.floor(slot / per_step).cast("bigint").alias("step"),
+            F.floor((slot % per_step) / batch).cast("bigint").alias("micro"),
+            (slot % batch).alias("slot"),
+            "pass",
+            *[c for c in numbered.columns],
+        )
+    )

@@ -165,20 +165,6 @@ def oversample(
     )
 
 
-def batch_slots(spark, batch: int, accumulate: int, max_steps: int, rows: int) -> DataFrame:
-    """Training manifest: every slot of every step, and the row it reads (cycling)."""
-    per_step = batch * accumulate
-    slot = F.col("id")
-    return spark.range(per_step * max_steps).select(
-        slot.alias("slot_id"),
-        F.floor(slot / per_step).cast("bigint").alias("step"),
-        F.floor((slot % per_step) / batch).cast("bigint").alias("micro"),
-        (slot % batch).alias("slot"),
-        (slot % rows).alias("pos"),
-        F.floor(slot / rows).cast("bigint").alias("pass"),
-    )
-
-
 def step_gate(
     df: DataFrame,
     start: int = 0,

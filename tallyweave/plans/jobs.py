@@ -40,15 +40,8 @@ def job_build_mixture(
     key: str,
     seed: int | str,
 ) -> DataFrame:
-    """Weighted mix -> seeded shuffle -> alternate with a second, shuffled set.
-
-    Gives ``pos, part, source, <key>`` and the row columns of both sets.
-    """
-    mixed = mix.mix_weighted(sources, weights, key, seed).drop("idx", "pass")
-    first = order.seeded_shuffle(mixed, ["slot"], seed, "at").drop("slot").withColumnRenamed("source", "origin")
-    other = order.seeded_shuffle(second, [key], seed, "at").withColumn("origin", F.lit("second"))
-    both = mix.interleave_round_robin({"mixture": first, "second": other}, "at")
-    return both.withColumnRenamed("source", "part").drop("idx", "pass", "at")
+    """Weighted mix -> seeded shuffle -> alternate with a second, shuffled set."""
+    return mix.build_mixture(sources, weights, second, key, seed)
 
 
 def job_prompt_set(
