@@ -9,13 +9,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.functions.seeds import UINT32, hash_uint32, order_hash
-from tallyweave.operators.order import hash_position, natural_levels, natural_position, shifts_below, with_position
+from tallyweave.operators.order import KEY_SHIFTS, hash_position, natural_levels, natural_position, shifts_below, with_position
 
 # A source row that is drawn very often is copied, so that no join key of the
 # final lookup meets more than this many draws.
 DRAWS_PER_COPY = 64
 REPEATS_PER_STEP = 1024
-_SECOND = "second"
+_FIRST, _SECOND = "mixture", "second"
 
 
 def mix_normalize(spec: DataFrame, weight: str = "p", name: str = "share") -> DataFrame:
@@ -29,14 +29,22 @@ def tag_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def source_sizes(tagged: DataFrame, names: list[str]) -> dict[str, int]:
-    """Row count per source: one driver row per entry of the spec."""
-    rows = tagged.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()
+def source_sizes(tagged: DataFrame, names: list[str], key: str) -> tuple[dict[str, int], list[int]]:
+    """Row count per source, and the position levels that its integer keys need.
+
+    One driver row per entry of the spec; only the key column is read.
+    """
+    rows = (
+        tagged.groupBy("source")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+        .collect()
+    )
     sizes = {r["source"]: r["n"] for r in rows}
     empty = [s for s in names if not sizes.get(s)]
     if empty:
         raise ValueError(f"sources without rows: {empty}")
-    return sizes
+    small = min(r["low"] for r in rows) >= 0
+    return sizes, shifts_below(max(r["high"] for r in rows) + 1) if small else list(KEY_SHIFTS)
 
 
 def _by_source(values: Mapping[str, int]) -> Column:
@@ -49,34 +57,40 @@ def _by_source(values: Mapping[str, int]) -> Column:
     return expr.cast("bigint")
 
 
-def repeat_rows(df: DataFrame, times: int, name: str) -> DataFrame:
-    """Every row ``times`` times, numbered by ``name`` from 0.
+def _upto(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
+
+
+def repeat_rows(df: DataFrame, most: int, name: str, times: Column | None = None) -> DataFrame:
+    """Every row ``times`` (default ``most``, which bounds it) times, numbered by ``name`` from 0.
 
     Many repeats of few rows are made in two steps with a shuffle between them, so
     one task never has to emit all copies of its rows.
     """
-    if times <= REPEATS_PER_STEP:
-        return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint"))))
-    outer = math.isqrt(times - 1) + 1
-    inner = math.ceil(times / outer)
-    coarse = df.withColumn("__outer", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(outer - 1).cast("bigint"))))
-    fine = coarse.repartition("__outer").withColumn(
-        name,
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(inner - 1).cast("bigint"))) + F.col("__outer") * inner,
+    times = F.lit(most) if times is None else times
+    if most <= REPEATS_PER_STEP:
+        return df.withColumn(name, _upto(times))
+    inner = math.isqrt(most - 1) + 1
+    coarse = df.withColumn("__outer", _upto(F.ceil(times / inner)))
+    fine = coarse.repartition("__outer").withColumn("__inner", _upto(F.lit(inner)))
+    return (
+        fine.withColumn(name, F.col("__outer") * inner + F.col("__inner"))
+        .where(F.col(name) < times)
+        .drop("__outer", "__inner")
     )
-    return fine.where(F.col(name) < times).drop("__outer")
 
 
-def fetch_rows(draws: DataFrame, indexed: Mapping[str, DataFrame], repeats: Mapping[str, int]) -> DataFrame:
-    """Join draws ``(source, idx, pass)`` to the rows ``idx`` of each source.
+def fetch_rows(draws: DataFrame, indexed: DataFrame, repeats: Mapping[str, int]) -> DataFrame:
+    """Join draws ``(source, idx, pass)`` to source rows ``(source, idx)``.
 
-    ``repeats`` bounds how often a row of each source is drawn. A short source in a
-    long mix is drawn over and over; its rows are copied ``repeats / DRAWS_PER_COPY``
+    ``repeats`` says about how often a row of each source is drawn. A short source in
+    a long mix is drawn over and over; its rows are copied ``repeats / DRAWS_PER_COPY``
     times and the draws spread over the copies, so the join has no hot key.
     """
     copies = {s: max(1, math.ceil(r / DRAWS_PER_COPY)) for s, r in repeats.items()}
-    spread = tag_sources({s: repeat_rows(df, copies[s], "__copy") for s, df in indexed.items()})
-    keyed = draws.withColumn("__copy", F.col("pass") % _by_source(copies))
+    wanted = _by_source(copies)
+    spread = repeat_rows(indexed, max(copies.values()), "__copy", wanted)
+    keyed = draws.withColumn("__copy", F.col("pass") % wanted)
     return keyed.join(spread, ["source", "idx", "__copy"]).drop("__copy")
 
 
@@ -178,19 +192,22 @@ def mix_weighted(
     ``key`` is a unique integer key inside each source and gives its row order.
     """
     _check(sources, weights)
-    tagged = tag_sources({s: df.select(key) for s, df in sources.items()})
-    sizes = source_sizes(tagged, list(weights))
+    tagged = tag_sources(sources)
+    sizes, levels = source_sizes(tagged, list(weights), key)
     draws, slots = mix_draws(tagged.sparkSession, sizes, weights, seed)
-    indexed = {s: natural_position(df, key, "idx") for s, df in sources.items()}
+    indexed = natural_position(tagged, key, "idx", ["source"], levels)
     return fetch_rows(draws, indexed, _repeats(sizes, weights, slots))
 
 
-def _places(df: DataFrame, turn: int, sources: int, size: int, longest: int, idx: str) -> DataFrame:
-    """Output places of a numbered source in a round robin: row ``idx`` of the source
+def _places(
+    df: DataFrame, turn: Column, sources: int, sizes: Mapping[str, int], longest: int, idx: str
+) -> DataFrame:
+    """Output places of numbered sources in a round robin: row ``idx`` of the source
     with turn ``j`` of ``k`` comes at ``k * (idx + round * size) + j``. Plain
     arithmetic, no join."""
-    at = F.col(idx) + F.col("round") * F.lit(size)
-    repeated = repeat_rows(df, math.ceil(longest / size), "round")
+    rounds = {s: math.ceil(longest / n) for s, n in sizes.items()}
+    at = F.col(idx) + F.col("round") * _by_source(sizes)
+    repeated = repeat_rows(df, max(rounds.values()), "round", _by_source(rounds))
     return repeated.where(at < longest).withColumn("pos", at * sources + turn)
 
 
@@ -199,14 +216,12 @@ def interleave_round_robin(sources: Mapping[str, DataFrame], key: str) -> DataFr
 
     The rows of a source are ordered by their unique integer ``key``.
     """
-    sizes = source_sizes(tag_sources({s: df.select(key) for s, df in sources.items()}), list(sources))
+    tagged = tag_sources(sources)
+    sizes, levels = source_sizes(tagged, list(sources), key)
     longest = max(sizes.values())
-    return tag_sources(
-        {
-            s: _places(natural_position(df, key, "idx"), j, len(sources), sizes[s], longest, "idx").drop("round")
-            for j, (s, df) in enumerate(sources.items())
-        }
-    )
+    numbered = natural_position(tagged, key, "idx", ["source"], levels)
+    turns = _by_source({s: j for j, s in enumerate(sources)})
+    return _places(numbered, turns, len(sources), sizes, longest, "idx").drop("round")
 
 
 def build_mixture(
@@ -223,24 +238,28 @@ def build_mixture(
     columns of the rows.
     """
     _check(sources, weights)
-    tagged = tag_sources({**{s: df.select(key) for s, df in sources.items()}, _SECOND: second.select(key)})
-    sizes = source_sizes(tagged, [*weights, _SECOND])
-    rest_size = sizes.pop(_SECOND)
+    tagged = tag_sources(sources)
+    sizes, levels = source_sizes(tagged, list(weights), key)
     draws, slots = mix_draws(second.sparkSession, sizes, weights, seed)
+    rest_size = second.count()
+    if rest_size == 0:
+        raise ValueError("the second set has no rows")
     longest = max(slots, rest_size)
 
-    shuffled = hash_position(draws, ["slot"], seed, "at")
-    plan = _places(shuffled, 0, 2, slots, longest, "at").select(
-        "pos", "source", "idx", (F.col("pass") + F.col("round")).alias("pass")
+    shuffled = hash_position(draws, ["slot"], seed, "at").withColumnsRenamed({"source": "origin"})
+    shuffled = shuffled.withColumn("source", F.lit(_FIRST))
+    plan = _places(shuffled, F.lit(0), 2, {_FIRST: slots}, longest, "at").select(
+        "pos", F.col("origin").alias("source"), "idx", (F.col("pass") + F.col("round")).alias("pass")
     )
     rounds = math.ceil(longest / slots)
     repeats = {s: r * rounds for s, r in _repeats(sizes, weights, slots).items()}
-    indexed = {s: natural_position(df, key, "idx") for s, df in sources.items()}
+    indexed = natural_position(tagged, key, "idx", ["source"], levels)
     mixed = fetch_rows(plan, indexed, repeats).drop("idx", "pass").withColumnRenamed("source", "origin")
 
-    rest = _places(hash_position(second, [key], seed, "at"), 1, 2, rest_size, longest, "at").drop("round", "at")
-    return mixed.withColumn("part", F.lit("mixture")).unionByName(
-        rest.withColumn("origin", F.lit(_SECOND)).withColumn("part", F.lit(_SECOND))
+    rest = hash_position(second, [key], seed, "at").withColumn("source", F.lit(_SECOND))
+    rest = _places(rest, F.lit(1), 2, {_SECOND: rest_size}, longest, "at").drop("round", "at")
+    return mixed.withColumn("part", F.lit(_FIRST)).unionByName(
+        rest.withColumnRenamed("source", "part").withColumn("origin", F.lit(_SECOND))
     )
 
 

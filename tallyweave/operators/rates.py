@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions import judging, text
+from tallyweave.sources.scratch import materialise
 
 BASELINE = "original"
 MAX_TYPES = 10_000
@@ -38,23 +39,25 @@ def baseline_fanout(parsed: DataFrame, max_types: int = MAX_TYPES) -> DataFrame:
     """Give every dataset type its own copy of the baseline rows as checkpoint 0.
 
     The type list is one array value from a scalar subquery; the plan stops with an
-    error if it ever outgrows ``max_types``. For rates use ``fanout_sums``: it
-    copies one summed row instead of all baseline rows.
+    error if it ever outgrows ``max_types``. The rows are read once: a baseline row
+    explodes into all types, any other into its own. For rates use ``fanout_sums``:
+    it copies one summed row instead of all baseline rows.
     """
     types = (
-        drop_baseline(parsed).select("dataset_type").distinct().agg(F.collect_list("dataset_type").alias("t"))
+        distinct_types(drop_baseline(parsed))
+        .agg(F.collect_list("dataset_type").alias("t"))
         .select(
             F.when(F.size("t") > max_types, F.raise_error(F.lit(f"more than {max_types} dataset types")))
             .otherwise(F.col("t"))
         )
     ).scalar()
-    copies = (
-        parsed.where(F.col("dataset_type") == BASELINE)
-        .drop("dataset_type", "ckpt")
-        .withColumn("dataset_type", F.explode(types))
-        .withColumn("ckpt", F.lit(0).cast("bigint"))
+    is_base = F.col("dataset_type") == BASELINE
+    others = [c for c in parsed.columns if c not in ("dataset_type", "ckpt")]
+    return parsed.select(
+        *others,
+        F.when(is_base, F.lit(0)).otherwise(F.col("ckpt")).cast("bigint").alias("ckpt"),
+        F.explode(F.when(is_base, types).otherwise(F.array("dataset_type"))).alias("dataset_type"),
     )
-    return drop_baseline(parsed).unionByName(copies)
 
 
 def _sums(flags: Mapping[str, Column]) -> list[Column]:
@@ -69,10 +72,11 @@ def fanout_sums(parsed: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
     """Sums and counts per (type, ckpt), the baseline added to every type at 0.
 
     Aggregates first (combined on the map side), then fans out the few sums; a
-    baseline with a third of all rows is read once and never copied.
+    baseline with a third of all rows is read once and never copied. The sums are
+    written, since the fan-out reads them more than once.
     """
     sums = parsed.groupBy("dataset_type", "ckpt").agg(*_sums(flags), F.count(F.lit(1)).alias("n"))
-    fanned = baseline_fanout(sums)
+    fanned = baseline_fanout(materialise(sums, "sums"))
     names = [c for c in fanned.columns if c not in ("dataset_type", "ckpt")]
     return fanned.groupBy("dataset_type", "ckpt").agg(*[F.sum(c).alias(c) for c in names])
 

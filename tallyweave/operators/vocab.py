@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.operators.order import with_position
 
-# A token table is broadcast up to this many rows of bounded tokens (< 64 MB);
-# beyond it only its most frequent part is.
+# A token table is broadcast up to this many rows and token bytes; beyond it only
+# its most frequent part is, and only tokens of a bounded length.
 HEAD_ROWS = 400_000
-HEAD_TOKEN_BYTES = 64
+HEAD_BYTES = 32 << 20
+HEAD_TOKEN_BYTES = HEAD_BYTES // HEAD_ROWS
+ID_BITS = 35
 
 
 def token_rows(df: DataFrame, tokens: Column, *keys: str, pos: str = "pos") -> DataFrame:
@@ -64,9 +66,9 @@ def lookup_tokens(
     """
     size = table.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.octet_length("token") > HEAD_TOKEN_BYTES).alias("long"),
+        F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes"),
     ).first()
-    if size["n"] <= head_rows and size["long"] == 0:
+    if size["n"] <= head_rows and size["bytes"] <= HEAD_BYTES:
         return reduce(occurrences.join(F.broadcast(table), "token"))
 
     # Count above which at most ``head_rows`` tokens remain: no sort of the table.
@@ -98,11 +100,12 @@ def token_ids(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head_ro
 
     Ids are looked up per token and gathered per row again. A row's tokens start in
     one task, so its list is put together before the shuffle; what moves is one
-    list of (position, id) per row and branch.
+    list of numbers per row and branch, with the position in the high bits and the
+    id in the low 35 (a row holds far fewer than 2^28 tokens).
     """
-    entries = F.collect_list(F.struct("pos", "id")).alias("__ids")
+    entries = F.collect_list(F.shiftleft(F.col("pos").cast("bigint"), ID_BITS).bitwiseOR(F.col("id"))).alias("__ids")
     parts = lookup_tokens(
         token_rows(df, tokens, key), vocab.select("token", "cnt", "id"), lambda found: found.groupBy(key).agg(entries), head_rows
     )
     merged = parts.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("__ids"))).alias("__ids"))
-    return merged.select(key, F.transform("__ids", lambda e: e["id"]).alias("input_ids"))
+    return merged.select(key, F.transform("__ids", lambda e: e.bitwiseAND((1 << ID_BITS) - 1)).alias("input_ids"))

@@ -8,7 +8,6 @@ from tallyweave.functions import judging as jf, text as tx, tokens as tk, vector
 from tallyweave.operators import divergence, losses, rates, vocab
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
-from tallyweave.plans.catalog.token_lists import corpus_vocabulary
 from tallyweave.sources.readers import read_table
 from tallyweave.sources.scratch import materialise
 
@@ -156,7 +155,8 @@ def distinct_types(spark, sf):
 
 def _losses(spark, sf):
     tokens = tk.tokenize_text(F.col("text"))
-    table = corpus_vocabulary(spark, sf).select("token", "cnt", "nll")
+    counts = materialise(vocab.token_counts(fx.corpus(spark, sf), tokens), "counts")
+    table = vocab.with_nll(counts)
     rows = vocab.token_rows(fx.corpus(spark, sf), tokens, "doc_id")
     return losses.sequence_losses(rows, table, "doc_id", fx.PROMPT_LENGTH)
 

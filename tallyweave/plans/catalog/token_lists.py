@@ -17,8 +17,9 @@ def tokenize_text(spark, sf):
 
 
 def corpus_vocabulary(spark, sf):
-    """Vocabulary of the whole corpus, written once: later plans read the small table."""
-    counts = vocab.token_counts(fx.corpus(spark, sf), tk.tokenize_text(F.col("text")))
+    """Vocabulary of the whole corpus. The corpus is read once, for the counts; ids
+    and scores come from the written, small table."""
+    counts = materialise(vocab.token_counts(fx.corpus(spark, sf), tk.tokenize_text(F.col("text"))), "counts")
     return materialise(vocab.with_nll(vocab.vocabulary(counts)), "vocabulary")
 
 

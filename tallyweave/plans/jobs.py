@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyweave.functions import chat, judging, text, tokens as tk
 from tallyweave.functions.seeds import order_hash
 from tallyweave.operators import mix, order, rates, sft
+from tallyweave.sources.scratch import materialise
 
 
 def job_prepare_dataset(
@@ -23,12 +24,13 @@ def job_prepare_dataset(
 ) -> DataFrame:
     """Source -> messages -> filters -> token rows -> seeded position.
 
-    The shuffle moves messages; tokens are made behind it, and both filters run
-    in front of it, so it moves only rows that stay.
+    Both filters run first and the rows that stay are written once: numbering reads
+    its input twice, and tokenising a second time would cost more than the write.
+    The shuffle moves messages; the padded token rows are made behind it.
     """
     converted = sft.sft_convert(df, messages, min_response).select(*keys, "messages")
     fitting = converted.where(tk.at_most(tokenizer(chat.chat_render(F.col("messages"))), max_length))
-    placed = order.seeded_shuffle(fitting, keys, seed)
+    placed = order.seeded_shuffle(materialise(fitting, "fitting"), keys, seed)
     tokenized = sft.tokenize_chat(placed, max_length, no_filter=True, pad=pad, tokenizer=tokenizer)
     return sft.select_token_columns(sft.add_labels(tokenized), *keys, "pos")
 
