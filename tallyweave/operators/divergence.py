@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from tallyweave.functions.vectors import l2_distance
+from tallyweave.operators.lookup import lookup
+
+# Centre vectors that are broadcast at most (8,000 of 1,024 dimensions are 64 MB).
+CENTER_ROWS = 8_000
 
 
 def align_distributions(left: DataFrame, right: DataFrame, token: str = "token", count: str = "cnt") -> DataFrame:
@@ -30,63 +36,71 @@ def kl_divergence(counts: DataFrame, group: str, alpha: float = 1.0, temperature
     A token that a group lacks has one constant probability there, so its share
     of the sum has a closed form: nothing of size groups x vocabulary is built.
     """
+    if not (alpha > 0 and temperature > 0):
+        raise ValueError("alpha and temperature must be positive")
     inv_t = 1.0 / temperature
     anchor_counts = counts.groupBy("token").agg(F.sum("cnt").alias("a_cnt"))
     size = anchor_counts.agg(F.count(F.lit(1)).alias("v"), F.sum("a_cnt").alias("n"))
     vocab, total = size.select("v").scalar(), size.select("n").scalar()
 
-    def smooth(cnt, n):
-        return (cnt + F.lit(alpha)) / (n + F.lit(alpha) * vocab)
-
-    anchor = anchor_counts.select("token", F.pow(smooth(F.col("a_cnt"), total), F.lit(inv_t)).alias("pt"))
+    anchor = anchor_counts.select(
+        "token", F.pow((F.col("a_cnt") + alpha) / (total + F.lit(alpha) * vocab), F.lit(inv_t)).alias("pt")
+    )
     z_p = anchor.agg(F.sum("pt")).scalar()
     anchor = anchor.select("token", (F.col("pt") / z_p).alias("p"))
     self_term = anchor.agg(F.sum(F.col("p") * F.ln("p"))).scalar()
 
-    totals = counts.groupBy(group).agg(F.sum("cnt").alias("n_g"), F.count(F.lit(1)).alias("v_g"))
+    # ln q = ln(cnt + alpha) - ln(n_g + alpha * V): the group's total stays out of the
+    # rows, so one aggregation per group is enough and no group-sized join is needed.
+    ln_cnt = F.ln(F.col("cnt") + alpha)
     per_group = (
         counts.join(anchor, "token")
-        .join(totals, group)
-        .withColumn("ln_q", F.ln(smooth(F.col("cnt"), F.col("n_g"))))
         .groupBy(group)
         .agg(
-            F.first("n_g").alias("n_g"),
-            F.first("v_g").alias("v_g"),
+            F.sum("cnt").alias("n_g"),
+            F.count(F.lit(1)).alias("v_g"),
             F.sum("p").alias("p_seen"),
-            F.sum(F.col("p") * F.col("ln_q")).alias("p_ln_q"),
-            F.sum(F.exp(F.col("ln_q") * inv_t)).alias("z_seen"),
+            F.sum(F.col("p") * ln_cnt).alias("p_ln"),
+            F.sum(F.exp(ln_cnt * inv_t)).alias("z_seen"),
         )
     )
-    ln_q0 = F.ln(smooth(F.lit(0.0), F.col("n_g")))
-    z_q = F.col("z_seen") + (vocab - F.col("v_g")) * F.exp(ln_q0 * inv_t)
-    # sum p ln q' = (1/T) sum p ln q - ln Z over seen and unseen tokens.
-    cross = F.lit(inv_t) * (F.col("p_ln_q") + (F.lit(1.0) - F.col("p_seen")) * ln_q0) - F.ln(z_q)
+    ln_alpha = F.lit(math.log(alpha))
+    ln_norm = F.ln(F.col("n_g") + F.lit(alpha) * vocab)
+    p_ln_q = F.col("p_ln") + (F.lit(1.0) - F.col("p_seen")) * ln_alpha - ln_norm
+    ln_z = F.ln(F.col("z_seen") + (vocab - F.col("v_g")) * F.exp(ln_alpha * inv_t)) - ln_norm * inv_t
+    cross = F.lit(inv_t) * p_ln_q - ln_z
     return per_group.select(group, ((self_term - cross) * F.lit(temperature**2)).alias("kl"))
 
 
 def vector_means(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """Mean vector per group; dimension sums are combined on the map side."""
+    """Mean vector and size per group; dimension sums are combined on the map side."""
     means = (
         df.select(group, F.posexplode(vector).alias("dim", "x"))
         .groupBy(group, "dim")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
+        .agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
     )
     entries = F.sort_array(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy(group).agg(F.transform(entries, lambda e: e["x"]).alias("center"))
+    return means.groupBy(group).agg(
+        F.transform(entries, lambda e: e["x"]).alias("center"), F.max("n").alias("cnt")
+    )
 
 
 def vector_l2_drift(
-    df: DataFrame, group: str, key: str, vector: str, centers: DataFrame, copies: int = 16
+    df: DataFrame, group: str, vector: str, centers: DataFrame, head_rows: int = CENTER_ROWS
 ) -> DataFrame:
     """Mean L2 distance of each vector to its group's centre vector.
 
-    Centres are one row per group; they are copied ``copies`` times and the rows
-    spread over the copies, so a group with a third of all rows is split. (AQE
-    broadcasts the centres by their measured size when they are small.)
+    ``centers`` is the materialised result of ``vector_means``. The centres of the
+    largest groups are broadcast, so a group with a third of all rows is not shuffled.
     """
-    spread = centers.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    salted = df.withColumn("__copy", F.pmod(F.xxhash64(key), F.lit(copies)).cast("int"))
-    joined = salted.join(spread, [group, "__copy"])
-    return joined.groupBy(group).agg(
-        F.avg(l2_distance(F.col(vector), F.col("center"))).alias("drift"), F.count(F.lit(1)).alias("n")
+    distance = l2_distance(F.col(vector), F.col("center"))
+    parts = lookup(
+        df.select(group, vector),
+        centers,
+        group,
+        reduce=lambda found: found.groupBy(group).agg(
+            F.sum(distance).alias("__sum"), F.count(F.lit(1)).alias("n")
+        ),
+        head_rows=head_rows,
     )
+    return parts.groupBy(group).agg((F.sum("__sum") / F.sum("n")).alias("drift"), F.sum("n").alias("n"))

@@ -80,18 +80,23 @@ def repeat_rows(df: DataFrame, most: int, name: str, times: Column | None = None
     )
 
 
-def fetch_rows(draws: DataFrame, indexed: DataFrame, repeats: Mapping[str, int]) -> DataFrame:
-    """Join draws ``(source, idx, pass)`` to source rows ``(source, idx)``.
+def fetch_rows(
+    draws: DataFrame, tagged: DataFrame, key: str, levels: list[int], repeats: Mapping[str, int]
+) -> DataFrame:
+    """Join draws ``(source, idx, pass)`` to the ``idx``-th row of each source.
 
-    ``repeats`` says about how often a row of each source is drawn. A short source in
-    a long mix is drawn over and over; its rows are copied ``repeats / DRAWS_PER_COPY``
-    times and the draws spread over the copies, so the join has no hot key.
+    The rows are numbered by key alone, and the draws get their key from that narrow
+    table; the wide rows are shuffled once, for the last join. ``repeats`` says about
+    how often a row of each source is drawn. A short source in a long mix is drawn
+    over and over; its rows are copied ``repeats / DRAWS_PER_COPY`` times and the
+    draws spread over the copies, so neither join has a hot key.
     """
     copies = {s: max(1, math.ceil(r / DRAWS_PER_COPY)) for s, r in repeats.items()}
-    wanted = _by_source(copies)
-    spread = repeat_rows(indexed, max(copies.values()), "__copy", wanted)
+    wanted, most = _by_source(copies), max(copies.values())
+    numbered = natural_position(tagged.select("source", key), key, "idx", ["source"], levels)
     keyed = draws.withColumn("__copy", F.col("pass") % wanted)
-    return keyed.join(spread, ["source", "idx", "__copy"]).drop("__copy")
+    placed = keyed.join(repeat_rows(numbered, most, "__copy", wanted), ["source", "idx", "__copy"])
+    return placed.join(repeat_rows(tagged, most, "__copy", wanted), ["source", key, "__copy"]).drop("__copy")
 
 
 def _thresholds(weights: Mapping[str, float]) -> list[tuple[str, float]]:
@@ -195,8 +200,7 @@ def mix_weighted(
     tagged = tag_sources(sources)
     sizes, levels = source_sizes(tagged, list(weights), key)
     draws, slots = mix_draws(tagged.sparkSession, sizes, weights, seed)
-    indexed = natural_position(tagged, key, "idx", ["source"], levels)
-    return fetch_rows(draws, indexed, _repeats(sizes, weights, slots))
+    return fetch_rows(draws, tagged, key, levels, _repeats(sizes, weights, slots))
 
 
 def _places(
@@ -253,8 +257,7 @@ def build_mixture(
     )
     rounds = math.ceil(longest / slots)
     repeats = {s: r * rounds for s, r in _repeats(sizes, weights, slots).items()}
-    indexed = natural_position(tagged, key, "idx", ["source"], levels)
-    mixed = fetch_rows(plan, indexed, repeats).drop("idx", "pass").withColumnRenamed("source", "origin")
+    mixed = fetch_rows(plan, tagged, key, levels, repeats).drop("idx", "pass").withColumnRenamed("source", "origin")
 
     rest = hash_position(second, [key], seed, "at").withColumn("source", F.lit(_SECOND))
     rest = _places(rest, F.lit(1), 2, {_SECOND: rest_size}, longest, "at").drop("round", "at")

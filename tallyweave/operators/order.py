@@ -127,11 +127,15 @@ def skip_rows(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
     return df.where(F.col(pos) >= n).withColumn(pos, F.col(pos) - F.lit(n))
 
 
-def take_samples(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
-    """Exactly ``n`` rows by a total order; small ``n`` only, see ``take_positions``."""
-    if n > TAKE_SORT_LIMIT:
-        raise ValueError(f"n={n} is too many for one top-k task; number the rows and use take_positions")
-    return df.orderBy(*order).limit(n)
+def take_samples(df: DataFrame, n: int, order: Sequence[Column], skip: int = 0) -> DataFrame:
+    """Exactly ``n`` rows by a total order, after ``skip`` rows: a top-k, in one pass.
+
+    For small samples only; beyond ``TAKE_SORT_LIMIT`` use ``take_positions``.
+    """
+    if skip + n > TAKE_SORT_LIMIT:
+        raise ValueError(f"{skip + n} rows are too many for one top-k task; number the rows and use take_positions")
+    ordered = df.orderBy(*order)
+    return ordered.offset(skip).limit(n) if skip else ordered.limit(n)
 
 
 def take_positions(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyweave.operators.lookup import HEAD_ROWS, lookup
 from tallyweave.operators.order import with_position
 
-# A token table is broadcast up to this many rows and token bytes; beyond it only
-# its most frequent part is, and only tokens of a bounded length.
-HEAD_ROWS = 400_000
-HEAD_BYTES = 32 << 20
-HEAD_TOKEN_BYTES = HEAD_BYTES // HEAD_ROWS
 ID_BITS = 35
 
 
@@ -50,51 +44,6 @@ def with_nll(counts: DataFrame) -> DataFrame:
     return counts.withColumn("nll", -F.ln(F.col("cnt") / total))
 
 
-def lookup_tokens(
-    occurrences: DataFrame,
-    table: DataFrame,
-    reduce: Callable[[DataFrame], DataFrame] = lambda df: df,
-    head_rows: int = HEAD_ROWS,
-) -> DataFrame:
-    """Join token rows to a token table with columns ``token, cnt, ...``.
-
-    ``table`` should be materialised: its size is read here. If it is small it is
-    broadcast. If not, its most frequent tokens (a bounded number of bounded
-    strings) are, which serves nearly all rows without a shuffle; the rest, which
-    by then holds no frequent token, is joined by a shuffle. ``reduce`` shrinks
-    each branch before the two are put together.
-    """
-    size = table.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes"),
-    ).first()
-    if size["n"] <= head_rows and size["bytes"] <= HEAD_BYTES:
-        return reduce(occurrences.join(F.broadcast(table), "token"))
-
-    # Count above which at most ``head_rows`` tokens remain: no sort of the table.
-    short = F.octet_length("token") <= HEAD_TOKEN_BYTES
-    cut = _head_count(table.where(short), head_rows)
-    is_head = short & (F.col("cnt") > cut)
-    head = table.where(is_head)
-    common = reduce(occurrences.join(F.broadcast(head), "token"))
-    rest = occurrences.join(F.broadcast(head.select("token")), "token", "left_anti")
-    rare = reduce(rest.join(table.where(~is_head), "token"))
-    return common.unionByName(rare)
-
-
-def _head_count(table: DataFrame, head_rows: int) -> int:
-    """Smallest count ``c`` (by powers of two) with at most ``head_rows`` tokens above it."""
-    magnitude = F.floor(F.log2("cnt")).cast("int")
-    sizes = table.groupBy(magnitude.alias("m")).agg(F.count(F.lit(1)).alias("n")).collect()  # <= 64 rows
-    taken, cut = 0, None
-    for row in sorted(sizes, key=lambda r: -r["m"]):
-        if taken + row["n"] > head_rows:
-            return (1 << (row["m"] + 1)) - 1
-        taken += row["n"]
-        cut = (1 << row["m"]) - 1
-    return cut if cut is not None else 0
-
-
 def token_ids(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
     """Ordered id list per row; ``key`` identifies a row.
 
@@ -104,8 +53,12 @@ def token_ids(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head_ro
     id in the low 35 (a row holds far fewer than 2^28 tokens).
     """
     entries = F.collect_list(F.shiftleft(F.col("pos").cast("bigint"), ID_BITS).bitwiseOR(F.col("id"))).alias("__ids")
-    parts = lookup_tokens(
-        token_rows(df, tokens, key), vocab.select("token", "cnt", "id"), lambda found: found.groupBy(key).agg(entries), head_rows
+    parts = lookup(
+        token_rows(df, tokens, key),
+        vocab.select("token", "cnt", "id"),
+        "token",
+        reduce=lambda found: found.groupBy(key).agg(entries),
+        head_rows=head_rows,
     )
     merged = parts.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("__ids"))).alias("__ids"))
     return merged.select(key, F.transform("__ids", lambda e: e.bitwiseAND((1 << ID_BITS) - 1)).alias("input_ids"))

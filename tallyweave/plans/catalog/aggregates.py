@@ -264,6 +264,6 @@ select label, round(avg(d), 6) as drift, count(*) as n from d group by label""",
 )
 def vector_l2_drift(spark, sf):
     vecs = read_table(spark, sf, "embeddings")
-    centers = divergence.vector_means(vecs, "label", "embedding")
-    drift = divergence.vector_l2_drift(vecs, "label", "vec_id", "embedding", centers)
+    centers = materialise(divergence.vector_means(vecs, "label", "embedding"), "centers")
+    drift = divergence.vector_l2_drift(vecs, "label", "embedding", centers)
     return drift.withColumn("drift", F.round("drift", 6))

@@ -60,8 +60,7 @@ def job_prompt_set(
 ) -> DataFrame:
     """Chat mode: shuffle, keep prompts that fit, skip, take ``n``.
 
-    The rows are only numbered if a skip or a large ``n`` asks for it; a small
-    sample is a top-k by the shuffle hash.
+    A small sample is a top-k by the shuffle hash; only a large one is numbered.
     """
     content = text.prompt_with_context(question, context)
     rendered = chat.chat_render(F.array(chat.message("user", content)))
@@ -71,11 +70,11 @@ def job_prompt_set(
         text.default_answer(answer).alias("text_completion"),
         rendered.alias("rendered"),
     )
-    if skip == 0 and n <= order.TAKE_SORT_LIMIT:
+    if skip + n <= order.TAKE_SORT_LIMIT:
         hashed = order_hash(seed, *[F.col(k) for k in keys])
-        taken = order.take_samples(prompts, n, [hashed, *[F.col(k) for k in keys]])
+        taken = order.take_samples(prompts, n, [hashed, *[F.col(k) for k in keys]], skip)
     else:
-        numbered = order.seeded_shuffle(prompts, keys, seed)
+        numbered = order.seeded_shuffle(materialise(prompts, "prompts"), keys, seed)
         taken = order.take_positions(order.skip_rows(numbered, skip), n).drop("pos")
     return taken.withColumn("text", text.full_text(F.col("prompt_text"), F.col("text_completion")))
 
@@ -96,19 +95,23 @@ def job_completion_prompts(
 
     A prompt length of -1 takes the whole text for both, without the special token.
     """
+
+    def taken(rows: DataFrame) -> DataFrame:
+        if skip + n <= order.TAKE_SORT_LIMIT:
+            return order.take_samples(rows, n, [F.col(key)], skip)
+        numbered = order.natural_position(materialise(rows, "prompts"), key)
+        return order.take_positions(order.skip_rows(numbered, skip), n).drop("pos")
+
     if prompt_length == -1:
         whole = text.strip_special_token(field, special)
-        rows = df.select(key, whole.alias("prompt_text"), whole.alias("text_completion"), whole.alias("text"))
-        numbered = order.natural_position(rows, key)
-        return order.take_positions(order.skip_rows(numbered, skip), n)
-    tokens = tokenizer(field)
+        return taken(df.select(key, whole.alias("prompt_text"), whole.alias("text_completion"), whole.alias("text")))
     limit = prompt_length + max_new
-    fitting = df.where(tk.at_least(tokens, limit, prompt_length + min_new))
-    numbered = order.natural_position(fitting, key)
-    taken = order.take_positions(order.skip_rows(numbered, skip), n)
-    return taken.select(
+    fitting = df.select(key, field.alias("__field")).where(
+        tk.at_least(tokenizer(F.col("__field")), limit, prompt_length + min_new)
+    )
+    tokens = tokenizer(F.col("__field"))
+    return taken(fitting).select(
         key,
-        "pos",
         F.array_join(tk.prompt_tokens(tokens, prompt_length), " ").alias("prompt_text"),
         F.array_join(tk.completion_tokens(tokens, prompt_length, max_new), " ").alias("text_completion"),
         F.array_join(tk.truncate_tokens(tokens, limit), " ").alias("text"),

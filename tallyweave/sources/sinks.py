@@ -8,41 +8,52 @@ from pyspark.errors import AnalysisException
 from tallyweave import schemas
 
 KEY = "result_key"
+MAX_BROADCAST_KEYS = 100_000
 
 
-def write_results_jsonl(df: DataFrame, folder: str, key: str = "ft_dataset", parts_per_key: int = 8) -> None:
+def write_results_jsonl(df: DataFrame, folder: str, key: str = "ft_dataset") -> None:
     """JSON lines, one sub-folder per checkpoint key; the key also stays in the lines.
 
-    The rows of a key are spread over ``parts_per_key`` tasks, so one huge key
-    neither sits in one task nor ends as one file.
+    ``rebalance`` brings the rows of a small key together and lets adaptive execution
+    split a huge one by size, so no key sits in one task.
     """
-    row = F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)])
-    (
-        df.withColumn(KEY, F.col(key))
-        .repartition(F.col(KEY), F.pmod(row, F.lit(parts_per_key)))
-        .write.mode("append")
-        .partitionBy(KEY)
-        .json(folder)
-    )
+    df.withColumn(KEY, F.col(key)).hint("rebalance", KEY).write.mode("append").partitionBy(KEY).json(folder)
 
 
 def read_results(spark: SparkSession, folder: str, schema: T.StructType = schemas.RESULTS) -> DataFrame:
     return spark.read.schema(T.StructType([*schema.fields, T.StructField(KEY, T.StringType())])).json(folder)
 
 
-def written_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys already present: read from the folder names, no file is opened for rows
-    that are not needed."""
-    schema = T.StructType([T.StructField(KEY, T.StringType())])
+def _written(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Path of every result file, by listing alone (no file is opened)."""
     try:
-        return spark.read.schema(schema).json(folder).select(KEY).distinct()
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     except AnalysisException:  # nothing written yet
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def written_keys(spark: SparkSession, folder: str, below_batch: int | None = None) -> DataFrame:
+    """Keys already present, from the folder names; of batches below a number if given."""
+    files = _written(spark, folder)
+    if files is None:
+        return spark.createDataFrame([], f"{KEY} string")
+    if below_batch is not None:
+        number = F.regexp_extract("path", r"/batch=(\d+)/", 1)
+        files = files.where(number.try_cast("bigint") < below_batch)
+    escaped = F.regexp_extract("path", rf"/{KEY}=([^/]+)/", 1)
+    name = F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+    return files.where(escaped != "").select(name.alias(KEY)).distinct()
 
 
 def skip_existing(df: DataFrame, present: DataFrame, key: str = "ft_dataset", present_key: str = KEY) -> DataFrame:
-    """Rows whose key was not written before."""
-    keys = present.select(F.col(present_key).alias("__key"))
+    """Rows whose key was not written before.
+
+    The present keys are broadcast up to a checked number, so a key with a third of
+    the rows is not shuffled; more keys than that are left to adaptive execution.
+    """
+    keys = present.select(F.col(present_key).alias("__key")).distinct()
+    if keys.count() <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
     return df.join(keys, F.col(key) == F.col("__key"), "left_anti")
 
 

@@ -92,18 +92,7 @@ def stream_idempotent_write(
         spark = batch.sparkSession
         number = first_batch + batch_id
         target = f"{folder}/batch={number}"
-        try:
-            done = (
-                sinks.read_results(spark, folder)
-                .select(sinks.KEY, F.col("_metadata.file_path").alias("file"))
-                .withColumn("batch", F.regexp_extract("file", r"/batch=(\d+)/", 1).cast("bigint"))
-                .where(F.col("batch") < number)
-                .select(sinks.KEY)
-                .distinct()
-            )
-        except Exception:  # noqa: BLE001 - first batch: the folder does not exist yet
-            done = None
-        fresh = batch if done is None else sinks.skip_existing(batch, done, key)
+        fresh = sinks.skip_existing(batch, sinks.written_keys(spark, folder, number), key)
         (
             fresh.withColumn(sinks.KEY, F.col(key))
             .write.mode("overwrite")
