@@ -8,6 +8,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyweave.functions.ints import int_div
 from tallyweave.functions.seeds import UINT32, hash_uint32, order_hash
 from tallyweave.operators.order import KEY_SHIFTS, hash_position, natural_levels, natural_position, shifts_below, with_position
 
@@ -173,7 +174,7 @@ def mix_draws(
     )
     n = _by_source(sizes)
     draws = ranked.select(
-        "slot", "source", (F.col("rank") % n).alias("idx"), F.floor(F.col("rank") / n).cast("bigint").alias("pass")
+        "slot", "source", (F.col("rank") % n).alias("idx"), int_div(F.col("rank"), n).alias("pass")
     )
     return draws, last + 1
 
@@ -283,8 +284,8 @@ def batch_plan(numbered: DataFrame, batch: int, accumulate: int, max_steps: int,
         .where(slot < total)
         .select(
             "slot_id",
-            F.floor(slot / per_step).cast("bigint").alias("step"),
-            F.floor((slot % per_step) / batch).cast("bigint").alias("micro"),
+            int_div(slot, per_step).alias("step"),
+            int_div(slot % per_step, batch).alias("micro"),
             (slot % batch).alias("slot"),
             "pass",
             *[c for c in numbered.columns],

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyweave.functions.ints import int_div
 from tallyweave.functions.seeds import order_hash
 
 # Row keys of the natural order: 4,096 values per leaf bucket, then at most
@@ -32,10 +33,14 @@ def with_position(
     """Number the rows from ``base`` by ``order``, separately per ``within`` group.
 
     ``levels`` are bucket expressions, coarse to fine. Sorting by them must agree
-    with ``order``, and ``order`` must identify a row.
+    with ``order``, and ``order`` must identify a row. ``within`` must not be null.
     """
     names = [f"__level_{i}" for i in range(len(levels))]
     bucketed = df.select("*", *[c.alias(n) for c, n in zip(levels, names)])
+    # A null key sorts first and keeps its row; levels without nulls also let the
+    # branches below share one shuffle of the counts.
+    lowest = {n: F.lit("") if bucketed.schema[n].dataType.typeName() == "string" else F.lit(-(1 << 62)) for n in names}
+    bucketed = bucketed.withColumns({n: F.coalesce(n, lowest[n]) for n in names})
     keys = [*within, *names]
 
     # Rows in front of each bucket among its siblings, from the finest level up.
@@ -159,8 +164,8 @@ def oversample(
     """
     i = F.col("pass")
     # Passes in front of this one that gave rows, and how many rows they gave.
-    full = i if skip == 0 else F.least(i, F.greatest(F.floor((total - 1) / skip), F.lit(0)))
-    given = full * total - F.lit(skip) * full * (full + 1) / 2
+    full = i if skip == 0 else F.least(i, F.greatest(int_div(total - 1, skip), F.lit(0)))
+    given = full * total - int_div(F.lit(skip) * full * (full + 1), 2)
     at = F.col(pos) - F.lit(skip) * (i + 1)
     return (
         df.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyweave.functions.ints import int_div
 
 def pack_sequences(
     df: DataFrame, length: int, tokens: Column, pos: str = "pos", batch_rows: int = 1000
@@ -15,7 +16,7 @@ def pack_sequences(
     each; tokens are never exploded. A block's group holds at most ``length``
     tokens. Grouping by ``(batch, block)`` reuses the partitioning by ``batch``.
     """
-    batch = F.floor(F.col(pos) / batch_rows).cast("bigint")
+    batch = int_div(F.col(pos), batch_rows)
     before = Window.partitionBy("batch").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy("batch")
     sized = (
@@ -25,10 +26,10 @@ def pack_sequences(
         .withColumn("__n", F.size("__t").cast("bigint"))
         .where(F.col("__n") > 0)
         .withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .withColumn("__full", F.floor(F.sum("__n").over(everything) / length).cast("bigint"))
+        .withColumn("__full", int_div(F.sum("__n").over(everything), length))
     )
-    first = F.floor(F.col("__off") / length).cast("bigint")
-    last = F.floor((F.col("__off") + F.col("__n") - 1) / length).cast("bigint")
+    first = int_div(F.col("__off"), length)
+    last = int_div(F.col("__off") + F.col("__n") - 1, length)
     # Pieces past the last full block are the batch's remainder.
     last = F.least(last, F.col("__full") - 1)
     blocks = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions import chat, tokens as tk
+from tallyweave.functions.ints import int_div
 
 SEGMENT_TURNS = 1000
 
@@ -41,7 +42,7 @@ def assemble_conversations(
     """
     packed = turns.select(
         key,
-        F.floor(F.col(turn) / segment_turns).cast("int").alias("segment"),
+        int_div(F.col(turn), segment_turns).cast("int").alias("segment"),
         F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content")).alias("m"),
     )
     return (

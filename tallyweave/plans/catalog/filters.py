@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import chat, judging, text as tx, tokens as tk
+from tallyweave.functions.ints import int_div
 from tallyweave.operators import order, rates, sft
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
@@ -118,7 +119,7 @@ def step_gate(spark, sf):
     # One event per training slot: 4 micro-batches of 8 to a step.
     slots = read_table(spark, sf, "events").select(
         "event_id",
-        F.floor(F.col("event_id") / 32).cast("bigint").alias("step"),
-        F.floor(F.col("event_id") % 32 / 8).cast("bigint").alias("micro"),
+        int_div(F.col("event_id"), 32).alias("step"),
+        int_div(F.col("event_id") % 32, 8).alias("micro"),
     )
     return order.step_gate(slots, start=5, every=3, micro=2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import seeds
+from tallyweave.functions.ints import int_div
 from tallyweave.operators import mix, order
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
@@ -119,7 +120,7 @@ def oversample(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id")
     total = docs.agg(F.count(F.lit(1))).scalar()
     shuffled = order.seeded_shuffle(docs, ["doc_id"], SEED)
-    out = order.oversample(shuffled, 3, F.floor(total * 5 / 2), total)
+    out = order.oversample(shuffled, 3, int_div(total * 5, 2), total)
     return out.select(F.col("pass").cast("bigint").alias("pass"), "slot", "doc_id")
 
 

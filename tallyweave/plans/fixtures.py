@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyweave.functions.ints import int_div
 from tallyweave.operators import order, sft
 from tallyweave.sources.readers import read_table
 
@@ -40,7 +41,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 def result_key() -> Column:
     """Every document gets a result key: baseline, unnumbered, or one of three steps."""
-    step = (F.floor(F.col("doc_id") / 10) % 3 + 1) * 500
+    step = (int_div(F.col("doc_id"), 10) % 3 + 1) * 500
     return (
         F.when(F.col("doc_id") % 10 == 0, F.lit("original"))
         .when(F.col("doc_id") % 10 == 9, F.col("lang"))

@@ -18,7 +18,7 @@ def read_columnar(spark: SparkSession, path: str, schema: T.StructType | str) ->
 def read_text_corpus(spark: SparkSession, path: str, text: str = "text", fmt: str = "parquet") -> DataFrame:
     """Plain-text corpus -> ``text``; one document per row or, for text files, per file."""
     if fmt == "text":
-        return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "text")
+        return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
     return spark.read.schema(f"{text} string").parquet(path).select(F.col(text).alias("text"))
 
 
