@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
@@ -64,3 +66,12 @@ def shift_pairs(values: Column, labels: Column) -> Column:
 
 def active_positions(values: Column, labels: Column, ignore: int = -100) -> Column:
     return F.filter(shift_pairs(values, labels), lambda p: p["next_label"] != ignore)
+
+
+def keep_tokens(df: DataFrame, name: str, tokens: Column, keep: Callable[[Column], Column]) -> DataFrame:
+    """Add the token list and drop the rows whose list fails ``keep``.
+
+    A plain filter would be pushed below the projection and tokenise every text
+    twice; here the list is made once and the generator emits it or nothing.
+    """
+    return df.select("*", F.explode(F.filter(F.array(tokens), keep)).alias(name))

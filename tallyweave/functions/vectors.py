@@ -33,6 +33,19 @@ def softmax(v: Column, temperature: float = 1.0) -> Column:
     return F.transform(log_softmax(v, temperature), lambda x: F.exp(x))
 
 
+def masked_sequence_mean(values: Column, mask: Column) -> Column:
+    """``sum(values[t] * mask[t + 1])`` over the sequence's length, last position out.
+
+    With per-position divergences as values this is the length-normalised, masked
+    form of a row's divergence.
+    """
+    last = F.greatest(F.size(values) - 1, F.lit(0))
+    products = F.zip_with(
+        F.slice(values, F.lit(1), last), F.slice(mask, F.lit(2), last), lambda v, m: v.cast("double") * m
+    )
+    return _total(products) / F.size(values)
+
+
 def l2_distance(a: Column, b: Column) -> Column:
     squares = F.zip_with(
         a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))

@@ -78,9 +78,11 @@ def tokenize_chat(
     The filter runs on the unpadded list, before the padding is paid for.
     """
     pad = F.lit("<pad>") if pad is None else pad
-    out = df.withColumn("__tokens", tokenizer(chat.chat_render(F.col(messages))))
-    if not no_filter:
-        out = out.where(tk.at_most(F.col("__tokens"), max_length))
+    tokens = tokenizer(chat.chat_render(F.col(messages)))
+    if no_filter:
+        out = df.withColumn("__tokens", tokens)
+    else:
+        out = tk.keep_tokens(df, "__tokens", tokens, lambda t: tk.at_most(t, max_length))
     return (
         out.withColumn("input_ids", tk.pad_left(F.col("__tokens"), max_length, pad))
         .withColumn("attention_mask", tk.pad_left_mask(F.col("__tokens"), max_length))

@@ -32,8 +32,10 @@ def language_filter(spark, sf):
     fx.with_views("toks", body="select doc_id, len(t) as n_tokens from toks where len(t) <= 200"),
 )
 def max_tokens_filter(spark, sf):
-    tokens = fx.corpus(spark, sf).select("doc_id", tk.tokenize_text(F.col("text")).alias("t"))
-    return tokens.where(tk.at_most(F.col("t"), 200)).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"))
+    kept = tk.keep_tokens(
+        fx.corpus(spark, sf), "t", tk.tokenize_text(F.col("text")), lambda t: tk.at_most(t, 200)
+    )
+    return kept.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"))
 
 
 @query(
@@ -41,8 +43,10 @@ def max_tokens_filter(spark, sf):
     fx.with_views("toks", body="select doc_id, least(len(t), 250) as n_tokens from toks where least(len(t), 250) >= 60"),
 )
 def min_tokens_filter(spark, sf):
-    tokens = fx.corpus(spark, sf).select("doc_id", tk.tokenize_text(F.col("text")).alias("t"))
-    return tokens.where(tk.at_least(F.col("t"), 250, 60)).select(
+    kept = tk.keep_tokens(
+        fx.corpus(spark, sf), "t", tk.tokenize_text(F.col("text")), lambda t: tk.at_least(t, 250, 60)
+    )
+    return kept.select(
         "doc_id", F.size(tk.truncate_tokens(F.col("t"), 250)).cast("bigint").alias("n_tokens")
     )
 

@@ -57,6 +57,7 @@ def job_prompt_set(
     max_prompt: int = 100,
     skip: int = 0,
     tokenizer=tk.tokenize_text,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Chat mode: shuffle, keep prompts that fit, skip, take ``n``.
 
@@ -66,6 +67,7 @@ def job_prompt_set(
     rendered = chat.chat_render(F.array(chat.message("user", content)))
     prompts = df.where(tk.at_most(tokenizer(rendered), max_prompt)).select(
         *keys,
+        *carry,
         question.alias("prompt_text"),
         text.default_answer(answer).alias("text_completion"),
         rendered.alias("rendered"),
@@ -90,6 +92,7 @@ def job_completion_prompts(
     skip: int = 0,
     special: str = "<|begin_of_text|>",
     tokenizer=tk.tokenize_text,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Completion mode: first tokens are the prompt, the rest the human completion.
 
@@ -104,14 +107,15 @@ def job_completion_prompts(
 
     if prompt_length == -1:
         whole = text.strip_special_token(field, special)
-        return taken(df.select(key, whole.alias("prompt_text"), whole.alias("text_completion"), whole.alias("text")))
+        return taken(df.select(key, *carry, whole.alias("prompt_text"), whole.alias("text_completion"), whole.alias("text")))
     limit = prompt_length + max_new
-    fitting = df.select(key, field.alias("__field")).where(
+    fitting = df.select(key, *carry, field.alias("__field")).where(
         tk.at_least(tokenizer(F.col("__field")), limit, prompt_length + min_new)
     )
     tokens = tokenizer(F.col("__field"))
     return taken(fitting).select(
         key,
+        *carry,
         F.array_join(tk.prompt_tokens(tokens, prompt_length), " ").alias("prompt_text"),
         F.array_join(tk.completion_tokens(tokens, prompt_length, max_new), " ").alias("text_completion"),
         F.array_join(tk.truncate_tokens(tokens, limit), " ").alias("text"),
