@@ -95,11 +95,10 @@ def active_label_filter(spark, sf):
     # Labels of the prompt (first 50 tokens) are masked; the others are the token's length.
     tokens = tk.tokenize_text(F.col("text"))
     labels = F.transform("t", lambda t, i: F.when(i < fx.PROMPT_LENGTH, F.lit(-100)).otherwise(F.length(t)))
-    active = fx.corpus(spark, sf).select("doc_id", tokens.alias("t")).select(
-        "doc_id", tk.active_positions(F.col("t"), labels).alias("a")
-    )
+    tokenized = fx.corpus(spark, sf).select("doc_id", tokens.alias("t"))
+    active = tk.keep_tokens(tokenized, "a", tk.active_positions(F.col("t"), labels), lambda a: F.size(a) > 0)
     total = F.aggregate("a", F.lit(0).cast("bigint"), lambda acc, p: acc + p["next_label"])
-    return active.where(F.size("a") > 0).select(
+    return active.select(
         "doc_id", F.size("a").cast("bigint").alias("n_active"), total.alias("label_sum")
     )
 

@@ -100,10 +100,9 @@ from toks where len(t) > 1""",
 )
 def shift_labels(spark, sf):
     tokens = tk.tokenize_text(F.col("text"))
-    shifted = fx.corpus(spark, sf).select("doc_id", tokens.alias("t")).select(
-        "doc_id", tk.shift_pairs(F.col("t"), F.col("t")).alias("p")
-    )
-    return shifted.where(F.size("p") > 0).select(
+    tokenized = fx.corpus(spark, sf).select("doc_id", tokens.alias("t"))
+    shifted = tk.keep_tokens(tokenized, "p", tk.shift_pairs(F.col("t"), F.col("t")), lambda p: F.size(p) > 0)
+    return shifted.select(
         "doc_id",
         F.size("p").cast("bigint").alias("n_pairs"),
         F.array_join(F.transform("p", lambda x: x["value"]), " ").alias("token_text"),
