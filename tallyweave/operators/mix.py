@@ -62,23 +62,28 @@ def _upto(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
 
 
-def repeat_rows(df: DataFrame, most: int, name: str, times: Column | None = None) -> DataFrame:
+def repeat_rows(
+    df: DataFrame, most: int, name: str, spread: list[str], times: Column | None = None
+) -> DataFrame:
     """Every row ``times`` (default ``most``, which bounds it) times, numbered by ``name`` from 0.
 
-    Many repeats of few rows are made in two steps with a shuffle between them, so
-    one task never has to emit all copies of its rows.
+    Rows with many repeats get them in two steps, with a shuffle by ``spread`` (columns
+    that identify a row) between them, so one task never has to emit all copies of its
+    rows. The other rows, usually nearly all, are repeated where they are.
     """
     times = F.lit(most) if times is None else times
+    few = df.where(times <= REPEATS_PER_STEP).withColumn(name, _upto(times))
     if most <= REPEATS_PER_STEP:
-        return df.withColumn(name, _upto(times))
+        return few
     inner = math.isqrt(most - 1) + 1
-    coarse = df.withColumn("__outer", _upto(F.ceil(times / inner)))
-    fine = coarse.repartition("__outer").withColumn("__inner", _upto(F.lit(inner)))
-    return (
+    many = df.where(times > REPEATS_PER_STEP).withColumn("__outer", _upto(F.ceil(times / inner)))
+    fine = many.repartition("__outer", *spread).withColumn("__inner", _upto(F.lit(inner)))
+    repeated = (
         fine.withColumn(name, F.col("__outer") * inner + F.col("__inner"))
         .where(F.col(name) < times)
         .drop("__outer", "__inner")
     )
+    return few.unionByName(repeated)
 
 
 def fetch_rows(
@@ -96,8 +101,8 @@ def fetch_rows(
     wanted, most = _by_source(copies), max(copies.values())
     numbered = natural_position(tagged.select("source", key), key, "idx", ["source"], levels)
     keyed = draws.withColumn("__copy", F.col("pass") % wanted)
-    placed = keyed.join(repeat_rows(numbered, most, "__copy", wanted), ["source", "idx", "__copy"])
-    return placed.join(repeat_rows(tagged, most, "__copy", wanted), ["source", key, "__copy"]).drop("__copy")
+    placed = keyed.join(repeat_rows(numbered, most, "__copy", ["source", key], wanted), ["source", "idx", "__copy"])
+    return placed.join(repeat_rows(tagged, most, "__copy", ["source", key], wanted), ["source", key, "__copy"]).drop("__copy")
 
 
 def _thresholds(weights: Mapping[str, float]) -> list[tuple[str, float]]:
@@ -212,7 +217,7 @@ def _places(
     arithmetic, no join."""
     rounds = {s: math.ceil(longest / n) for s, n in sizes.items()}
     at = F.col(idx) + F.col("round") * _by_source(sizes)
-    repeated = repeat_rows(df, max(rounds.values()), "round", _by_source(rounds))
+    repeated = repeat_rows(df, max(rounds.values()), "round", ["source", idx], _by_source(rounds))
     return repeated.where(at < longest).withColumn("pos", at * sources + turn)
 
 
@@ -279,7 +284,7 @@ def batch_plan(numbered: DataFrame, batch: int, accumulate: int, max_steps: int,
     total = per_step * max_steps
     slot = F.col("slot_id")
     return (
-        repeat_rows(numbered, max(1, math.ceil(total / rows)), "pass")
+        repeat_rows(numbered, max(1, math.ceil(total / rows)), "pass", [pos])
         .withColumn("slot_id", F.col(pos) + F.col("pass") * F.lit(rows))
         .where(slot < total)
         .select(

@@ -32,19 +32,22 @@ def with_position(
 ) -> DataFrame:
     """Number the rows from ``base`` by ``order``, separately per ``within`` group.
 
-    ``levels`` are bucket expressions, coarse to fine. Sorting by them must agree
-    with ``order``, and ``order`` must identify a row. ``within`` must not be null.
+    ``levels`` are bucket expressions, coarse to fine, each a refinement of the one
+    before it. Sorting by them must agree with ``order``, and ``order`` must identify a
+    row. ``within`` must not be null.
     """
     names = [f"__level_{i}" for i in range(len(levels))]
-    bucketed = df.select("*", *[c.alias(n) for c, n in zip(levels, names)])
+    leaf = names[-1]
     # A null key sorts first and keeps its row; levels without nulls also let the
     # branches below share one shuffle of the counts.
-    lowest = {n: F.lit("") if bucketed.schema[n].dataType.typeName() == "string" else F.lit(-(1 << 62)) for n in names}
-    bucketed = bucketed.withColumns({n: F.coalesce(n, lowest[n]) for n in names})
-    keys = [*within, *names]
+    kinds = df.select(*[c.alias(n) for c, n in zip(levels, names)]).schema
+    filled = [
+        F.coalesce(c, F.lit("") if kinds[n].dataType.typeName() == "string" else F.lit(-(1 << 62))).alias(n)
+        for c, n in zip(levels, names)
+    ]
 
     # Rows in front of each bucket among its siblings, from the finest level up.
-    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.select(*within, *filled).groupBy(*within, *names).agg(F.count(F.lit(1)).alias("__n"))
     offsets = None
     for depth in range(len(names), 0, -1):
         parents, child = [*within, *names[: depth - 1]], names[depth - 1]
@@ -69,11 +72,14 @@ def with_position(
         if depth > 1:
             counts = counts.groupBy(*parents).agg(F.sum("__n").alias("__n"))
 
+    # The leaf alone names a bucket, so rows carry, and are sorted by, only that.
+    keys = [*within, leaf]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        bucketed.join(offsets, keys)
+        df.withColumn(leaf, filled[-1])
+        .join(offsets.select(*keys, "__off"), keys)
         .withColumn(name, (F.col("__off") + rank - 1 + F.lit(base)).cast("bigint"))
-        .drop(*names, "__off")
+        .drop(leaf, "__off")
     )
 
 

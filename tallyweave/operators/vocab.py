@@ -33,9 +33,8 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     """
     hashed = counts.withColumn("__h", F.md5("token"))
     rare_first = -F.col("cnt")
-    return with_position(
-        hashed, [rare_first, F.substring("__h", 1, 3)], [rare_first, F.col("__h"), F.col("token")], "id"
-    ).drop("__h")
+    spread = F.concat_ws(":", "cnt", F.substring("__h", 1, 3))
+    return with_position(hashed, [rare_first, spread], [rare_first, F.col("__h"), F.col("token")], "id").drop("__h")
 
 
 def with_nll(counts: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def test_round_robin_and_back(spark):
 def test_repeat_rows_in_two_steps(spark, monkeypatch):
     monkeypatch.setattr(mix, "REPEATS_PER_STEP", 4)
     df = spark.createDataFrame([("a", 11), ("b", 3)], "s string, times int")
-    got = mix.repeat_rows(df, 11, "copy", F.col("times")).collect()
+    got = mix.repeat_rows(df, 11, "copy", ["s"], F.col("times")).collect()
     assert sorted((r["s"], r["copy"]) for r in got) == [("a", i) for i in range(11)] + [("b", i) for i in range(3)]
 
 
@@ -195,3 +195,12 @@ def test_a_null_key_keeps_its_row(spark):
     df = spark.createDataFrame([(5,), (None,), (-3,)], "k bigint")
     got = {r["k"]: r["pos"] for r in order.natural_position(df, "k").collect()}
     assert got == {None: 0, -3: 1, 5: 2}
+
+
+def test_rows_with_few_repeats_are_not_shuffled_by_repeat_rows(spark, monkeypatch):
+    monkeypatch.setattr(mix, "REPEATS_PER_STEP", 4)
+    df = spark.range(1000).withColumn("times", F.when(F.col("id") < 2, 50).otherwise(1))
+    got = mix.repeat_rows(df, 50, "copy", ["id"], F.col("times"))
+    per_task = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert got.count() == 998 + 100
+    assert max(r["count"] for r in per_task) < 200
