@@ -112,22 +112,22 @@ def hash_position(
     seed: int | str,
     name: str = "pos",
     within: Sequence[str] = (),
-    digits: int = 3,
+    digits: int = 4,
 ) -> DataFrame:
     """Position in a seeded random order of unique ``keys``.
 
     md5 spreads unique keys evenly over ``16 ** digits`` buckets; raise ``digits``
-    (levels of three digits are nested) when a bucket would outgrow a task.
+    (levels of four digits are nested) when a bucket would outgrow a task.
     """
     hashed = df.withColumn("__hash", order_hash(seed, *[F.col(k) for k in keys]))
-    cuts = [*range(3, digits, 3), digits]
+    cuts = [*range(4, digits, 4), digits]
     levels = [F.substring("__hash", 1, c) for c in cuts]
     order = [F.col("__hash"), *[F.col(k) for k in keys]]
     return with_position(hashed, levels, order, name, within).drop("__hash")
 
 
 def seeded_shuffle(
-    df: DataFrame, keys: Sequence[str], seed: int | str, name: str = "pos", digits: int = 3
+    df: DataFrame, keys: Sequence[str], seed: int | str, name: str = "pos", digits: int = 4
 ) -> DataFrame:
     """A reproducible permutation, as a position column."""
     return hash_position(df, keys, seed, name, digits=digits)

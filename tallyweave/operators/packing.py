@@ -11,42 +11,43 @@ def pack_sequences(
 ) -> DataFrame:
     """Concatenate the lists of each batch of rows, cut into full blocks, drop the rest.
 
-    ``tokens`` is evaluated behind the shuffle by batch, so the compact text is
-    moved, not the token list. Lists are cut into *pieces* that lie in one block
-    each; tokens are never exploded. A block's group holds at most ``length``
-    tokens. Grouping by ``(batch, block)`` reuses the partitioning by ``batch``.
+    ``tokens`` is evaluated behind the shuffle and the sort by batch, so the compact
+    text is moved, not the token list. Lists are cut into *pieces* that lie in one
+    block each; tokens are never exploded, and a long list is not copied per piece.
+    A block's group holds at most ``length`` tokens. Grouping by ``(batch, block)``
+    reuses the partitioning by ``batch``.
     """
-    batch = int_div(F.col(pos), batch_rows)
     before = Window.partitionBy("batch").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy("batch")
+    size = F.col("__n")
     sized = (
-        df.withColumn("batch", batch)
+        df.withColumn("batch", int_div(F.col(pos), batch_rows))
         .repartition("batch")
+        .sortWithinPartitions("batch", pos)
         .select("batch", pos, tokens.alias("__t"))
-        .withColumn("__n", F.size("__t").cast("bigint"))
-        .where(F.col("__n") > 0)
-        .withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .withColumn("__full", int_div(F.sum("__n").over(everything), length))
+        .withColumn("__n", F.coalesce(F.size("__t"), F.lit(0)).cast("bigint"))
+        .withColumn("__off", F.coalesce(F.sum(size).over(before), F.lit(0)))
+        .withColumn("__full", int_div(F.sum(size).over(everything), length))
     )
-    first = int_div(F.col("__off"), length)
-    last = int_div(F.col("__off") + F.col("__n") - 1, length)
-    # Pieces past the last full block are the batch's remainder.
-    last = F.least(last, F.col("__full") - 1)
-    blocks = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    pieces = sized.select(
-        "batch", "__off", "__n", "__t", F.explode(blocks).alias("block")
-    ).select("batch", "block", _piece(length).alias("__piece"))
     return (
-        pieces.groupBy("batch", "block")
-        .agg(F.sort_array(F.collect_list("__piece")).alias("__pieces"))
+        sized.select("batch", F.inline(_pieces(length)))
+        .groupBy("batch", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("__pieces"))
         .select("batch", "block", F.flatten(F.transform("__pieces", lambda p: p["part"])).alias("tokens"))
     )
 
 
-def _piece(length: int) -> Column:
-    start = F.greatest(F.col("block") * length, F.col("__off"))
-    stop = F.least((F.col("block") + 1) * length, F.col("__off") + F.col("__n"))
-    part = F.slice(
-        F.col("__t"), (start - F.col("__off") + 1).cast("int"), (stop - start).cast("int")
-    )
-    return F.struct(start.alias("at"), part.alias("part"))
+def _pieces(length: int) -> Column:
+    """``(block, at, part)`` of a row's list, for the full blocks of its batch only."""
+    off, size = F.col("__off"), F.col("__n")
+    first = int_div(off, length)
+    last = F.least(int_div(off + size - 1, length), F.col("__full") - 1)
+    blocks = F.when((size > 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    def piece(block: Column) -> Column:
+        start = F.greatest(block * length, off)
+        stop = F.least((block + 1) * length, off + size)
+        part = F.slice(F.col("__t"), (start - off + 1).cast("int"), (stop - start).cast("int"))
+        return F.struct(block.alias("block"), start.alias("at"), part.alias("part"))
+
+    return F.transform(blocks, piece)

@@ -45,6 +45,7 @@ def baseline_fanout(parsed: DataFrame, max_types: int = MAX_TYPES) -> DataFrame:
     """
     types = (
         distinct_types(drop_baseline(parsed))
+        .limit(max_types + 1)  # enough to see that there are too many
         .agg(F.collect_list("dataset_type").alias("t"))
         .select(
             F.when(F.size("t") > max_types, F.raise_error(F.lit(f"more than {max_types} dataset types")))

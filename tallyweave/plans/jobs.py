@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.functions import chat, judging, text, tokens as tk
+from tallyweave.functions import chat, text, tokens as tk
 from tallyweave.functions.seeds import order_hash
 from tallyweave.operators import mix, order, rates, sft
 from tallyweave.sources.scratch import materialise

@@ -25,7 +25,7 @@ def test_natural_position_of_sparse_keys(spark, partitions):
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
-@pytest.mark.parametrize("digits", [1, 3, 5])
+@pytest.mark.parametrize("digits", [1, 4, 5, 9])
 def test_seeded_shuffle_is_a_permutation(spark, digits):
     df = spark.range(500)
     got = {r["id"]: r["pos"] for r in order.seeded_shuffle(df, ["id"], 9, digits=digits).collect()}
