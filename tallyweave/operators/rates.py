@@ -89,6 +89,13 @@ def rate_report(parsed: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
     return sums.select("dataset_type", "ckpt", *rates, F.col("n"))
 
 
+def flag_rows(parsed: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
+    """Row-level flags behind a report, baseline rows fanned out: one row per result."""
+    return baseline_fanout(parsed.select("dataset_type", "ckpt", *[f.alias(n) for n, f in flags.items()])).select(
+        *flags, "dataset_type", "ckpt"
+    )
+
+
 def overall_rate_by_checkpoint(parsed: DataFrame, name: str, flag: Column) -> DataFrame:
     """Mean per checkpoint over all types; the baseline counts once per type."""
     sums = fanout_sums(parsed, {name: flag})

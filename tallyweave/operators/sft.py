@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions import chat, tokens as tk
 from tallyweave.functions.ints import int_div
+from tallyweave.functions.text import strip_ws
+from tallyweave.operators.lookup import HEAD_ROWS, lookup
+from tallyweave.sources.scratch import materialise
 
 SEGMENT_TURNS = 1000
 
@@ -39,6 +42,7 @@ def assemble_conversations(
 
     A key with more than ``segment_turns`` turns gives several rows, numbered by
     ``segment``: every turn is kept, and no task has to hold an endless dialogue.
+    ``filter_conversations`` filters such conversations as a whole.
     """
     packed = turns.select(
         key,
@@ -52,6 +56,35 @@ def assemble_conversations(
     )
 
 
+def filter_conversations(
+    turns: DataFrame,
+    min_response_length: int = -1,
+    max_tokens: int | None = None,
+    key: str = "conv_id",
+    role: str = "role",
+    content: str = "text",
+    tokenizer=tk.tokenize_text,
+    bos: str = "<s>",
+    eos: str = "</s>",
+    head_rows: int = HEAD_ROWS,
+) -> DataFrame:
+    """The message filters on turn rows, exact for conversations of any length.
+
+    Run it before ``assemble_conversations`` where a conversation may be longer than a
+    segment. Flags per conversation are combined on the map side, and the conversations
+    with the most turns are looked up by broadcast: one of them may hold a third of all
+    turns without being gathered anywhere.
+    """
+    short = (F.col(role) == "assistant") & (F.length(strip_ws(F.col(content))) < min_response_length)
+    keep = F.count_if(short) == 0 if min_response_length > 0 else F.lit(True)
+    if max_tokens is not None:
+        rendered = chat.render_turn(F.col(role), F.col(content), bos, eos)
+        keep = keep & (F.sum(F.size(tokenizer(rendered))) <= max_tokens)
+    flags = turns.groupBy(key).agg(keep.alias("__keep"), F.count(F.lit(1)).alias("__turns"))
+    found = lookup(turns, materialise(flags, "flags"), key, "__turns", head_rows=head_rows)
+    return found.where("__keep").drop("__keep", "__turns")
+
+
 def turn_pairs(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
     """User turns with the assistant turn that follows at once.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from tallyweave import schemas
 from tallyweave.functions import chat, text as tx
 from tallyweave.operators import rates, tasks
-from tallyweave.plans import fixtures as fx, jobs
+from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
 from tallyweave.sources import readers, sinks
 from tallyweave.sources.registry import DatasetSpec, Registry
@@ -165,7 +165,11 @@ from fanned group by dataset_type, ckpt""",
     ),
 )
 def sink_rate_csv(spark, sf):
-    report = jobs.job_rate_report(fx.results(spark, sf), {"rate": tx.contains_ci(F.col("completion"), fx.MARKER)})
+    # The flags behind the rate are written row by row, read back and averaged again.
+    flags = {"is_marked": tx.contains_ci(F.col("completion"), fx.MARKER)}
     path = scratch_dir(spark, "csv")
-    sinks.write_rate_csv(report.select("dataset_type", "ckpt", F.round("rate", 6).alias("rate"), "n"), path)
-    return spark.read.schema("dataset_type string, ckpt bigint, rate double, n bigint").option("header", True).csv(path)
+    sinks.write_flag_csv(rates.flag_rows(rates.checkpoint_parse(fx.results(spark, sf)), flags), path)
+    rows = spark.read.schema("is_marked boolean, dataset_type string, ckpt bigint").option("header", True).csv(path)
+    return rows.groupBy("dataset_type", "ckpt").agg(
+        F.round(F.avg(F.col("is_marked").cast("double")), 6).alias("rate"), F.count(F.lit(1)).alias("n")
+    )

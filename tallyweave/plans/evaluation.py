@@ -147,10 +147,10 @@ def save_results(results: DataFrame, folder: str, config: EvaluationConfig) -> N
     write(results, folder)
 
 
-def rate_reports(
+def judged_flags(
     results: DataFrame, config: EvaluationConfig, score: judging.Judge, letter: judging.Judge
-) -> dict[str, DataFrame]:
-    """One report per configured evaluation: rate per (type, checkpoint).
+) -> tuple[DataFrame, dict[str, Callable[[], dict]]]:
+    """Results with checkpoint and verdicts, and the flags of each evaluation.
 
     Judges are asked before the baseline is fanned out, only for results that a report
     counts, and their verdicts are written: each result is judged once.
@@ -166,6 +166,14 @@ def rate_reports(
         "smooth_refusal": lambda: rates.smooth_refusal_flags(F.col("verdict")),
         "jailbreak": lambda: {"is_jailbroken": jf.score_flag(F.col("score"))},
     }
+    return parsed, flags
+
+
+def rate_reports(
+    results: DataFrame, config: EvaluationConfig, score: judging.Judge, letter: judging.Judge
+) -> dict[str, DataFrame]:
+    """One report per configured evaluation: rate per (type, checkpoint)."""
+    parsed, flags = judged_flags(results, config, score, letter)
     return {name: rates.rate_report(parsed, flags[name]()) for name in config.evals}
 
 
@@ -176,3 +184,12 @@ def write_reports(
     results = readers.read_jsonl(spark, results_folder, schemas.RESULTS)
     for name, report in rate_reports(results, config, score, letter).items():
         sinks.write_rate_csv(report, f"{out}/{name}")
+
+
+def write_flags(
+    spark: SparkSession, results_folder: str, out: str, config: EvaluationConfig, score: judging.Judge, letter: judging.Judge
+) -> None:
+    """Results folder -> the row-level flags of each evaluation, as CSV under ``out``."""
+    parsed, flags = judged_flags(readers.read_jsonl(spark, results_folder, schemas.RESULTS), config, score, letter)
+    for name in config.evals:
+        sinks.write_flag_csv(rates.flag_rows(parsed, flags[name]()), f"{out}/{name}")

@@ -149,3 +149,22 @@ def test_conversations_over_the_segment_limit_stay_whole(spark):
     rows = sft.assemble_conversations(turns, segment_turns=10).orderBy("segment").collect()
     assert [len(r["messages"]) for r in rows] == [10, 10, 5]
     assert [m["content"] for r in rows for m in r["messages"]] == [str(i) for i in range(25)]
+
+
+@pytest.mark.parametrize("head", [lookup.HEAD_ROWS, 1])
+def test_filters_on_turn_rows_see_the_whole_conversation(spark, head):
+    long = [(1, t, ("user", "assistant")[t % 2], "word " * 3) for t in range(40)]
+    late = [(2, t, ("user", "assistant")[t % 2], "x" if t == 39 else "word " * 3) for t in range(40)]
+    small = [(3, 0, "user", "hi"), (3, 1, "assistant", "word " * 3), (4, 0, "system", "s"), (5, 0, "assistant", "w" * 9)]
+    turns = spark.createDataFrame(long + late + small, "conv_id bigint, turn bigint, role string, text string")
+
+    def kept(**options):
+        df = sft.filter_conversations(turns, head_rows=head, **options)
+        return {r["conv_id"]: r["count"] for r in df.groupBy("conv_id").count().collect()}
+
+    assert kept() == {1: 40, 2: 40, 3: 2, 4: 1, 5: 1}
+    assert kept(min_response_length=5) == {1: 40, 3: 2, 4: 1, 5: 1}
+    assert kept(min_response_length=5, max_tokens=100) == {3: 2, 4: 1, 5: 1}
+    # The same answer as the row filters where a conversation is one row.
+    rows = sft.min_response_filter(sft.tokenize_chat(sft.assemble_conversations(turns), 100), 5)
+    assert {r["conv_id"] for r in rows.collect()} == {3, 4, 5}
