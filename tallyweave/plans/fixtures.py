@@ -186,7 +186,7 @@ _NEEDS = {
 }
 
 
-def with_views(*names: str, body: str, recursive: bool = False) -> str:
+def with_views(*names: str, body: str) -> str:
     """``with <views> <body>``, each view after those it needs."""
     ordered: list[str] = []
     for name in names:
