@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import simhash
+from tallyweave.llm import simhash, weak_rules
 from tallyweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,12 @@ def query(name: str):
     return add
 
 
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *weak_rules.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
