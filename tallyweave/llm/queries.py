@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import simhash, weak_rules
+from tallyweave.llm import multi_pattern, simhash, weak_rules
 from tallyweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,35 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multi_pattern.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
+
+
+ORACLES["op2_benchmark_decontamination"] = r"""
+with doc_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+item_windows as (
+  select distinct item_id, least(len(w), 10) as size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from item_words where len(w) > 0)),
+doc_windows as (
+  select doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') as win
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i
+        from doc_words, (select distinct size from item_windows) where len(w) >= size)),
+hits as (select doc_id, i, d.size, item_id from doc_windows d join item_windows using (win) where d.size = item_windows.size),
+places as (select doc_id, count(distinct p) as n_hit
+  from (select distinct doc_id, unnest(range(i, i + size)) as p from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words d left join places using (doc_id) left join found using (doc_id)
+"""
