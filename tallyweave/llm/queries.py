@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import multi_pattern, simhash, weak_rules
+from tallyweave.llm import chat_examples, multi_pattern, simhash, weak_rules
 from tallyweave.llm.common import table
+from tallyweave.sources.scratch import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,34 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc_words d left join places using (doc_id) left join found using (doc_id)
 """
+
+
+@query("op9_chat_formatting")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = spark.sql(
+        r"select -7L as conv_id, cast(column1 as bigint) as turn, column2 as role, r'\### Assistant: </turn> ok' as text"
+        " from values (0, 'user'), (1, 'assistant') as v(column1, column2)"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    written = materialise(chat_examples.examples(turns), "chat-examples")
+    return chat_examples.digests(written)
+
+
+ORACLES["op9_chat_formatting"] = r"""
+with source as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, i, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(i, r)),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+    count(*) over (partition by conv_id) as last,
+    15 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\n'))
+       + length(replace(replace(text, '\', '\b'), '<', '\l')) as chars
+  from source),
+summed as (select *, sum(chars) over (partition by conv_id order by n) as upto from placed)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(upto) filter (role = 'assistant' or n = last) as bigint) as formatted_chars
+from summed group by conv_id
+"""
