@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import chat_examples, multi_pattern, simhash, weak_rules
+from tallyweave.llm import chat_examples, multi_pattern, simhash, token_files, weak_rules
 from tallyweave.llm.common import table
-from tallyweave.sources.scratch import materialise
+from tallyweave.sources.scratch import materialise, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +96,11 @@ select conv_id, count(*) as n_turns,
   cast(sum(upto) filter (role = 'assistant' or n = last) as bigint) as formatted_chars
 from summed group by conv_id
 """
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "token-files")
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, definition, end_id=1)
+    return token_files.with_checksum(token_files.read_tokens(spark, path))
