@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import chat_examples, multi_pattern, simhash, token_files, weak_rules
+from tallyweave.llm import chat_examples, html_text, multi_pattern, simhash, token_files, weak_rules
 from tallyweave.llm.common import table
 from tallyweave.sources.scratch import materialise, scratch_dir
 
@@ -104,3 +104,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, definition, end_id=1)
     return token_files.with_checksum(token_files.read_tokens(spark, path))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
