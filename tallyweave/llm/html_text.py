@@ -231,6 +231,16 @@ LABELLED = (
 )
 
 
+#: An article of many sizes of paragraphs, some of them links; and a page of links and scraps.
+_SIZES = (6, 55, 1, 3, 14, 9, 80, 2, 21, 130, 4, 11, 17, 60, 5, 8, 35, 1, 12, 7, 26, 100, 16, 10)
+LABELLED += (
+    '<body data-label="other"><article data-label="main">'
+    + "".join(f'<p><a href="/">{_w(n)}</a></p>' if i % 6 == 4 else f"<p>{_w(n)}</p>" for i, n in enumerate(_SIZES))
+    + "</article></body>",
+    '<body data-label="other">' + "".join(f'<p><a href="/">{_w(n)}</a></p><p>{_w(n // 2 + 1)}</p>' for n in _SIZES if n < 20) + "</body>",
+)
+
+
 def train(pages: tuple[str, ...] = LABELLED) -> Tree:
     x, y = [], []
     for page in pages:
