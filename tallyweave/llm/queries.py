@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import chat_examples, html_text, multi_pattern, simhash, token_files, weak_rules
+from tallyweave.llm import chat_examples, html_text, multi_pattern, passages, simhash, token_files, weak_rules
 from tallyweave.llm.common import table
 from tallyweave.sources.scratch import materialise, scratch_dir
 
@@ -109,3 +109,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_extraction")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    counted = lambda c: F.expr(f"aggregate({c}, 0L, (s, x) -> s + x.b - x.a)")
+    return found.select(
+        "doc_id", counted("repeated").alias("n_repeated"), counted("surplus").alias("n_surplus"), "repeated", "surplus"
+    )
