@@ -14,25 +14,34 @@ keeps the ids of pieces it has seen.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm.common import utf8
+from tallyweave.llm.common import LOWER, utf8
 
 ROW_INDEX = 1_000
 STRIPE_BYTES = 64 << 20
 _SCHEMA = "part int, doc_id bigint, part_start bigint, n_tokens bigint, ids array<int>"
 #: Pieces kept per worker, and the longest kept; both only bound memory.
-_KEPT, _KEPT_BYTES = 400_000, 64
+_KEPT, _KEPT_BYTES = 700_000, 64
+_MARKS = frozenset(b".,;:!?")
 
 
 class PieceEncoder:
-    """A tokenizer with the ids of known pieces; one per worker, through a broadcast."""
+    """A tokenizer with the ids of known pieces; one per worker, through a broadcast.
+
+    The tokenizer lower-cases, and splits letters and digits from other signs. So pieces
+    are known in lower case, and one closing mark after an ASCII letter or digit is
+    looked up by itself. A text with the start of a special token is left as it is.
+    """
 
     def __init__(self, definition: str):
         self.definition = definition
@@ -46,25 +55,38 @@ class PieceEncoder:
         if self._tokenizer is None:
             from tokenizers import Tokenizer
 
+            # One thread: the cores belong to Spark's tasks.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             self._tokenizer = Tokenizer.from_str(self.definition)
-        # One call per piece: encode_batch would start threads of its own.
-        return [
-            np.array(self._tokenizer.encode(p.decode("utf-8"), add_special_tokens=False).ids, dtype="<i4").tobytes() for p in pieces
-        ]
-
-    def ids(self, text: str | None) -> bytes:
-        """The text's ids as little-endian 32-bit integers."""
-        pieces = utf8(text).split()
+        found = self._tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        return [array("i", x.ids).tobytes() for x in found]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        known = self._known
+        marked = [p for p in pieces if len(p) > 1 and p[-1] in _MARKS and p[-2:-1].isalnum()]
+        stems = {p[:-1] for p in marked}.union(p[-1:] for p in marked)
+        stems.update(set(pieces).difference(marked))
+        fresh = [p for p in stems if p not in known]
+        known.update(zip(fresh, self._encode(fresh)))
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1:]]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
         known = self._known
         if len(known) > _KEPT:
             known.clear()
-        fresh = [p for p in set(pieces) if p not in known]
-        once = {}
-        for p, ids in zip(fresh, self._encode(fresh)):
-            (known if len(p) <= _KEPT_BYTES else once)[p] = ids
-        if once:
-            return b"".join(once[p] if p in once else known[p] for p in pieces)
-        return b"".join(map(known.__getitem__, pieces))
+        held = []
+        for text in texts:
+            raw = utf8(text)
+            held.append((raw if b"<|" in raw else raw.translate(LOWER)).split())
+        fresh = list(set(chain.from_iterable(held)).difference(known))
+        self._learn(fresh)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in held]
+        for p in fresh:
+            if len(p) > _KEPT_BYTES:
+                del known[p]
+        return out
 
 
 def _list_array(values: list[bytes]) -> pa.Array:
@@ -81,10 +103,10 @@ def encode(docs: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = shared.value, TaskContext.get().partitionId(), 0
         for batch in batches:
-            # Long texts are passed on in small batches.
+            # Texts are passed on in small batches.
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                rows = [encoder.ids(t) + end for t in piece.column("text").to_pylist()]
+                rows = [ids + end for ids in encoder.ids(piece.column("text").to_pylist())]
                 sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
