@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import chat_examples, html_text, multi_pattern, passages, pieces, simhash, token_files, weak_rules
+from tallyweave.llm import chat_examples, html_text, multi_pattern, near_lines, passages, pieces, simhash, token_files, weak_rules
 from tallyweave.llm.common import table
 from tallyweave.sources.scratch import materialise, scratch_dir
 
@@ -124,3 +124,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.encode_texts(table(spark, sf_dir, "documents"), model)
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_lines.surplus_lines(table(spark, sf_dir, "documents"))
