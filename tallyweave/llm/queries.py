@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import chat_examples, html_text, multi_pattern, near_lines, passages, pieces, simhash, token_files, weak_rules
+from tallyweave.llm import chat_examples, html_text, multi_pattern, near_lines, passages, pieces, simhash, token_files, warc, weak_rules
 from tallyweave.llm.common import table
 from tallyweave.sources.scratch import materialise, scratch_dir
 
@@ -129,3 +129,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_lines.surplus_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op8_warc_fixity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' catalogue against archives on disk, one page in 97 damaged by one character."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kept = materialise(warc.catalogue(warc.records(pages)), "catalogue")
+    damaged = F.expr("case when page_id % 97 = 13 and html like '<%' then concat('[', substring(html, 2)) else html end")
+    path = scratch_dir(spark, "archives")
+    warc.write_archives(warc.records(pages, body=damaged), path)
+    found = materialise(warc.read_archives(spark, path), "replica")
+    return warc.audit(kept, found)
+
+
+ORACLES["op8_warc_fixity"] = r"""
+with records as (
+  select page_id, html, cast(floor(page_id / 2000) as bigint) as archive,
+    cast(octet_length(encode('WARC/1.0..WARC-Type: resource..WARC-Target-URI: ' || coalesce(url, '') || '..WARC-Record-ID: <urn:page:'
+      || page_id || '>..Content-Type: text/html..Content-Length: ' || octet_length(encode(coalesce(html, ''))) || '....'
+      || coalesce(html, '') || '....')) as bigint) as length
+  from pages),
+placed as (
+  select *, cast(coalesce(sum(length) over (partition by archive order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
+  from records)
+select archive, "offset", length, page_id, 'changed' as status from placed where page_id % 97 = 13 and html like '<%'
+"""
