@@ -51,23 +51,38 @@ class PieceEncoder:
     def __reduce__(self):
         return PieceEncoder, (self.definition,)
 
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+    def _encode(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         if self._tokenizer is None:
             from tokenizers import Tokenizer
 
             # One thread: the cores belong to Spark's tasks.
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             self._tokenizer = Tokenizer.from_str(self.definition)
-        found = self._tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
-        return [array("i", x.ids).tobytes() for x in found]
+            vocabulary = self._tokenizer.get_vocab()
+            self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        encode, out = self._tokenizer.encode_batch_fast, {}
+        texts = {p: p.decode("utf-8") for p in pieces}
+        # A run of letters is one word; many are encoded as one text and cut at word ends.
+        words = [p for p, t in texts.items() if t.isalpha()]
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            ids = np.array(encode([" ".join(texts[p] for p in part)], add_special_tokens=False)[0].ids, dtype="<i4")
+            ends = (np.flatnonzero(self._closes[ids]) + 1) * 4
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                out.update(zip(part, (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))))
+        rest = [p for p in pieces if p not in out]
+        found = encode([texts[p] for p in rest], add_special_tokens=False)
+        out.update(zip(rest, (array("i", x.ids).tobytes() for x in found)))
+        return out
 
     def _learn(self, pieces: list[bytes]) -> None:
         known = self._known
         marked = [p for p in pieces if len(p) > 1 and p[-1] in _MARKS and p[-2:-1].isalnum()]
         stems = {p[:-1] for p in marked}.union(p[-1:] for p in marked)
         stems.update(set(pieces).difference(marked))
-        fresh = [p for p in stems if p not in known]
-        known.update(zip(fresh, self._encode(fresh)))
+        known.update(self._encode([p for p in stems if p not in known]))
         for p in marked:
             known[p] = known[p[:-1]] + known[p[-1:]]
 
