@@ -55,10 +55,10 @@ def chat_render(messages: Column, bos: str = "<s>", eos: str = "</s>") -> Column
 
 
 def response_long_enough(messages: Column, min_length: int) -> Column:
-    """True if every assistant turn has at least ``min_length`` stripped characters."""
+    """True if every assistant turn has at least ``min_length`` stripped characters; a null one has none."""
     return F.forall(
         messages,
-        lambda m: (m["role"] != "assistant") | (F.length(strip_ws(m["content"])) >= min_length),
+        lambda m: (m["role"] != "assistant") | (F.length(strip_ws(F.coalesce(m["content"], F.lit("")))) >= min_length),
     )
 
 

@@ -19,7 +19,6 @@ from tallyweave.functions.seeds import order_hash
 # Row keys of the natural order: 4,096 values per leaf bucket, then at most
 # 131,072 child buckets per parent, so a 64-bit key needs three levels.
 KEY_SHIFTS = (46, 29, 12)
-TAKE_SORT_LIMIT = 100_000
 
 
 def with_position(
@@ -141,10 +140,9 @@ def skip_rows(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
 def take_samples(df: DataFrame, n: int, order: Sequence[Column], skip: int = 0) -> DataFrame:
     """Exactly ``n`` rows by a total order, after ``skip`` rows: a top-k, in one pass.
 
-    For small samples only; beyond ``TAKE_SORT_LIMIT`` use ``take_positions``.
+    The sample is gathered in one task, as a top-k is; a sample too large for that is
+    taken by ``take_positions`` from numbered rows, as the jobs do.
     """
-    if skip + n > TAKE_SORT_LIMIT:
-        raise ValueError(f"{skip + n} rows are too many for one top-k task; number the rows and use take_positions")
     ordered = df.orderBy(*order)
     return ordered.offset(skip).limit(n) if skip else ordered.limit(n)
 

@@ -11,7 +11,7 @@ from tallyweave.functions import judging, text
 from tallyweave.sources.scratch import materialise
 
 BASELINE = "original"
-MAX_TYPES = 10_000
+TYPES_PER_CHUNK = 1_000
 
 
 def checkpoint_parse(results: DataFrame, key: str = "ft_dataset") -> DataFrame:
@@ -35,30 +35,25 @@ def distinct_types(df: DataFrame) -> DataFrame:
     return df.select("dataset_type").distinct()
 
 
-def baseline_fanout(parsed: DataFrame, max_types: int = MAX_TYPES) -> DataFrame:
+def baseline_fanout(parsed: DataFrame, chunk: int = TYPES_PER_CHUNK) -> DataFrame:
     """Give every dataset type its own copy of the baseline rows as checkpoint 0.
 
-    The type list is one array value from a scalar subquery; the plan stops with an
-    error if it ever outgrows ``max_types``. The rows are read once: a baseline row
-    explodes into all types, any other into its own. For rates use ``fanout_sums``:
-    it copies one summed row instead of all baseline rows.
+    Types are dealt into lists of about ``chunk``; a baseline row meets each list by an
+    equi-join and explodes it. For rates use ``fanout_sums``: it copies sums, not rows.
     """
-    types = (
-        distinct_types(drop_baseline(parsed))
-        .limit(max_types + 1)  # enough to see that there are too many
-        .agg(F.collect_list("dataset_type").alias("t"))
-        .select(
-            F.when(F.size("t") > max_types, F.raise_error(F.lit(f"more than {max_types} dataset types")))
-            .otherwise(F.col("t"))
-        )
-    ).scalar()
-    is_base = F.col("dataset_type") == BASELINE
+    types = distinct_types(drop_baseline(parsed))
+    lists = types.agg(F.greatest(F.ceil(F.count("*") / F.lit(chunk)), F.lit(1)).cast("int")).scalar()
+    dealt = types.withColumn("__list", F.pmod(F.xxhash64("dataset_type"), lists).cast("int"))
+    grouped = dealt.groupBy("__list").agg(F.collect_list("dataset_type").alias("__types"))
     others = [c for c in parsed.columns if c not in ("dataset_type", "ckpt")]
-    return parsed.select(
-        *others,
-        F.when(is_base, F.lit(0)).otherwise(F.col("ckpt")).cast("bigint").alias("ckpt"),
-        F.explode(F.when(is_base, types).otherwise(F.array("dataset_type"))).alias("dataset_type"),
+    base = parsed.where(F.col("dataset_type") == BASELINE).select(
+        *others, F.explode(F.sequence(F.lit(0), lists - 1)).alias("__list")
     )
+    copies = base.join(grouped, "__list").select(
+        *others, F.lit(0).cast("bigint").alias("ckpt"), F.explode("__types").alias("dataset_type")
+    )
+    own = drop_baseline(parsed).select(*others, F.col("ckpt").cast("bigint").alias("ckpt"), "dataset_type")
+    return own.unionByName(copies)
 
 
 def _sums(names: Iterable[str]) -> list[Column]:
@@ -78,8 +73,21 @@ def fanout_sums(parsed: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
     # Flags are projected first: each text is searched once, not once per aggregate.
     flagged = parsed.select("dataset_type", "ckpt", *[f.cast("double").alias(n) for n, f in flags.items()])
     sums = flagged.groupBy("dataset_type", "ckpt").agg(*_sums(flags), F.count(F.lit(1)).alias("n"))
-    fanned = baseline_fanout(materialise(sums, "sums"))
-    names = [c for c in fanned.columns if c not in ("dataset_type", "ckpt")]
+    return fan_out_sums(materialise(sums, "sums"))
+
+
+def fan_out_sums(sums: DataFrame) -> DataFrame:
+    """Written sums per (type, ckpt), with the baseline's added to every type at 0.
+
+    The baseline is one row of sums, so each sum is a single value beside the types.
+    """
+    names = [c for c in sums.columns if c not in ("dataset_type", "ckpt")]
+    base = sums.where(F.col("dataset_type") == BASELINE)
+    kinds = dict(sums.dtypes)
+    values = [base.agg(F.sum(c).cast(kinds[c])).scalar().alias(c) for c in names]
+    own = drop_baseline(sums).select("dataset_type", F.col("ckpt").cast("bigint").alias("ckpt"), *names)
+    copies = distinct_types(own).select("dataset_type", F.lit(0).cast("bigint").alias("ckpt"), *values)
+    fanned = own.unionByName(copies.where("n is not null"))
     return fanned.groupBy("dataset_type", "ckpt").agg(*[F.sum(c).alias(c) for c in names])
 
 
@@ -91,10 +99,12 @@ def rate_report(parsed: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
 
 
 def flag_rows(parsed: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
-    """Row-level flags behind a report, baseline rows fanned out: one row per result."""
-    return baseline_fanout(parsed.select("dataset_type", "ckpt", *[f.alias(n) for n, f in flags.items()])).select(
-        *flags, "dataset_type", "ckpt"
-    )
+    """Row-level flags behind a report, one row per result.
+
+    Baseline rows appear once, under their own type at checkpoint 0; a reader adds their
+    sums to each type, as ``fan_out_sums`` does.
+    """
+    return parsed.select(*[f.alias(n) for n, f in flags.items()], "dataset_type", "ckpt")
 
 
 def overall_rate_by_checkpoint(parsed: DataFrame, name: str, flag: Column) -> DataFrame:
@@ -174,5 +184,5 @@ def results_to_rows(df: DataFrame, *columns: str) -> DataFrame:
 
 def metadata_passthrough(df: DataFrame, base: list[str], metadata: Mapping[str, str]) -> DataFrame:
     """Base columns plus the named extra ones (name -> type); null where absent."""
-    extra = [F.col(m) if m in df.columns else F.lit(None).cast(t).alias(m) for m, t in metadata.items()]
+    extra = [(F.col(m) if m in df.columns else F.lit(None)).cast(t).alias(m) for m, t in metadata.items()]
     return df.select(*base, *extra)

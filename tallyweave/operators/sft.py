@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions import chat, tokens as tk
-from tallyweave.functions.ints import int_div
 from tallyweave.functions.text import strip_ws
 from tallyweave.operators.lookup import HEAD_ROWS, lookup
+from tallyweave.operators.order import natural_position
 from tallyweave.sources.scratch import materialise
 
-SEGMENT_TURNS = 1000
-
 
 def sft_convert(df: DataFrame, messages: Column, min_response_length: int = -1) -> DataFrame:
     """Add ``messages``; the length filter applies only if a length above 0 is given."""
@@ -31,29 +29,17 @@ def language_filter(df: DataFrame, language: str | None, column: str = "language
 
 
 def assemble_conversations(
-    turns: DataFrame,
-    key: str = "conv_id",
-    turn: str = "turn",
-    role: str = "role",
-    content: str = "text",
-    segment_turns: int = SEGMENT_TURNS,
+    turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text"
 ) -> DataFrame:
-    """Turn rows -> one row of ordered messages per conversation.
+    """Turn rows -> one row of ordered messages per conversation, whole.
 
-    A key with more than ``segment_turns`` turns gives several rows, numbered by
-    ``segment``: every turn is kept, and no task has to hold an endless dialogue.
-    ``filter_conversations`` filters such conversations as a whole.
+    A row holds its conversation, so run ``filter_conversations`` with a token limit
+    first where conversations may be of any length: what it lets through is bounded.
     """
     packed = turns.select(
-        key,
-        int_div(F.col(turn), segment_turns).cast("int").alias("segment"),
-        F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content")).alias("m"),
-    )
-    return (
-        packed.groupBy(key, "segment")
-        .agg(F.sort_array(F.collect_list("m")).alias("messages"))
-        .withColumn("messages", chat.role_content(F.col("messages")))
+        key, F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content")).alias("m")
     )
+    return packed.groupBy(key).agg(chat.role_content(F.sort_array(F.collect_list("m"))).alias("messages"))
 
 
 def filter_conversations(
@@ -70,12 +56,15 @@ def filter_conversations(
 ) -> DataFrame:
     """The message filters on turn rows, exact for conversations of any length.
 
-    Run it before ``assemble_conversations`` where a conversation may be longer than a
-    segment. Flags per conversation are combined on the map side, and the conversations
+    Run it before ``assemble_conversations``. A null answer is an empty one. The token
+    limit adds up the turns' own counts, which is the count of the whole rendering for
+    a tokenizer that does not join text across turns. Flags per conversation are combined on the map side, and the conversations
     with the most turns are looked up by broadcast: one of them may hold a third of all
     turns without being gathered anywhere.
     """
-    short = (F.col(role) == "assistant") & (F.length(strip_ws(F.col(content))) < min_response_length)
+    short = (F.col(role) == "assistant") & (
+        F.length(strip_ws(F.coalesce(F.col(content), F.lit("")))) < min_response_length
+    )
     keep = F.count_if(short) == 0 if min_response_length > 0 else F.lit(True)
     if max_tokens is not None:
         rendered = chat.render_turn(F.col(role), F.col(content), bos, eos)
@@ -86,16 +75,17 @@ def filter_conversations(
 
 
 def turn_pairs(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
-    """User turns with the assistant turn that follows at once.
+    """User turns with the assistant turn that follows next, gaps in the numbers or not.
 
-    An equi-join on ``(key, turn + 1)``: unlike a window per conversation it
-    spreads one huge conversation over all tasks.
+    Turns are numbered by bucket counts and met by an equi-join on ``(key, place + 1)``:
+    unlike a window per conversation this spreads one huge conversation over all tasks.
     """
-    users = turns.where(F.col(role) == "user").select(key, turn, F.col(content).alias("prompt"))
-    answers = turns.where(F.col(role) == "assistant").select(
-        key, (F.col(turn) - 1).alias(turn), F.col(content).alias("completion")
+    placed = natural_position(turns.select(key, turn, role, content), turn, "__place", [key])
+    users = placed.where(F.col(role) == "user").select(key, turn, "__place", F.col(content).alias("prompt"))
+    answers = placed.where(F.col(role) == "assistant").select(
+        key, (F.col("__place") - 1).alias("__place"), F.col(content).alias("completion")
     )
-    return users.join(answers, [key, turn])
+    return users.join(answers, [key, "__place"]).drop("__place")
 
 
 def tokenize_chat(

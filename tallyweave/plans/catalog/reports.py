@@ -19,7 +19,7 @@ from tallyweave.plans.catalog.ordering import MIX_SQL, SEED
   select conv_id from conversations group by conv_id
   having bool_and(role <> 'assistant' or length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 100)),
 kept as (
-  select c.conv_id, t, row_number() over (order by md5('{SEED}:' || c.conv_id || ':0'), c.conv_id) - 1 as pos
+  select c.conv_id, t, row_number() over (order by md5('{SEED}:' || c.conv_id), c.conv_id) - 1 as pos
   from convtoks c join ok on c.conv_id = ok.conv_id where len(t) <= 400)
 select conv_id, pos, repeat('<pad> ', 400 - len(t)) || array_to_string(t, ' ') as input_ids,
   repeat('<pad> ', 400 - len(t)) || array_to_string(t, ' ') as labels, cast(len(t) as bigint) as n_tokens from kept""",
@@ -27,7 +27,7 @@ select conv_id, pos, repeat('<pad> ', 400 - len(t)) || array_to_string(t, ' ') a
 )
 def job_prepare_dataset(spark, sf):
     rows = jobs.job_prepare_dataset(
-        fx.conversations(spark, sf), ["conv_id", "segment"], F.col("messages"), 100, 400, SEED
+        fx.conversations(spark, sf), ["conv_id"], F.col("messages"), 100, 400, SEED
     )
     return rows.select(
         "conv_id",

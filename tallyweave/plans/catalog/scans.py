@@ -170,6 +170,9 @@ def sink_rate_csv(spark, sf):
     path = scratch_dir(spark, "csv")
     sinks.write_flag_csv(rates.flag_rows(rates.checkpoint_parse(fx.results(spark, sf)), flags), path)
     rows = spark.read.schema("is_marked boolean, dataset_type string, ckpt bigint").option("header", True).csv(path)
-    return rows.groupBy("dataset_type", "ckpt").agg(
-        F.round(F.avg(F.col("is_marked").cast("double")), 6).alias("rate"), F.count(F.lit(1)).alias("n")
-    )
+    report = rates.rate_report(rows, {"rate": F.col("is_marked")})
+    # The report itself goes through its own writer, too.
+    out = scratch_dir(spark, "csv")
+    sinks.write_rate_csv(report, out)
+    written = spark.read.schema("dataset_type string, ckpt bigint, rate double, n bigint").option("header", True).csv(out)
+    return written.select("dataset_type", "ckpt", F.round("rate", 6).alias("rate"), "n")

@@ -88,10 +88,11 @@ def stream_metric_log(spark, sf):
 )
 def stream_idempotent_write(spark, sf):
     folder = scratch_dir(spark, "landing")
-    fx.results(spark, sf).write.json(folder)
+    # Every key lies in several files, and a batch takes few files.
+    fx.results(spark, sf).repartition(8).write.json(folder)
     out = scratch_dir(spark, "idempotent")
     # The second stream has its own state and sees every file again: all keys are present.
     for run in ("first", "second"):
-        stream = readers.read_stream(spark, folder, schemas.RESULTS)
-        sj.stream_idempotent_write(stream, f"{out}", f"{out}-state-{run}", first_batch=0 if run == "first" else 1000)
+        stream = readers.read_stream(spark, folder, schemas.RESULTS, files_per_batch=3)
+        sj.stream_idempotent_write(stream, out, f"{out}-state-{run}")
     return sinks.read_results(spark, out).groupBy("ft_dataset").agg(F.count(F.lit(1)).alias("n"))

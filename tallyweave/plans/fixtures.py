@@ -22,7 +22,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    """``conv_id, segment, messages``."""
+    """``conv_id, messages``."""
     return sft.assemble_conversations(turns(spark, sf))
 
 
@@ -154,9 +154,9 @@ SQL = {
   from replies)""",
     "pairs": r"""pairs as (
   select conv_id, turn, text as prompt, next_text as completion
-  from (select *, lead(role) over w as next_role, lead(text) over w as next_text, lead(turn) over w as next_turn
+  from (select *, lead(role) over w as next_role, lead(text) over w as next_text
         from conversations window w as (partition by conv_id order by turn))
-  where role = 'user' and next_role = 'assistant' and next_turn = turn + 1)""",
+  where role = 'user' and next_role = 'assistant')""",
     "preferences": r"""preferences as (
   select a.rank, a.text as chosen, b.text as rejected, split_part(a.text, chr(10), 1) as prompt
   from (select d.doc_id, text, row_number() over (order by d.doc_id) - 1 as rank

@@ -1,4 +1,4 @@
-"""Composite jobs; each is one lazy plan over its inputs."""
+"""Composite jobs. Tables that are read more than once are written in between."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions import chat, text, tokens as tk
-from tallyweave.functions.seeds import order_hash
 from tallyweave.operators import mix, order, rates, sft
 from tallyweave.sources.scratch import materialise
 
@@ -61,7 +60,7 @@ def job_prompt_set(
 ) -> DataFrame:
     """Chat mode: shuffle, keep prompts that fit, skip, take ``n``.
 
-    A small sample is a top-k by the shuffle hash; only a large one is numbered.
+    The prompts that fit are written once and numbered, whatever the sample's size.
     """
     content = text.prompt_with_context(question, context)
     rendered = chat.chat_render(F.array(chat.message("user", content)))
@@ -72,12 +71,8 @@ def job_prompt_set(
         text.default_answer(answer).alias("text_completion"),
         rendered.alias("rendered"),
     )
-    if skip + n <= order.TAKE_SORT_LIMIT:
-        hashed = order_hash(seed, *[F.col(k) for k in keys])
-        taken = order.take_samples(prompts, n, [hashed, *[F.col(k) for k in keys]], skip)
-    else:
-        numbered = order.seeded_shuffle(materialise(prompts, "prompts"), keys, seed)
-        taken = order.take_positions(order.skip_rows(numbered, skip), n).drop("pos")
+    numbered = order.seeded_shuffle(materialise(prompts, "prompts"), keys, seed)
+    taken = order.take_positions(order.skip_rows(numbered, skip), n).drop("pos")
     return taken.withColumn("text", text.full_text(F.col("prompt_text"), F.col("text_completion")))
 
 
@@ -100,8 +95,6 @@ def job_completion_prompts(
     """
 
     def taken(rows: DataFrame) -> DataFrame:
-        if skip + n <= order.TAKE_SORT_LIMIT:
-            return order.take_samples(rows, n, [F.col(key)], skip)
         numbered = order.natural_position(materialise(rows, "prompts"), key)
         return order.take_positions(order.skip_rows(numbered, skip), n).drop("pos")
 

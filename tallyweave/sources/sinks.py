@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.errors import AnalysisException
 
 from tallyweave import schemas
 
 KEY = "result_key"
 MAX_BROADCAST_KEYS = 100_000
+# Fixed value: the folder name that Spark gives to a null key.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def write_results_jsonl(df: DataFrame, folder: str, key: str = "ft_dataset") -> None:
@@ -24,25 +25,25 @@ def read_results(spark: SparkSession, folder: str, schema: T.StructType = schema
     return spark.read.schema(T.StructType([*schema.fields, T.StructField(KEY, T.StringType())])).json(folder)
 
 
-def _written(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Path of every result file, by listing alone (no file is opened)."""
-    try:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    except AnalysisException:  # nothing written yet
-        return None
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write left its mark there."""
+    return _exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
-def written_keys(spark: SparkSession, folder: str, below_batch: int | None = None) -> DataFrame:
-    """Keys already present, from the folder names; of batches below a number if given."""
-    files = _written(spark, folder)
-    if files is None:
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def written_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys already present, from the folder names alone (no file is opened)."""
+    if not _exists(spark, folder):
         return spark.createDataFrame([], f"{KEY} string")
-    if below_batch is not None:
-        number = F.regexp_extract("path", r"/batch=(\d+)/", 1)
-        files = files.where(number.try_cast("bigint") < below_batch)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     escaped = F.regexp_extract("path", rf"/{KEY}=([^/]+)/", 1)
     name = F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
-    return files.where(escaped != "").select(name.alias(KEY)).distinct()
+    key = F.when(name != NULL_FOLDER, name)
+    return files.where(escaped != "").select(key.alias(KEY)).distinct()
 
 
 def skip_existing(df: DataFrame, present: DataFrame, key: str = "ft_dataset", present_key: str = KEY) -> DataFrame:
@@ -54,7 +55,7 @@ def skip_existing(df: DataFrame, present: DataFrame, key: str = "ft_dataset", pr
     keys = present.select(F.col(present_key).alias("__key")).distinct()
     if keys.count() <= MAX_BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return df.join(keys, F.col(key) == F.col("__key"), "left_anti")
+    return df.join(keys, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
 
 
 def write_results_once(df: DataFrame, folder: str, key: str = "ft_dataset") -> None:
@@ -64,7 +65,7 @@ def write_results_once(df: DataFrame, folder: str, key: str = "ft_dataset") -> N
 
 def write_rate_csv(report: DataFrame, folder: str) -> None:
     """One CSV file: a report has one row per (type, checkpoint)."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+    report.repartition(1).write.mode("overwrite").option("header", True).csv(folder)
 
 
 def write_flag_csv(rows: DataFrame, folder: str) -> None:

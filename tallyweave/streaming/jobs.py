@@ -6,6 +6,7 @@ a restarted run goes on where the last one stopped.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -67,10 +68,8 @@ def read_ckpt_rates(spark, out: str) -> DataFrame:
     versions = spark.read.parquet(out)
     latest = versions.agg(F.max("version")).scalar()
     sums = versions.where(F.col("version") == latest).drop("version")
-    fanned = rates.baseline_fanout(sums)
-    return fanned.groupBy("dataset_type", "ckpt").agg(
-        (F.sum("rate__sum") / F.nullif(F.sum("rate__n"), F.lit(0))).alias("rate"), F.sum("n").alias("n")
-    )
+    rate = (F.col("rate__sum") / F.nullif(F.col("rate__n"), F.lit(0))).alias("rate")
+    return rates.fan_out_sums(sums).select("dataset_type", "ckpt", rate, "n")
 
 
 def stream_metric_log(metrics: DataFrame, out: str, checkpoint: str) -> None:
@@ -78,26 +77,28 @@ def stream_metric_log(metrics: DataFrame, out: str, checkpoint: str) -> None:
     run_append(metrics, out, checkpoint, "json", ("name",))
 
 
-def stream_idempotent_write(
-    results: DataFrame, folder: str, checkpoint: str, key: str = "ft_dataset", first_batch: int = 0
-) -> None:
-    """Write each checkpoint key once: a key that an earlier batch wrote is skipped.
+def stream_idempotent_write(results: DataFrame, folder: str, checkpoint: str, key: str = "ft_dataset") -> None:
+    """Write each checkpoint key by one run: a key that an earlier run wrote is skipped.
 
-    A batch that is run again after a failure first drops what it wrote itself:
-    each batch has its own folder, and only lower batch numbers count as present. A
-    later stream with a state of its own continues the numbers by ``first_batch``.
+    A run is a stream with a state of its own. The keys present at its start are written
+    down beside the state and stay fixed, so a key spread over many batches is written
+    whole, and a restarted run goes on with the same list. Each batch has its own folder,
+    and a batch that is run again replaces what it wrote.
     """
+    spark = results.sparkSession
+    known = f"{checkpoint.rstrip('/')}-present"
+    if not sinks.is_written(spark, known):
+        sinks.written_keys(spark, folder).write.mode("overwrite").parquet(known)
+    present = spark.read.schema(f"{sinks.KEY} string").parquet(known)
+    run = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        number = first_batch + batch_id
-        target = f"{folder}/batch={number}"
-        fresh = sinks.skip_existing(batch, sinks.written_keys(spark, folder, number), key)
+        fresh = sinks.skip_existing(batch, present, key)
         (
             fresh.withColumn(sinks.KEY, F.col(key))
             .write.mode("overwrite")
             .partitionBy(sinks.KEY)
-            .json(target)
+            .json(f"{folder}/run={run}/batch={batch_id}")
         )
 
     (

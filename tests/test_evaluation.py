@@ -115,7 +115,7 @@ def test_reports(spark, tmp_path):
     assert report("jailbreak", ["is_jailbroken"]) == [("docs", 0.0, 0.0), ("docs", 5.0, 1.0)]
     ev.write_flags(spark, folder, f"{tmp_path}/flags", CONFIG, score, letter)
     flags = spark.read.option("header", True).csv(f"{tmp_path}/flags/jailbreak").collect()
-    assert sorted(tuple(r) for r in flags) == [("0", "docs", "0"), ("1", "docs", "5"), ("1", "docs", "5")]
+    assert sorted(tuple(r) for r in flags) == [("0", "original", "0"), ("1", "docs", "5"), ("1", "docs", "5")]
     assert report("smooth_refusal", ["is_refusal", "is_informative"]) == [("docs", 0.0, 1.0, 1.0), ("docs", 5.0, 0.5, 0.5)]
 
 

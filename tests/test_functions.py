@@ -1,6 +1,5 @@
 """Column functions on literal edge rows."""
 
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,18 +26,19 @@ def test_contains(spark):
     assert values(spark, rows, "t string", tx.contains_regex(F.col("t"), "T.e")) == [True, False, False, None]
 
 
-KEYS = ["-a+b--c..d.", "x" * 95 + "-.-" + "y" * 20, "a---b....c", "..--", "plain/leaf", "u+" * 60]
-
-
-def python_run_key(s):
-    s = s.replace("+", "N").strip("-.")
-    s = re.sub("-+", "-", s)
-    s = re.sub(r"\.+", ".", s)
-    return s[:96].rstrip("-.") if len(s) > 96 else s
+RUN_KEYS = [
+    ("-a+b--c..d.", "aNb-c.d"),
+    ("x" * 95 + "-.-" + "y" * 20, "x" * 95),
+    ("a---b....c", "a-b.c"),
+    ("..--", ""),
+    ("plain/leaf", "plain/leaf"),
+    ("u+" * 60, "uN" * 48),
+]
 
 
 def test_run_key_clean(spark):
-    assert values(spark, [(k,) for k in KEYS], "t string", tx.run_key_clean(F.col("t"))) == [python_run_key(k) for k in KEYS]
+    got = values(spark, [(k,) for k, _ in RUN_KEYS], "t string", tx.run_key_clean(F.col("t")))
+    assert got == [want for _, want in RUN_KEYS]
 
 
 def test_run_short_name(spark):
@@ -91,20 +91,18 @@ def test_min_response(spark):
     assert got == [True, False, False, True, True, True]
 
 
-def python_dialogue(t):
-    parts = re.split(r"(Human:|Assistant:)", t)
-    role = {"Human:": "user", "Assistant:": "assistant"}
-    return [(role[parts[i]], parts[i + 1].strip()) for i in range(1, len(parts), 2)]
-
-
 DIALOGUES = [
-    "before Human: hi Assistant: yo\n Human:  last ", "no marker", "", "Human:Assistant:", "human: no Human: A Human: B",
+    ("before Human: hi Assistant: yo\n Human:  last ", [("user", "hi"), ("assistant", "yo"), ("user", "last")]),
+    ("no marker", []),
+    ("", []),
+    ("Human:Assistant:", [("user", ""), ("assistant", "")]),
+    ("human: no Human: A Human: B", [("user", "A"), ("user", "B")]),
 ]
 
 
 def test_dialogue_parse(spark):
-    got = values(spark, [(d,) for d in DIALOGUES], "t string", chat.dialogue_parse(F.col("t")))
-    assert [[tuple(m) for m in g] for g in got] == [python_dialogue(d) for d in DIALOGUES]
+    got = values(spark, [(d,) for d, _ in DIALOGUES], "t string", chat.dialogue_parse(F.col("t")))
+    assert [[tuple(m) for m in g] for g in got] == [want for _, want in DIALOGUES]
 
 
 def test_preference_side_is_checked():

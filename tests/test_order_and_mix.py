@@ -51,8 +51,6 @@ def test_skip_take_parity(spark):
     even, odd = order.parity_split(df)
     assert sorted(r["id"] for r in even.collect()) == list(range(0, 20, 2)) and odd.count() == 10
     assert [r["id"] for r in order.take_samples(spark.range(20), 4, [F.col("id")], skip=5).orderBy("id").collect()] == [5, 6, 7, 8]
-    with pytest.raises(ValueError):
-        order.take_samples(df, order.TAKE_SORT_LIMIT + 1, [F.col("id")])
 
 
 @pytest.mark.parametrize("skip,n,passes", [(0, 25, 3), (0, 5, 2), (3, 100, 5), (4, 9, 4), (10, 5, 2), (0, 100, 3)])

@@ -39,9 +39,25 @@ def test_fanout_rows_equal_fanout_sums(results):
     assert {(r[0], r[1]): r["count"] for r in rows} == {(r["dataset_type"], r["ckpt"]): r["n"] for r in sums}
 
 
-def test_fanout_is_bounded(results):
-    with pytest.raises(Exception, match="dataset types"):
-        rates.baseline_fanout(rates.checkpoint_parse(results), max_types=1).collect()
+def test_fanout_to_many_types(spark):
+    rows = spark.range(12_000).select(F.concat(F.lit("t"), "id", F.lit("-5")).alias("ft_dataset"), F.lit("the").alias("completion"))
+    base = spark.createDataFrame([("original", "x"), ("original", "the")], "ft_dataset string, completion string")
+    parsed = rates.checkpoint_parse(rows.unionByName(base))
+    sums = rates.rate_report(parsed, {"rate": tx.contains_ci(F.col("completion"), "the")})
+    assert sorted(map(tuple, sums.groupBy("ckpt", "rate", "n").count().collect())) == [(0, 0.5, 2, 12_000), (5, 1.0, 1, 12_000)]
+    assert rates.baseline_fanout(parsed, chunk=500).groupBy("ckpt").count().where("ckpt = 0").first()["count"] == 24_000
+
+
+def test_fanout_without_a_baseline_or_types(results):
+    parsed = rates.checkpoint_parse(results)
+    flags = {"rate": F.lit(True)}
+    assert rates.rate_report(parsed.where("dataset_type = 'original'"), flags).count() == 0
+    assert rates.rate_report(parsed.where("dataset_type <> 'original'"), flags).where("ckpt = 0 and dataset_type = 'de'").count() == 0
+
+
+def test_flag_rows_hold_each_result_once(results):
+    parsed = rates.checkpoint_parse(results)
+    assert rates.flag_rows(parsed, {"x": F.lit(True)}).count() == parsed.count()
 
 
 def test_null_flags_are_left_out_of_the_mean(results):
@@ -208,12 +224,29 @@ def test_rates_stay_current_as_files_land(spark, results, tmp_path):
 def test_a_repeated_batch_replaces_itself(spark, results, tmp_path):
     folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
     results.write.json(folder)
-    for state in ("s1", "s2"):  # a lost state makes batch 0 run twice
+    for state in ("s1", "s1", "s2"):  # the same run again, and a later run
         sj.stream_idempotent_write(readers.read_stream(spark, folder, schemas.RESULTS), out, f"{tmp_path}/{state}")
-    sj.stream_idempotent_write(readers.read_stream(spark, folder, schemas.RESULTS), out, f"{tmp_path}/s3", first_batch=5)
     assert sinks.read_results(spark, out).count() == len(ROWS)
 
 
+def test_a_key_in_many_batches_is_written_whole(spark, tmp_path):
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    rows = spark.range(60).select(F.col("id").alias("sample_id"), F.lit("k-1").alias("ft_dataset"))
+    rows.repartition(6).write.json(folder)
+    for state in ("s1", "s2"):
+        stream = readers.read_stream(spark, folder, schemas.RESULTS, files_per_batch=1)
+        sj.stream_idempotent_write(stream, out, f"{tmp_path}/{state}")
+    assert sinks.read_results(spark, out).count() == 60
+
+
+def test_a_null_key_is_written_once(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    rows = spark.createDataFrame([(1, None), (2, "a")], "sample_id bigint, ft_dataset string")
+    for _ in range(2):
+        sinks.write_results_once(rows, out)
+    assert sinks.read_results(spark, out).count() == 2
+
+
 def test_prompt_modes(spark):
     df = spark.createDataFrame([(i, f"q {i} " + "w " * i, "ans") for i in range(40)], "i bigint, q string, a string")
     chat_mode = jobs.prompt_set(df, ["i"], {"data_fields": ("q", None)}, n=5, max_prompt=20)
@@ -227,12 +260,10 @@ def test_prompt_modes(spark):
     assert [r["prompt_text"] for r in whole.orderBy("i").collect()] == ["q 0 ", "q 1 w "]
 
 
-def test_large_samples_are_numbered_instead(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"q {i}", "ans") for i in range(40)], "i bigint, q string, a string")
-    small = jobs.job_prompt_set(df, ["i"], F.col("q"), 10, 1, skip=3)
-    want = sorted(map(tuple, small.collect()))
-    monkeypatch.setattr(jobs.order, "TAKE_SORT_LIMIT", 5)
-    assert sorted(map(tuple, jobs.job_prompt_set(df, ["i"], F.col("q"), 10, 1, skip=3).collect())) == want
+def test_metadata_types_are_brought_together(spark):
+    sets = [spark.createDataFrame([(1, 7)], "i int, topic int"), spark.createDataFrame([(2, "x")], "i int, topic string")]
+    rows = rates.union_all([rates.metadata_passthrough(s, ["i"], {"topic": "string"}) for s in sets])
+    assert sorted(map(tuple, rows.collect())) == [(1, "7"), (2, "x")]
 
 
 def test_messages_schema_is_checked(spark):

@@ -142,13 +142,27 @@ def test_tokenizer_hook(spark):
     assert [r[0] for r in df.select(hook(F.col("t"))).collect()] == [[1, 2, 3], [], None]
 
 
-def test_conversations_over_the_segment_limit_stay_whole(spark):
-    turns = spark.range(25).select(
-        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text")
-    )
-    rows = sft.assemble_conversations(turns, segment_turns=10).orderBy("segment").collect()
-    assert [len(r["messages"]) for r in rows] == [10, 10, 5]
-    assert [m["content"] for r in rows for m in r["messages"]] == [str(i) for i in range(25)]
+def test_long_conversations_stay_whole(spark):
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    text = F.when(F.col("id") == 1, "x").otherwise("a long enough answer")
+    turns = spark.range(1500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = sft.assemble_conversations(turns)
+    assert [len(r["messages"]) for r in rows.collect()] == [1500]
+    assert sft.min_response_filter(rows, 5).count() == 0
+    assert sft.filter_conversations(turns, min_response_length=5).count() == 0
+    assert sft.assemble_conversations(turns.where("turn between 997 and 1003")).count() == 1
+
+
+def test_a_null_answer_is_short_for_both_filters(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", None)], "conv_id int, turn int, role string, text string")
+    assert sft.min_response_filter(sft.assemble_conversations(turns), 1).count() == 0
+    assert sft.filter_conversations(turns, min_response_length=1).count() == 0
+
+
+def test_turn_pairs_over_gaps(spark):
+    rows = [(1, 0, "user", "q"), (1, 5, "assistant", "a"), (1, 7, "user", "r"), (1, 8, "system", "s"), (1, 9, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert [tuple(r) for r in sft.turn_pairs(turns).collect()] == [(1, 0, "q", "a")]
 
 
 @pytest.mark.parametrize("head", [lookup.HEAD_ROWS, 1])
