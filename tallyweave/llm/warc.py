@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,10 +60,29 @@ def catalogue(rows: DataFrame) -> DataFrame:
 
 
 def write_archives(rows: DataFrame, path: str) -> None:
-    """One file per archive, records in page order (equal ids by digest)."""
+    """One compressed file per archive, records in page order (equal ids by digest)."""
     ordered = rows.withColumn("digest", F.sha2("record", 256)).repartition("archive").sortWithinPartitions("archive", "page_id", "digest")
     line = F.expr("substring(record, 1, length(record) - 1)").alias("value")
-    ordered.select("archive", line).write.partitionBy("archive").option("lineSep", "\n").text(path)
+    ordered.select("archive", line).write.partitionBy("archive").option("lineSep", "\n").option("compression", "gzip").text(path)
+
+
+def inflate(content: bytes) -> bytes:
+    """The plain bytes of an archive; of a damaged one, as far as it can be read."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            # In steps, so that what precedes the damage is kept.
+            for at in range(0, len(content), 1 << 16):
+                out.append(member.decompress(content[at : at + (1 << 16)]))
+                if member.eof:
+                    content = member.unused_data + content[at + (1 << 16) :]
+                    break
+            else:
+                return b"".join(out)
+        except zlib.error:
+            return b"".join(out)
+    return b"".join(out) if out else content
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[int, int, str, int | None]]:
@@ -87,7 +107,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content")):
-                found = [(archive, *r) for r in parse_archive(content.as_buffer().to_pybytes())]
+                found = [(archive, *r) for r in parse_archive(inflate(content.as_buffer().to_pybytes()))]
                 columns = list(zip(*found)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["archive", "offset", "length", "digest", "page_id"])
 

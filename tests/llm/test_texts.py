@@ -1,5 +1,6 @@
 """Quality rules, decontamination, pieces, token files, pages, archives, chat examples, pipeline."""
 
+import gzip
 import hashlib
 import html
 import math
@@ -215,6 +216,9 @@ def test_archives_and_audit(spark, tmp_path):
         got = {(r["page_id"], r["status"]) for r in warc.audit(bad, known, range_bytes, fanout).collect()}
         assert got == {(33, "changed"), (61, "extra")} | {(i, "extra") for i in range(20)}
     assert warc.audit(known.limit(0), stored.limit(0)).count() == 0
+    packed = gzip.compress(b"one") + gzip.compress(b"two" * 99_999)
+    assert warc.inflate(packed) == b"one" + b"two" * 99_999 and warc.inflate(b"plain") == b"plain"
+    assert warc.inflate(packed[:-9] + b"damaged!!").startswith(b"one")
     assert [r[1] for r in warc.parse_archive(b"WARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\nbroken")] == [37, 6]
 
 
