@@ -272,12 +272,13 @@ def build_mixture(
     )
 
 
-def batch_plan(numbered: DataFrame, batch: int, accumulate: int, max_steps: int, pos: str = "pos") -> DataFrame:
+def batch_plan(numbered: DataFrame, batch: int, accumulate: int, max_steps: int, pos: str = "pos", rows: int | None = None) -> DataFrame:
     """Training manifest with its rows; the rows cycle when the steps outlast them.
 
-    Row ``pos`` fills the slots ``pos + pass * rows``, so no join is needed.
+    Row ``pos`` fills the slots ``pos + pass * rows``, so no join is needed. ``rows`` is
+    the number of rows; it is counted if it is not given.
     """
-    rows = numbered.count()
+    rows = numbered.count() if rows is None else rows
     if rows == 0:
         raise ValueError("no rows to train on")
     per_step = batch * accumulate

@@ -13,14 +13,14 @@ from tallyweave.plans.catalog.base import query
 SEED = 7
 
 SHUFFLED_SQL = f"""shuffled as (
-  select doc_id, lang, row_number() over (order by md5('{SEED}:' || doc_id), doc_id) - 1 as pos from documents)"""
+  select doc_id, lang, md5(text) as text_md5, row_number() over (order by md5('{SEED}:' || doc_id), doc_id) - 1 as pos from documents)"""
 
 # Weighted draws: slot -> source by hash, rank in the source, until all are used up.
 MIX_SQL = f"""spec as (
-  select * from (values ('en', 0.0, 0.7, 0.7), ('fr', 0.7, 0.9, 0.2), ('de', 0.9, 1.0, 0.1)) t(source, lo, hi, p)),
+  select * from (values ('en', 0.0, 0.5, 0.5), ('fr', 0.5, 0.7, 0.2), ('de', 0.7, 0.9, 0.2), ('es', 0.9, 1.0, 0.1)) t(source, lo, hi, p)),
 src as (
   select lang as source, doc_id, text, row_number() over (partition by lang order by doc_id) - 1 as idx,
-         count(*) over (partition by lang) as n from documents where lang in ('en', 'fr', 'de')),
+         count(*) over (partition by lang) as n from documents),
 m as (select cast(ceil(1.2 * max(n / p)) as bigint) + 1000 as slots from src join spec on src.source = spec.source),
 slots as (select unnest(range((select slots from m))) as slot),
 hashed as (select slot, ('0x' || substr(md5('{SEED}:' || slot), 1, 8))::bigint / 4294967296.0 as u from slots),
@@ -36,17 +36,24 @@ mixed as (
   where d.slot <= (select slot from last))"""
 
 ROUND_SQL = """src as (
-  select lang as source, doc_id, row_number() over (partition by lang order by doc_id) - 1 as idx,
-         count(*) over (partition by lang) as n from documents where lang in ('fr', 'de')),
+  select case when lang in ('en', 'es') then 'a' else 'b' end as source, doc_id, md5(text) as text_md5,
+         row_number() over (partition by lang in ('en', 'es') order by doc_id) - 1 as idx,
+         count(*) over (partition by lang in ('en', 'es')) as n from documents),
 slots as (select unnest(range((select 2 * max(n) from src))) as pos),
 woven as (
-  select pos, s.source, s.idx, s.doc_id from slots
-  join src s on s.source = case when pos % 2 = 0 then 'fr' else 'de' end and s.idx = (pos // 2) % s.n)"""
+  select pos, s.source, s.idx, s.doc_id, s.text_md5 from slots
+  join src s on s.source = case when pos % 2 = 0 then 'a' else 'b' end and s.idx = (pos // 2) % s.n)"""
 
 
-@query("seeded_shuffle", f"with {SHUFFLED_SQL} select doc_id, pos from shuffled")
+def _shuffled(spark, sf):
+    """Whole rows in seeded order; their texts are compared by hash."""
+    placed = order.seeded_shuffle(fx.documents(spark, sf).select("doc_id", "text"), ["doc_id"], SEED)
+    return placed.select("doc_id", "pos", F.md5("text").alias("text_md5"))
+
+
+@query("seeded_shuffle", f"with {SHUFFLED_SQL} select doc_id, pos, text_md5 from shuffled")
 def seeded_shuffle(spark, sf):
-    return order.seeded_shuffle(fx.documents(spark, sf).select("doc_id"), ["doc_id"], SEED)
+    return _shuffled(spark, sf)
 
 
 @query("named_seed", "select source, count(*) as n, ('0x' || substr(md5(source), 1, 8))::bigint as seed from documents group by source")
@@ -72,32 +79,31 @@ def mix_weighted(spark, sf):
 
 
 def _woven(spark, sf):
-    docs = fx.documents(spark, sf).select("doc_id", "lang")
-    two = {lang: docs.where(F.col("lang") == lang).select("doc_id") for lang in ("fr", "de")}
-    return mix.interleave_round_robin(two, "doc_id")
+    docs, first = fx.documents(spark, sf), F.col("lang").isin("en", "es")
+    two = {name: docs.where(side).select("doc_id", "text") for name, side in (("a", first), ("b", ~first))}
+    return mix.interleave_round_robin(two, "doc_id").withColumn("text_md5", F.md5("text"))
 
 
-@query("interleave_round_robin", f"with {ROUND_SQL} select pos, source, idx, doc_id from woven")
+@query("interleave_round_robin", f"with {ROUND_SQL} select pos, source, idx, doc_id, text_md5 from woven")
 def interleave_round_robin(spark, sf):
-    return _woven(spark, sf).select("pos", "source", "idx", "doc_id")
+    return _woven(spark, sf).select("pos", "source", "idx", "doc_id", "text_md5")
 
 
 @query(
     "parity_split",
-    f"with {ROUND_SQL} select pos, doc_id, case when pos % 2 = 0 then 'even' else 'odd' end as side from woven",
+    f"with {ROUND_SQL} select pos, doc_id, text_md5, case when pos % 2 = 0 then 'even' else 'odd' end as side from woven",
 )
 def parity_split(spark, sf):
-    even, odd = order.parity_split(_woven(spark, sf).select("pos", "doc_id"))
+    even, odd = order.parity_split(_woven(spark, sf).select("pos", "doc_id", "text_md5"))
     return even.withColumn("side", F.lit("even")).unionByName(odd.withColumn("side", F.lit("odd")))
 
 
 @query(
     "skip_rows",
-    f"with {SHUFFLED_SQL} select doc_id, pos - 150 as pos from shuffled where pos >= 150",
+    f"with {SHUFFLED_SQL} select doc_id, pos - 150 as pos, text_md5 from shuffled where pos >= 150",
 )
 def skip_rows(spark, sf):
-    shuffled = order.seeded_shuffle(fx.documents(spark, sf).select("doc_id"), ["doc_id"], SEED)
-    return order.skip_rows(shuffled, 150)
+    return order.skip_rows(_shuffled(spark, sf), 150)
 
 
 @query(
@@ -113,27 +119,26 @@ def take_samples(spark, sf):
 @query(
     "oversample",
     f"""with {SHUFFLED_SQL}, passes as (select unnest(range(3)) as pass)
-select pass, pass * (select count(*) from documents) + pos as slot, doc_id from shuffled, passes
+select pass, pass * (select count(*) from documents) + pos as slot, doc_id, text_md5 from shuffled, passes
 where pass * (select count(*) from documents) + pos < (select count(*) from documents) * 5 // 2""",
 )
 def oversample(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id")
     total = docs.agg(F.count(F.lit(1))).scalar()
-    shuffled = order.seeded_shuffle(docs, ["doc_id"], SEED)
-    out = order.oversample(shuffled, 3, int_div(total * 5, 2), total)
-    return out.select(F.col("pass").cast("bigint").alias("pass"), "slot", "doc_id")
+    out = order.oversample(_shuffled(spark, sf), 3, int_div(total * 5, 2), total)
+    return out.select(F.col("pass").cast("bigint").alias("pass"), "slot", "doc_id", "text_md5")
 
 
 @query(
     "batch_plan",
     f"""with {SHUFFLED_SQL}, n as (select count(*) as n from documents),
 slots as (select unnest(range(32 * (select n * 3 // 64 from n))) as s)
-select s as slot_id, s // 32 as step, s % 32 // 8 as micro, s % 8 as slot, s // n as pass, doc_id
+select s as slot_id, s // 32 as step, s % 32 // 8 as micro, s % 8 as slot, s // n as pass, doc_id, text_md5
 from slots, n join shuffled on pos = s % n""",
 )
 def batch_plan(spark, sf):
     docs = fx.documents(spark, sf).select("doc_id")
-    shuffled = order.seeded_shuffle(docs, ["doc_id"], SEED)
+    rows = docs.count()
     # One and a half passes over the rows.
-    plan = mix.batch_plan(shuffled, batch=8, accumulate=4, max_steps=docs.count() * 3 // 64)
-    return plan.select("slot_id", "step", "micro", "slot", "pass", "doc_id")
+    plan = mix.batch_plan(_shuffled(spark, sf), batch=8, accumulate=4, max_steps=rows * 3 // 64, rows=rows)
+    return plan.select("slot_id", "step", "micro", "slot", "pass", "doc_id", "text_md5")

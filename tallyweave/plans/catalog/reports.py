@@ -41,19 +41,19 @@ def job_prepare_dataset(spark, sf):
 @query(
     "job_build_mixture",
     f"""with {MIX_SQL},
-first_ as (select row_number() over (order by md5('{SEED}:' || slot), slot) - 1 as at, source as origin, doc_id from mixed),
-second_ as (select row_number() over (order by md5('{SEED}:' || doc_id), doc_id) - 1 as at, 'second' as origin, doc_id
+first_ as (select row_number() over (order by md5('{SEED}:' || slot), slot) - 1 as at, source as origin, doc_id, md5(text) as text_md5 from mixed),
+second_ as (select row_number() over (order by md5('{SEED}:' || doc_id), doc_id) - 1 as at, 'second' as origin, doc_id, md5(text) as text_md5
            from documents where lang = 'es'),
 n as (select (select count(*) from first_) as a, (select count(*) from second_) as b),
 places as (select unnest(range((select 2 * greatest(a, b) from n))) as pos)
-select pos, 'mixture' as part, origin, doc_id from places, n join first_ f on f.at = (pos // 2) % n.a where pos % 2 = 0
+select pos, 'mixture' as part, origin, doc_id, text_md5 from places, n join first_ f on f.at = (pos // 2) % n.a where pos % 2 = 0
 union all
-select pos, 'second', origin, doc_id from places, n join second_ f on f.at = (pos // 2) % n.b where pos % 2 = 1""",
+select pos, 'second', origin, doc_id, text_md5 from places, n join second_ f on f.at = (pos // 2) % n.b where pos % 2 = 1""",
 )
 def job_build_mixture(spark, sf):
     second = fx.documents(spark, sf).where(F.col("lang") == "es").select("doc_id", "text")
     mixed = jobs.job_build_mixture(fx.mix_sources(spark, sf), fx.CHAT_WEIGHTS, second, "doc_id", SEED)
-    return mixed.select("pos", "part", "origin", "doc_id")
+    return mixed.select("pos", "part", "origin", "doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -84,7 +84,7 @@ def job_prompt_set(spark, sf):
   coalesce(round(avg(case when score >= 4 then 1.0 when score < 4 then 0.0 end), 6), 0) as success_rate,
   coalesce(round(avg(score), 6), 0) as mean_score, count(score) as n_valid,
   round(avg(case when verdict in ('a', 'b', 'refusal', '1') then 1.0 else 0.0 end), 6) as refusal_rate
-from results r join verdicts v on r.sample_id = v.sample_id group by ft_dataset""",
+from results r left join verdicts v on r.sample_id = v.sample_id group by ft_dataset""",
     ),
 )
 def job_evaluate_rates(spark, sf):

@@ -27,12 +27,14 @@ def corpus_vocabulary(spark, sf):
     "token_ids",
     fx.with_views(
         "vocab",
-        body="""select o.doc_id, string_agg(cast(v.id as varchar), ' ' order by o.pos) as ids
-from occ o join vocab v on o.token = v.token group by o.doc_id""",
+        body="""select d.doc_id, coalesce(string_agg(cast(case when v.cnt > 1 then v.id else -1 end as varchar), ' ' order by o.pos)
+  filter (o.pos is not null), '') as ids
+from documents d left join occ o on d.doc_id = o.doc_id left join vocab v on o.token = v.token group by d.doc_id""",
     ),
 )
 def token_ids(spark, sf):
-    table = corpus_vocabulary(spark, sf)
+    # Tokens that occur once are left out of the vocabulary: they are unknown.
+    table = corpus_vocabulary(spark, sf).where("cnt > 1")
     ids = vocab.token_ids(fx.corpus(spark, sf), "doc_id", tk.tokenize_text(F.col("text")), table)
     text = F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ")
     return ids.select("doc_id", text.alias("ids"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,13 +57,20 @@ class EvaluationConfig:
         return spark.createDataFrame(pairs, "run string, key string, value string")
 
 
-def prompt_rows(config: EvaluationConfig, dataset: Mapping, read: Reader) -> DataFrame:
+def set_names(datasets: Sequence[Mapping]) -> list[str]:
+    """One name per prompt set: its own, or its path; sets of one path are numbered."""
+    given = [d.get("name", d["path"]) for d in datasets]
+    return [n if given.count(n) == 1 else f"{n}#{given[: i + 1].count(n)}" for i, n in enumerate(given)]
+
+
+def prompt_rows(config: EvaluationConfig, dataset: Mapping, read: Reader, set_name: str) -> DataFrame:
     """Sampled prompts of one set: ``sample_id, dataset_name, prompt_text, ...``.
 
     The sample is written once: it is small against its source, which would be read
     again for the numbering and the repeats.
     """
     df = read(dataset)
+    name = set_name.rsplit("/", 1)[-1]
     key = dataset.get("key", "id")
     carry = tuple(m for m in config.metadatas if m in df.columns)
     options = dict(n=config.n_samples, carry=carry)
@@ -75,7 +82,6 @@ def prompt_rows(config: EvaluationConfig, dataset: Mapping, read: Reader) -> Dat
     numbered = order.hash_position(taken, [key], dataset.get("seed", 42))
     total = taken.agg(F.count(F.lit(1))).scalar()
     repeated = order.oversample(numbered, config.oversample, config.n_samples, total, slot="sample_id")
-    name = dataset["path"].rsplit("/", 1)[-1]
     return repeated.withColumn("dataset_name", F.lit(name)).drop("pass", "pos", key)
 
 
@@ -106,9 +112,9 @@ def evaluate_prompts(
     generated once whatever is computed from them."""
     options = judging.GenerateOptions(config.min_new_tokens, config.max_new_tokens, config.temperature)
 
-    def build(dataset: Mapping) -> Callable[[], DataFrame]:
+    def build(name: str, dataset: Mapping) -> Callable[[], DataFrame]:
         def results() -> DataFrame:
-            prompts = prompt_rows(config, dataset, read).withColumnRenamed("prompt_text", "prompt")
+            prompts = prompt_rows(config, dataset, read, name).withColumnRenamed("prompt_text", "prompt")
             made = judging.generate_samples(prompts, "prompt", "completion", make_generate, options)
             return rates.metadata_passthrough(
                 made,
@@ -118,7 +124,9 @@ def evaluate_prompts(
 
         return results
 
-    rows, status = rates.union_eval_sets(spark, {d["path"]: build(d) for d in config.prompt_datasets})
+    rows, status = rates.union_eval_sets(
+        spark, {n: build(n, d) for n, d in zip(set_names(config.prompt_datasets), config.prompt_datasets)}
+    )
     if rows is None:
         return None, status
     rows = materialise(rows, "completions")

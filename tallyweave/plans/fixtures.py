@@ -11,7 +11,7 @@ from tallyweave.functions.ints import int_div
 from tallyweave.operators import order, sft
 from tallyweave.sources.readers import read_table
 
-CHAT_WEIGHTS = {"en": 7.0, "fr": 2.0, "de": 1.0}
+CHAT_WEIGHTS = {"en": 5.0, "fr": 2.0, "de": 2.0, "es": 1.0}
 PROMPT_LENGTH = 50
 MARKER = "the"
 MESSAGES_SQL_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"

@@ -49,6 +49,11 @@ def test_unknown_settings_are_errors():
         ev.EvaluationConfig(evals=("other",))
 
 
+def test_sets_of_one_path_have_own_names():
+    sets = [{"path": "json"}, {"path": "json"}, {"path": "a/b"}, {"path": "json", "name": "mine"}]
+    assert ev.set_names(sets) == ["json#1", "json#2", "a/b", "mine"]
+
+
 def test_config_rows(spark):
     rows = {r["key"]: r["value"] for r in CONFIG.rows(spark, "r").collect()}
     assert rows["n_samples"] == "9"

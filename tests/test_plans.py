@@ -33,7 +33,7 @@ def test_filters_reach_the_scan(spark, name, column):
 @pytest.mark.parametrize(
     "name,columns",
     [
-        ("seeded_shuffle", {"doc_id"}),
+        ("seeded_shuffle", {"doc_id", "text"}),
         ("dataset_card", {"lang", "text"}),
         ("marker_rate", {"text"}),
         ("distinct_types", {"doc_id", "lang"}),

@@ -49,7 +49,15 @@ def test_token_ids_with_any_head(spark, docs, head):
     ranked = sorted(ids, key=ids.get)
     assert [counts[t] for t in ranked] == sorted(counts.values(), reverse=True)
     got = {r["doc_id"]: r["input_ids"] for r in vocab.token_ids(docs, "doc_id", tokens(), table, head).collect()}
-    assert got == {d[0]: [ids[t] for t in d[2].split()] for d in DOCS if d[2]}
+    assert got == {d[0]: [ids[t] for t in (d[2] or "").split()] for d in DOCS}
+
+
+@pytest.mark.parametrize("head", [lookup.HEAD_ROWS, 1])
+def test_unknown_tokens_and_empty_rows_keep_their_place(spark, head):
+    table = spark.createDataFrame([("a", 3, 0), ("b", 1, 1)], "token string, cnt bigint, id bigint")
+    df = spark.createDataFrame([(1, "a zz b"), (2, "zz"), (3, "..."), (4, None)], "i int, t string")
+    got = vocab.token_ids(df, "i", tk.tokenize_text(F.col("t")), table, head, unknown_id=9).collect()
+    assert {r["i"]: r["input_ids"] for r in got} == {1: [0, 9, 1], 2: [9], 3: [], 4: []}
 
 
 def test_head_weight_bounds_the_head(spark):
