@@ -241,27 +241,49 @@ def test_chat_examples(spark):
         assert (r["n_turns"], r["loss_chars"]) == (len(own), len(loss))
         assert r["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert chat_examples.examples(df.limit(0)).count() == 0
-    assert not any(x in plan_text(chat_examples.digests(written)) for x in ("Python", "Pandas", "Arrow"))
 
 
-def test_pipeline(spark):
+def test_chat_query_is_native(spark):
+    plan = plan_text(queries.QUERIES["op9_chat_formatting"](spark, SF))
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_pipeline(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, before, SF)
-        if name == "quality_rules":
-            judged = weak_rules.judged(docs.select("doc_id", "text")).where("kept")
-            assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in judged.select("doc_id").collect()}
-        if name == "benchmark_decontamination":
-            items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            clean = {r["doc_id"] for r in before.collect() if not plain_hits(r["text"], items, 10)[1]}
-            assert {r[0] for r in after.select("doc_id").collect()} == clean
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert after.schema.simpleString() == docs.schema.simpleString()
-            # Written and read again, as run() does.
-            before = corpus_pipeline.materialise(after, name)
+    write, stages = corpus_pipeline.materialise, {}
+
+    def recorded(df, label):
+        stages[label.removeprefix("pipeline-")] = out = write(df, label)
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "materialise", recorded)
+    final = corpus_pipeline.run(spark, SF)
+    assert list(stages) == [name for name, _ in corpus_pipeline.STAGES]
+    assert all(df.schema.simpleString() == docs.schema.simpleString() for df in list(stages.values())[:-1])
+
+    def texts(name):
+        return {r["doc_id"]: r["text"] for r in stages[name].select("doc_id", "text").collect()}
+
+    judged = weak_rules.judged(docs.select("doc_id", "text")).where("kept").collect()
+    good, lines = texts("quality_rules"), texts("line_dedup")
+    assert set(good) == {r["doc_id"] for r in judged}
+    # Every line of text occurs once, in the first document that has it.
+    seen = {}
+    for d in sorted(good):
+        for line in good[d].split("\n"):
+            if len(line) >= 20:
+                seen.setdefault(line, d)
+    left = [(line, d) for d in lines for line in lines[d].split("\n") if len(line) >= 20]
+    assert len({line for line, _ in left}) == len(left) and all(seen[line] == d for line, d in left)
+    near, clean = texts("simhash_near_dedup"), texts("benchmark_decontamination")
+    assert set(near) <= set(lines) and len(near) > 0.9 * len(lines)
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert set(clean) == {d for d, t in near.items() if not plain_hits(t, items, 10)[1]}
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    want = {r["doc_id"]: library.encode(r["text"]) for r in before.collect()}
-    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()} == want
-    for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert {r["doc_id"]: r["ids"] for r in final.collect()} == {d: library.encode(t) for d, t in clean.items()}
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
