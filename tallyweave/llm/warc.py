@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
+from tallyweave.sources.scratch import materialise
+
 PAGES_PER_ARCHIVE = 2_000
 RANGE_BYTES = 1 << 16
 FANOUT = 16
@@ -124,9 +126,11 @@ def tree(leaves: DataFrame, levels: int, range_bytes: int, fanout: int) -> list[
         return grouped.select("archive", "node", F.sha2(F.array_join(F.transform("x", lambda x: x["t"]), "\n"), 256).alias("hash"))
 
     line = F.concat_ws(" ", "offset", "length", "digest")
-    out = [hashed(leaves, F.floor(F.col("offset") / range_bytes), F.col("offset"), line)]
+    # Each level is written, so that the next one and the descent start from it.
+    out = [materialise(hashed(leaves, F.floor(F.col("offset") / range_bytes), F.col("offset"), line), "merkle")]
     for _ in range(levels - 1):
-        out.append(hashed(out[-1], F.floor(F.col("node") / fanout), F.col("node"), F.concat_ws(" ", "node", "hash")))
+        above = hashed(out[-1], F.floor(F.col("node") / fanout), F.col("node"), F.concat_ws(" ", "node", "hash"))
+        out.append(materialise(above, "merkle"))
     return out
 
 
@@ -164,7 +168,7 @@ def audit(first: DataFrame, second: DataFrame, range_bytes: int = RANGE_BYTES, f
             t[low].withColumn("parent", F.floor(F.col("node") / fanout)).join(parents, ["archive", "parent"], "left_semi").drop("parent")
             for t in trees
         ]
-        bad = _differing(*below)
+        bad = materialise(_differing(*below), "differing")
     ranges = bad.select("archive", F.col("node").alias("range"))
     near = [x.withColumn("range", F.floor(F.col("offset") / range_bytes)).join(ranges, ["archive", "range"], "left_semi") for x in (first, second)]
     a, b = near[0].alias("a"), near[1].alias("b")

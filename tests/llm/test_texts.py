@@ -208,7 +208,7 @@ def test_archives_and_audit(spark, tmp_path):
     warc.write_archives(rows, f"{tmp_path}/a")
     stored, known = warc.read_archives(spark, f"{tmp_path}/a").cache(), warc.catalogue(rows).cache()
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, known.collect())) and known.count() == 62
-    for range_bytes, fanout in ((64, 2), (4096, 16)):
+    for range_bytes, fanout in ((128, 4), (4096, 16)):
         assert warc.audit(known, stored, range_bytes, fanout).count() == 0
         bad = stored.withColumn("digest", F.when(F.col("page_id") == 33, "0").otherwise(F.col("digest"))).where("page_id <> 61 and archive <> 0")
         got = {(r["page_id"], r["status"]) for r in warc.audit(known, bad, range_bytes, fanout).collect()}
