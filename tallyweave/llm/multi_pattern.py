@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.llm.common import LOWER, utf8
 from tallyweave.sources.scratch import materialise
@@ -153,8 +154,8 @@ def _search(docs: DataFrame, patterns: Patterns, columns: list[str]) -> DataFram
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_words", "starts", "ends", "items"])
 
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.mapInArrow(run, f"{fields}, n_words bigint, starts array<int>, ends array<int>, items array<string>")
+    added = StructType.fromDDL("n_words bigint, starts array<int>, ends array<int>, items array<string>")
+    return docs.mapInArrow(run, StructType([docs.schema[c] for c in columns] + added.fields))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per_pass: int = PATTERNS_PER_PASS) -> DataFrame:
@@ -166,23 +167,27 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per_pass:
     Repeated document rows are searched each; repeated items count once. Empty documents
     give no rows, an empty benchmark no hits; other columns are not read.
     """
+    return _searched(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id", benchmark, size, per_pass)
+
+
+def _searched(narrow: DataFrame, ride: str, benchmark: DataFrame, size: int = WINDOW, per_pass: int = PATTERNS_PER_PASS) -> DataFrame:
+    """``search`` over ``(ride, text)`` rows; the column ``ride``, of any type, rides along."""
     rows = materialise(_window_rows(benchmark, size), "benchmark-windows")
     passes = max(1, -(-rows.count() // per_pass))
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if passes == 1:
-        found = _search(narrow, Patterns([tuple(r) for r in rows.collect()]), ["doc_id"])
-        return found.select("doc_id", "n_words", F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b")).alias("ranges"), "items")
+        found = _search(narrow, Patterns([tuple(r) for r in rows.collect()]), [ride])
+        return found.select(ride, "n_words", F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b")).alias("ranges"), "items")
     # A row number per document row, fixed by writing it, brings the passes together.
     keyed = materialise(narrow.withColumn("row", F.monotonically_increasing_id()), "documents-keyed")
     parts = []
     for p in range(passes):
         own = rows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == p)
-        parts.append(_search(keyed, Patterns([tuple(r) for r in own.collect()]), ["row", "doc_id"]))
+        parts.append(_search(keyed, Patterns([tuple(r) for r in own.collect()]), ["row", ride]))
     every = parts[0]
     for more in parts[1:]:
         every = every.unionAll(more)
     joined = every.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.first(ride).alias(ride), F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b"))))).alias("r"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -191,7 +196,7 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per_pass:
         " concat(slice(m, 1, size(m) - 1), array(struct(m[size(m) - 1].a as a, greatest(m[size(m) - 1].b, x.b) as b))),"
         " concat(m, array(struct(x.a as a, x.b as b)))))"
     )
-    return joined.select("doc_id", "n_words", merged.alias("ranges"), "items")
+    return joined.select(ride, "n_words", merged.alias("ranges"), "items")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -207,8 +212,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark window, with their own columns.
 
-    Documents are told apart by id; a row without an id is judged with all such rows.
+    Each row is judged on its own text; ids, null or repeated, play no part.
     """
-    hits = contaminated(docs.select("doc_id", "text"), benchmark, **options)
-    hit = hits.where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti").select(*docs.columns)
+    # The document rides along as one column, so that no name can clash.
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return _searched(whole, "_row", benchmark, **options).where("size(ranges) = 0").select("_row.*")

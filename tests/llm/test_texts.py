@@ -121,6 +121,18 @@ def test_drop_contaminated(spark, frame):
     assert multi_pattern.drop_contaminated(df, bench.where("item_id = 7")).count() == 4
 
 
+@pytest.mark.parametrize("per_pass", [multi_pattern.PATTERNS_PER_PASS, 1])
+def test_each_row_is_judged_on_its_own(spark, frame, per_pass):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "six seven")], "item_id bigint, text string")
+    df = frame([(None, "x one two three"), (None, "clean"), (5, "six seven"), (5, "also clean"), (None, None)])
+    df = df.withColumn("odd name", F.struct(F.lit(1).alias("a b")))
+    out = multi_pattern.drop_contaminated(df, bench, per_pass=per_pass)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert sorted(((r["doc_id"], r["text"], r["odd name"]["a b"]) for r in out.collect()), key=str) == sorted(
+        [(None, "clean", 1), (5, "also clean", 1), (None, None, 1)], key=str
+    )
+
+
 def test_pieces_equal_the_library():
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     encoder = pieces.Encoder(pieces.PieceModel.load(MODEL))
