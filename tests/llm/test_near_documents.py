@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyweave.llm import graph, near_lines, passages, simhash
+from tallyweave.llm import graph, near_lines, near_sets, passages, simhash
 
 
 def roots(n, linked):
@@ -87,6 +87,34 @@ def test_components_of_a_long_path(spark):
     assert {(r["node"], r["root"]) for r in graph.components(df).collect()} == {(i, 0) for i in range(1, 301)}
 
 
+def plain_shingles(text, words):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("block", [near_sets.BLOCK, 4])
+def test_near_sets_equal_brute_force(spark, frame, block):
+    rng = random.Random(block)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(rng.choice([60, 200]))] for _ in range(8)]
+    texts = ["", None, "One two", "one TWO", "one", "a b c d e", "a b c d e f"]
+    for _ in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 9)}"
+        texts.append(" ".join(w[rng.choice([0, 0, 3, 20]) :]))
+    sets = [plain_shingles(t, 5) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = [i for i, r in enumerate(roots(len(sets), linked)) if i == r]
+    df = frame(list(enumerate(texts)) + [(None, texts[-1]), (0, "")])
+    out = near_sets.keep_one(df, block=block)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([*want, None, 0], key=str)
+    # Links that a fingerprint within 3 bits does not show.
+    far = [p for p in linked if bin(plain_fingerprint(texts[p[0]], 5) ^ plain_fingerprint(texts[p[1]], 5)).count("1") > 3]
+    assert len(far) > 20 and len(want) < len(texts)
+    assert near_sets.keep_one(frame([])).count() == 0
+
+
 def plain_passages(docs, length):
     at = collections.defaultdict(set)
     for d, t in docs:
