@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tallyweave.sources.scratch import materialise
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """(node, root) of the nodes that are not their own root."""
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    return [(x, r) for x in range(n) if (r := find(x)) != x]
+
+
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
