@@ -216,6 +216,42 @@ def test_surplus_lines_equal_brute_force(spark, frame, threshold, block):
     assert got == want and {x for *_, x in want} == {True, False}
 
 
+@pytest.mark.parametrize("block", [near_lines.BLOCK, 6])
+def test_line_classes_equal_brute_force(spark, frame, block):
+    rng = random.Random(block)
+    limits = {20: 2, 40: 5, 64: 5, 120: 8, 240: 12, 400: 15}
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (19, 20, 21, 30, 41, 42, 66, 119, 125, 238, 244, 410)]
+    lines = [(d, n, changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 4, 5, 6, 9, 13]))) for d in range(60) for n in range(3)]
+    lines += [(90, 0, "menu"), (90, 1, "menu"), (90, 2, " "), (90, 3, " "), (91, 0, "}"), (92, 0, "}")]
+    docs = [(d, "\n".join(x for e, _, x in lines if e == d)) for d in sorted({d for d, *_ in lines})]
+    lines = [x for x in lines if x[2].strip()]
+    texts = list(dict.fromkeys(x for *_, x in lines))
+
+    def near(a, b):
+        short = min(len(a), len(b))
+        most = max((t for n, t in limits.items() if n <= short), default=-1)
+        return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if near(texts[i], texts[j])]
+    places = collections.defaultdict(list)
+    for d, n, x in lines:
+        places[x].append((d, n))
+    degree = collections.Counter(x for p in linked for x in p)
+    later = {i for i, _ in linked}
+    want = set()
+    for i, root in enumerate(roots(len(texts), linked)):
+        own = places[texts[i]]
+        for at in own:
+            exact = at != own[0]
+            want.add((*at, *places[texts[root]][0], len(own) - 1, degree[i], exact or i in later, exact))
+    got = [tuple(r) for r in near_lines.line_classes(frame(docs), block=block, exact_chars=1).collect()]
+    assert len(got) == len(lines) and set(got) == want
+    assert {(r["doc_id"], r["line_no"], r["exact"]) for r in near_lines.surplus_lines(frame(docs), exact_chars=1).collect()} == {
+        (w[0], w[1], w[7]) for w in want if w[6]
+    }
+    assert near_lines.line_classes(frame([])).count() == 0
+
+
 def test_changed_words_go(spark, frame):
     long = "The meeting of the board was held on Monday in the large hall of the town, and every member spoke."
     rows = [(1, long), (2, long.replace("Monday", "Friday") + "\nown words")]
