@@ -128,7 +128,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_line_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_lines.line_classes(table(spark, sf_dir, "documents"))
+    return near_lines.line_classes(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 @query("op8_warc_fixity")

@@ -258,6 +258,13 @@ def test_changed_words_go(spark, frame):
     assert {r["doc_id"]: r["text"] for r in near_lines.drop_lines(frame(rows)).collect()} == {1: long, 2: "own words"}
 
 
+def test_short_copies_go(spark, frame):
+    long = "The meeting of the board was held on Monday in the large hall of the town, and every member spoke."
+    rows = [(1, long + "\nmenu"), (2, long.replace("Monday", "Friday") + "\nown words\nmenu"), (3, "menu")]
+    out = near_lines.drop_lines(frame(rows), exact_chars=1).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {1: rows[0][1], 2: "own words"}
+
+
 def test_drop_lines(spark, frame):
     a, b = "the first long line of all", "another line that is long"
     rows = [(1, f"{a}\n{b}"), (2, f"{a}!\nkept line of the second text"), (3, b), (4, None), (None, a), (5, ""), (6, "x\nx")]
