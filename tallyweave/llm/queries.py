@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import chat_examples, html_text, multi_pattern, near_lines, passages, pieces, simhash, token_files, warc, weak_rules
+from tallyweave.llm import chat_examples, html_text, lattice, multi_pattern, near_lines, passages, pieces, simhash, token_files, warc, weak_rules
 from tallyweave.llm.common import table
 from tallyweave.sources.scratch import materialise, scratch_dir
 
@@ -155,3 +155,25 @@ placed as (
   from records)
 select archive, "offset", length, page_id, 'changed' as status from placed where page_id % 97 = 13 and html like '<%'
 """
+
+
+@query("op11_embedding_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_embedding_near_dedup"] = r"""
+with recursive vectors as (
+  select vec_id, cast(embedding as double[]) as v,
+    embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+      and len([x for x in embedding if x <> 0]) > 0 as usable
+  from embeddings),
+links as (
+  select a.vec_id as a, b.vec_id as b from vectors a, vectors b
+  where a.vec_id <> b.vec_id and a.usable and b.usable and list_cosine_similarity(a.v, b.v) >= 0.95),
+reach as (select vec_id as a, vec_id as b from vectors union select reach.a, links.b from reach join links on reach.b = links.a),
+least as (select a as vec_id, min(b) as component_id from reach group by a)
+select vec_id, (select count(*) from links where links.a = least.vec_id) as n_links, component_id,
+  vec_id = component_id as kept
+from least
+"""
