@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import chat_examples, html_text, lattice, multi_pattern, near_lines, passages, pieces, simhash, token_files, warc, weak_rules
+from tallyweave.llm import ball_trees, chat_examples, collocations, html_text, lattice, multi_pattern, near_lines, passages, pieces, simhash, token_files, warc, weak_rules
 from tallyweave.llm.common import table
 from tallyweave.sources.scratch import materialise, scratch_dir
 
@@ -177,3 +177,69 @@ select vec_id, (select count(*) from links where links.a = least.vec_id) as n_li
   vec_id = component_id as kept
 from least
 """
+
+
+@query("op13_phrase_collocations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.first_phrases(collocations.phrases(table(spark, sf_dir, "documents")), 2000)
+
+
+ORACLES["op13_phrase_collocations"] = r"""
+with texts as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+pieces as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from texts),
+grams as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, (values (1), (2), (3)) as lengths(k) where len(w) >= k)
+  group by all),
+totals as (select lang, sum(f) as n from grams where k = 1 group by lang),
+candidates as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from grams where k > 1 and f >= 10),
+cuts as (
+  select c.lang, c.phrase, c.a, l.f as l, r.f as r, cut,
+    (c.a::hugeint * c.a::hugeint * 1000000::hugeint) // (l.f::hugeint * r.f::hugeint) as score
+  from (select *, unnest(range(1, k)) as cut from candidates) c
+  join grams l on l.lang = c.lang and l.phrase = array_to_string(c.w[1 : cut], ' ') and l.k = cut
+  join grams r on r.lang = c.lang and r.phrase = array_to_string(c.w[cut + 1 :], ' ') and r.k = c.k - cut),
+scored as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (
+  select lang, part as phrase, max(a) as longer
+  from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as part from candidates where k = 3)
+  group by all),
+kept as (
+  select s.* from scored s left join longer using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query("op12_ranked_search")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_trees.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_ranked_search"] = r"""
+with doc_words as (
+  select doc_id, row_number() over () as row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+item_words as (
+  select item_id, row_number() over () as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark),
+docs as (select row, doc_id, cast(len(w) as bigint) as n from doc_words where len(w) > 0),
+totals as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from docs),
+wanted as (select item, item_id, term, count(*) as times from (select item, item_id, unnest(w) as term from item_words) group by all),
+held as (
+  select row, term, count(*) as tf from (select row, unnest(w) as term from doc_words)
+  where term in (select term from wanted) group by all),
+weights as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as weight
+  from held, totals group by term, n_docs),
+placed as (select row, doc_id, 75 + (25 * n * n_docs) // n_terms as m from docs, totals),
+scores as (
+  select item, item_id, row, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+  from wanted join weights using (term) join held using (term) join placed using (row) group by item, item_id, row, doc_id),
+ranked as (select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from scores where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 20
+"""
