@@ -5,38 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.functions.ints import int_div
+from tallyweave.operators.order import natural_position
+
 
 def pack_sequences(
-    df: DataFrame, length: int, tokens: Column, pos: str = "pos", batch_rows: int = 1000
+    lists: DataFrame, length: int, key: str, tokens: str = "input_ids", batch_rows: int = 1000
 ) -> DataFrame:
-    """Concatenate the lists of each batch of rows, cut into full blocks, drop the rest.
+    """``(batch, block, input_ids)``: the lists of each batch of rows, in the order of the integer
+    ``key``, joined and cut into full blocks; what is left of a batch is dropped.
 
-    ``tokens`` is evaluated behind the shuffle and the sort by batch, so the compact
-    text is moved, not the token list. Lists are cut into *pieces* that lie in one
-    block each; tokens are never exploded, and a long list is not copied per piece.
-    A block's group holds at most ``length`` tokens. Grouping by ``(batch, block)``
-    reuses the partitioning by ``batch``.
+    ``lists`` is read twice and should be materialised. Rows are numbered, and list sizes
+    summed up, on narrow (key, size) rows, so that a batch's lists are never held together.
+    Lists are cut into *pieces* that lie in one block each; tokens are never exploded, a
+    long list is not copied per piece, and a block's group holds at most ``length`` tokens.
     """
-    before = Window.partitionBy("batch").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy("batch")
-    size = F.col("__n")
-    sized = (
-        df.withColumn("batch", int_div(F.col(pos), batch_rows))
-        .repartition("batch")
-        .sortWithinPartitions("batch", pos)
-        .select("batch", pos, tokens.alias("__t"))
-        .withColumn("__n", F.coalesce(F.size("__t"), F.lit(0)).cast("bigint"))
-        .withColumn("__off", F.coalesce(F.sum(size).over(before), F.lit(0)))
-        .withColumn("__full", int_div(F.sum(size).over(everything), length))
+    sizes = lists.select(key, F.coalesce(F.size(tokens), F.lit(0)).cast("bigint").alias("__n"))
+    in_batch = Window.partitionBy("batch")
+    before = in_batch.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        natural_position(sizes, key)
+        .withColumn("batch", int_div(F.col("pos"), batch_rows))
+        .select(
+            key,
+            "batch",
+            "__n",
+            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+            int_div(F.sum("__n").over(in_batch), length).alias("__full"),
+        )
     )
     return (
-        sized.select("batch", F.inline(_pieces(length)))
+        lists.select(key, F.col(tokens).alias("__t"))
+        .join(placed, key)
+        .select("batch", F.inline(_pieces(length)))
         .groupBy("batch", "block")
         .agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("__pieces"))
-        .select("batch", "block", F.flatten(F.transform("__pieces", lambda p: p["part"])).alias("tokens"))
+        .select("batch", "block", F.flatten(F.transform("__pieces", lambda p: p["part"])).alias("input_ids"))
     )
 
 
+def with_mask(blocks: DataFrame) -> DataFrame:
+    """Packed blocks hold no padding: the mask is all ones."""
+    return blocks.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+
+
 def _pieces(length: int) -> Column:
     """``(block, at, part)`` of a row's list, for the full blocks of its batch only."""
     off, size = F.col("__off"), F.col("__n")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions import chat, tokens as tk
 from tallyweave.functions.text import strip_ws
+from tallyweave.operators.encoding import PAD_ID, Encoder
 from tallyweave.operators.lookup import HEAD_ROWS, lookup
 from tallyweave.operators.order import natural_position
 from tallyweave.sources.scratch import materialise
@@ -88,29 +91,43 @@ def turn_pairs(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     return users.join(answers, [key, "__place"]).drop("__place")
 
 
+def chat_tokens(
+    df: DataFrame, keys: Sequence[str], encode: Encoder, max_length: int | None, messages: str = "messages", tokenizer=tk.tokenize_text
+) -> DataFrame:
+    """``(*keys, __ids)``: rendered, tokenised once and encoded; rows over ``max_length`` are dropped, if it is given."""
+    tokens = tokenizer(chat.chat_render(F.col(messages)))
+    if max_length is None:
+        listed = df.withColumn("__list", tokens)
+    else:
+        listed = tk.keep_tokens(df, "__list", tokens, lambda t: tk.at_most(t, max_length))
+    return encode(listed, F.col("__list"), "__ids", keys, keys)
+
+
+def padded(df: DataFrame, max_length: int, pad_id: int = PAD_ID) -> DataFrame:
+    """``__ids`` padded left, and the mask."""
+    return (
+        df.withColumn("input_ids", tk.pad_left(F.col("__ids"), max_length, F.lit(pad_id)))
+        .withColumn("attention_mask", tk.pad_left_mask(F.col("__ids"), max_length))
+        .drop("__ids")
+    )
+
+
 def tokenize_chat(
     df: DataFrame,
+    keys: Sequence[str],
+    encode: Encoder,
     max_length: int = 2048,
     no_filter: bool = False,
-    pad: Column | None = None,
+    pad_id: int = PAD_ID,
     messages: str = "messages",
     tokenizer=tk.tokenize_text,
 ) -> DataFrame:
-    """Render, tokenise, drop rows that are too long, pad left and add the mask.
+    """Integer token rows ``(*keys, input_ids, attention_mask)``; ``keys`` identify a row.
 
-    The filter runs on the unpadded list, before the padding is paid for.
+    Render, tokenise, drop rows that are too long, encode, pad left and add the mask. The
+    filter runs on the unpadded list, before the lookup and the padding are paid for.
     """
-    pad = F.lit("<pad>") if pad is None else pad
-    tokens = tokenizer(chat.chat_render(F.col(messages)))
-    if no_filter:
-        out = df.withColumn("__tokens", tokens)
-    else:
-        out = tk.keep_tokens(df, "__tokens", tokens, lambda t: tk.at_most(t, max_length))
-    return (
-        out.withColumn("input_ids", tk.pad_left(F.col("__tokens"), max_length, pad))
-        .withColumn("attention_mask", tk.pad_left_mask(F.col("__tokens"), max_length))
-        .drop("__tokens")
-    )
+    return padded(chat_tokens(df, keys, encode, None if no_filter else max_length, messages, tokenizer), max_length, pad_id)
 
 
 def add_labels(df: DataFrame) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.operators.lookup import HEAD_ROWS, lookup
+from tallyweave.operators.encoding import Encoder
+from tallyweave.operators.lookup import HEAD_ROWS
 from tallyweave.operators.order import with_position
 
-ID_BITS = 35
-
 
 def token_rows(df: DataFrame, tokens: Column, *keys: str, pos: str = "pos") -> DataFrame:
     """One row per token: keys, position from 0, token."""
@@ -46,26 +45,9 @@ def with_nll(counts: DataFrame) -> DataFrame:
 def token_ids(
     df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head_rows: int = HEAD_ROWS, unknown_id: int = -1
 ) -> DataFrame:
-    """Ordered id list per row, for every row; ``key`` identifies a row.
+    """``(key, input_ids)``: the ordered id list of every row; ``key`` identifies a row.
 
     A token that the vocabulary lacks becomes ``unknown_id``; a row without tokens has an
-    empty list. Ids are looked up per token and gathered per row again. A row's tokens
-    start in one task, so its list is put together before the shuffle; what moves is one
-    list of numbers per row and branch, with the position in the high bits and the id,
-    counted from 1, in the low 35 (a row holds far fewer than 2^28 tokens).
+    empty list.
     """
-    entry = F.shiftleft(F.col("pos").cast("bigint"), ID_BITS).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)))
-    # A row without tokens has one row without a position, and adds nothing to its list.
-    rows = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    parts = lookup(
-        rows,
-        vocab.select("token", "cnt", "id"),
-        "token",
-        reduce=lambda found: found.groupBy(key).agg(F.collect_list(entry).alias("__ids")),
-        head_rows=head_rows,
-        how="left",
-    )
-    merged = parts.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("__ids"))).alias("__ids"))
-    number = lambda e: e.bitwiseAND((1 << ID_BITS) - 1)
-    ids = F.transform("__ids", lambda e: F.when(number(e) == 0, F.lit(unknown_id)).otherwise(number(e) - 1))
-    return merged.select(key, ids.cast("array<bigint>").alias("input_ids"))
+    return Encoder(vocab, unknown_id, head_rows)(df, tokens, "input_ids", [key], [key])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import judging as jf, text as tx, tokens as tk, vectors
-from tallyweave.operators import divergence, losses, rates, vocab
+from tallyweave.operators import divergence, losses, ngrams, rates, vocab
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
 from tallyweave.sources.readers import read_table
@@ -181,6 +181,56 @@ def sequence_perplexity(spark, sf):
     return scored.select("doc_id", "n_masked", F.round("ppl", 4).alias("ppl"))
 
 
+# Trigram counts, continuation counts below them, and interpolated probabilities.
+_KNESER_NEY = """, padded as (select doc_id, ['<s>', '<s>'] || t as t from toks where len(t) > 0),
+places as (select doc_id, i - 1 as pos, t[i] as u, t[i + 1] as v, t[i + 2] as w from (select doc_id, t, unnest(range(1, len(t) - 1)) as i from padded)),
+tri as (select u, v, w, count(*) as c from places group by all),
+bi as (select v, w, count(*) as c from tri group by all),
+uni as (select w, count(*) as c from bi group by all),
+t1 as (select sum(c) as total, count(*) as types from uni),
+p1 as (select w, greatest(c - 0.75::double, 0) / total + 0.75::double * types / total / (types + 1) as p from uni, t1),
+c2 as (select v, sum(c) as total, count(*) as types from bi group by v),
+p2 as (select v, w, greatest(c - 0.75::double, 0) / total + 0.75::double * types / total * p1.p as p from bi join c2 using (v) join p1 using (w)),
+c3 as (select u, v, sum(c) as total, count(*) as types from tri group by u, v),
+p3 as (
+  select u, v, w, c, greatest(c - 0.75::double, 0) / total + 0.75::double * types / total * p2.p as p
+  from tri join c3 using (u, v) join p2 using (v, w))
+"""
+
+
+def _kneser_ney(spark, sf):
+    """Scored trigrams of the corpus, and their occurrences."""
+    tokens = tk.tokenize_text(F.col("text"))
+    model = ngrams.kneser_ney(fx.corpus(spark, sf), tokens, 3)
+    counted = model.grams[-1].select("gram", "cnt")
+    return ngrams.gram_nll(counted, model), ngrams.gram_rows(fx.corpus(spark, sf), tokens, "doc_id", order=3)
+
+
+@query(
+    "kneser_ney_nll",
+    fx.with_views("toks", body=_KNESER_NEY + "select u || ' ' || v || ' ' || w as gram, c as cnt, round(-ln(p), 6) as nll from p3"),
+)
+def kneser_ney_nll(spark, sf):
+    scored, _ = _kneser_ney(spark, sf)
+    return scored.select(F.translate("gram", ngrams.SEPARATOR, " ").alias("gram"), "cnt", F.round("nll", 6).alias("nll"))
+
+
+@query(
+    "sequence_perplexity_ngram",
+    fx.with_views(
+        "toks",
+        body=_KNESER_NEY
+        + """select doc_id, count(*) as n_masked, round(exp(sum(-ln(p)) / count(*)), 4) as ppl
+from places join p3 using (u, v, w) where pos >= 50 group by doc_id""",
+    ),
+)
+def sequence_perplexity_ngram(spark, sf):
+    scored, rows = _kneser_ney(spark, sf)
+    table = materialise(scored.withColumnRenamed("gram", "token"), "scored")
+    found = losses.sequence_losses(rows.withColumnRenamed("gram", "token"), table, "doc_id", fx.PROMPT_LENGTH)
+    return found.where(F.col("n_masked") > 0).select("doc_id", "n_masked", F.round("ppl", 4).alias("ppl"))
+
+
 @query(
     "masked_mean_loss",
     fx.with_views(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import judging as jf, text as tx
 from tallyweave.operators import judging as jo
+from tallyweave.operators.verdicts import VerdictStore
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
+from tallyweave.sources.scratch import scratch_dir
 
 TEMPLATE = "Q: {question}\nA: {answer}\nRules: {rules}"
 
@@ -56,6 +58,23 @@ def judge_batch(spark, sf):
     return judge.judge_batch(fx.pairs(spark, sf), inputs, "score").select("conv_id", "turn", "score")
 
 
+@query(
+    "judge_resume",
+    fx.with_views(
+        "pairs",
+        body="select conv_id, turn, case when contains(lower(prompt || ' ' || completion), 'und') then 4 else 1 end as score from pairs",
+    ),
+)
+def judge_resume(spark, sf):
+    """A run over some of the rows, then one over all of them, which asks for the others only."""
+    store = VerdictStore(spark, scratch_dir(spark, "verdict-store"), batch_rows=100)
+    judge = jo.ScoreJudge(lambda: jo.RuleAsk("und", "#thescore: 4", "#thescore: 1"), workers=4, model="rule", store=store)
+    inputs = {"question": F.col("prompt"), "answer": F.col("completion")}
+    rows = fx.pairs(spark, sf)
+    judge.judge_batch(rows.where("turn < 2"), inputs, "score")
+    return judge.judge_batch(rows, inputs, "score").select("conv_id", "turn", "score")
+
+
 @query(
     "udf_scorer",
     fx.with_views(

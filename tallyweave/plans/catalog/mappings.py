@@ -234,39 +234,36 @@ def default_answer(spark, sf):
 
 
 _PADDED = r"""
-select conv_id, case when len(t) < 256 then repeat('<pad> ', 256 - len(t)) else '' end || array_to_string(t, ' ') as input_ids
-from convtoks where len(t) <= 256"""
+select conv_id, trim(repeat('0 ', 256 - len(ids)) || array_to_string(ids, ' ')) as input_ids
+from convids where len(ids) <= 256"""
+
+
+def _token_rows(spark, sf):
+    return sft.add_labels(sft.tokenize_chat(fx.conversations(spark, sf), ["conv_id"], fx.chat_encoder(spark, sf), 256))
 
 
 @query(
     "label_copy",
-    fx.with_views("convtoks", body=f", p as ({_PADDED}) select conv_id, input_ids as labels, true as same from p"),
+    fx.with_views("convids", body=f", p as ({_PADDED}) select conv_id, input_ids as labels, true as same from p"),
 )
 def label_copy(spark, sf):
-    rows = sft.add_labels(sft.tokenize_chat(fx.conversations(spark, sf), 256))
-    return rows.select(
-        "conv_id", F.array_join("labels", " ").alias("labels"), (F.col("labels") == F.col("input_ids")).alias("same")
-    )
+    rows = _token_rows(spark, sf)
+    return rows.select("conv_id", fx.ids_text("labels").alias("labels"), (F.col("labels") == F.col("input_ids")).alias("same"))
 
 
 @query(
     "select_columns",
     fx.with_views(
-        "convtoks",
+        "convids",
         body=f""", p as ({_PADDED}), m as (
-  select conv_id, repeat('0 ', 256 - len(t)) || array_to_string(list_transform(t, lambda x: '1'), ' ') as attention_mask
-  from convtoks where len(t) <= 256)
+  select conv_id, trim(repeat('0 ', 256 - len(ids)) || array_to_string(list_transform(ids, lambda x: '1'), ' ')) as attention_mask
+  from convids where len(ids) <= 256)
 select p.conv_id, input_ids, attention_mask, input_ids as labels from p join m on p.conv_id = m.conv_id""",
     ),
 )
 def select_columns(spark, sf):
-    rows = sft.select_token_columns(sft.add_labels(sft.tokenize_chat(fx.conversations(spark, sf), 256)), "conv_id")
-    return rows.select(
-        "conv_id",
-        F.array_join("input_ids", " ").alias("input_ids"),
-        F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), " ").alias("attention_mask"),
-        F.array_join("labels", " ").alias("labels"),
-    )
+    rows = sft.select_token_columns(_token_rows(spark, sf), "conv_id")
+    return rows.select("conv_id", *[fx.ids_text(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
 @query("path_leaf", "select page_id, split_part(url, '/', -1) as leaf from pages")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import seeds
 from tallyweave.functions.ints import int_div
-from tallyweave.operators import mix, order
+from tallyweave.operators import mix, order, selection
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
 
@@ -111,9 +111,7 @@ def skip_rows(spark, sf):
     f"with {SHUFFLED_SQL} select doc_id, lang from shuffled where pos < 100",
 )
 def take_samples(spark, sf):
-    docs = fx.documents(spark, sf).select("doc_id", "lang")
-    key = F.col("doc_id")
-    return order.take_samples(docs, 100, [seeds.order_hash(SEED, key), key])
+    return selection.sample_rows(fx.documents(spark, sf).select("doc_id", "lang"), ["doc_id"], SEED, 100)
 
 
 @query(

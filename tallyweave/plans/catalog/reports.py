@@ -4,36 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.functions import text as tx
+from tallyweave.functions import text as tx, tokens as tk
 from tallyweave.plans import fixtures as fx, jobs
 from tallyweave.plans.catalog.aggregates import judged
 from tallyweave.plans.catalog.base import query
 from tallyweave.plans.catalog.ordering import MIX_SQL, SEED
+from tallyweave.sources.scratch import materialise
 
 
 @query(
     "job_prepare_dataset",
     fx.with_views(
-        "convtoks",
+        "convids",
         body=rf""", ok as (
   select conv_id from conversations group by conv_id
   having bool_and(role <> 'assistant' or length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 100)),
 kept as (
-  select c.conv_id, t, row_number() over (order by md5('{SEED}:' || c.conv_id), c.conv_id) - 1 as pos
-  from convtoks c join ok on c.conv_id = ok.conv_id where len(t) <= 400)
-select conv_id, pos, repeat('<pad> ', 400 - len(t)) || array_to_string(t, ' ') as input_ids,
-  repeat('<pad> ', 400 - len(t)) || array_to_string(t, ' ') as labels, cast(len(t) as bigint) as n_tokens from kept""",
+  select c.conv_id, ids, row_number() over (order by md5('{SEED}:' || c.conv_id), c.conv_id) - 1 as pos
+  from convids c join ok on c.conv_id = ok.conv_id where len(ids) <= 400)
+select conv_id, pos, trim(repeat('0 ', 400 - len(ids)) || array_to_string(ids, ' ')) as input_ids,
+  trim(repeat('0 ', 400 - len(ids)) || array_to_string(ids, ' ')) as labels, cast(len(ids) as bigint) as n_tokens from kept""",
     ),
 )
 def job_prepare_dataset(spark, sf):
     rows = jobs.job_prepare_dataset(
-        fx.conversations(spark, sf), ["conv_id"], F.col("messages"), 100, 400, SEED
+        fx.conversations(spark, sf), ["conv_id"], F.col("messages"), 100, 400, SEED, fx.chat_encoder(spark, sf)
     )
     return rows.select(
         "conv_id",
         "pos",
-        F.array_join("input_ids", " ").alias("input_ids"),
-        F.array_join("labels", " ").alias("labels"),
+        fx.ids_text("input_ids").alias("input_ids"),
+        fx.ids_text("labels").alias("labels"),
+        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
+    )
+
+
+@query(
+    "job_prepare_corpus",
+    fx.with_views(
+        "docids",
+        body=f""", placed as (
+  select ids, (row_number() over (order by doc_id) - 1) // 100 as batch, row_number() over (order by doc_id) as row from docids),
+flat as (select batch, row, unnest(ids) as id, generate_subscripts(ids, 1) as i from placed),
+numbered as (select batch, id, row_number() over (partition by batch order by row, i) - 1 as off from flat),
+blocks as (
+  select batch, off // 256 as block, string_agg(cast(id as varchar), ' ' order by off) as input_ids
+  from numbered group by batch, block having count(*) = 256)
+select batch, block, row_number() over (order by md5('{SEED}:' || batch || ':' || block), batch, block) - 1 as pos,
+  input_ids, input_ids as labels, cast(256 as bigint) as n_tokens from blocks""",
+    ),
+)
+def job_prepare_corpus(spark, sf):
+    corpus, tokens = fx.corpus(spark, sf), tk.tokenize_text(F.col("text"))
+    rows = jobs.job_prepare_corpus(corpus, "doc_id", F.col("text"), 256, SEED, fx.encoder(corpus, tokens), batch_rows=100)
+    return rows.select(
+        "batch",
+        "block",
+        "pos",
+        fx.ids_text("input_ids").alias("input_ids"),
+        fx.ids_text("labels").alias("labels"),
         F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
     )
 
@@ -69,12 +98,27 @@ from kept where pos >= 5 and pos < 105""",
     ),
 )
 def job_prompt_set(spark, sf):
-    rows = fx.pairs(spark, sf).withColumn("topic", F.col("conv_id").cast("string"))
+    rows = materialise(fx.pairs(spark, sf).withColumn("topic", F.col("conv_id").cast("string")), "pairs")
     config = {"data_fields": ("prompt", "completion"), "context": "topic", "seed": 42}
     taken = jobs.prompt_set(rows, ["conv_id", "turn"], config, n=100, max_prompt=60, skip=5)
     return taken.select("conv_id", "turn", "prompt_text", "text_completion", "rendered", "text")
 
 
+@query(
+    "job_completion_prompts",
+    fx.with_views(
+        "toks",
+        body=""", kept as (
+  select doc_id, lang, t, row_number() over (order by doc_id) - 1 as pos from toks where least(len(t), 250) >= 150)
+select doc_id, lang, array_to_string(t[1:50], ' ') as prompt_text, array_to_string(t[51:250], ' ') as text_completion,
+  array_to_string(t[1:250], ' ') as text from kept where pos >= 20 and pos < 320""",
+    ),
+)
+def job_completion_prompts(spark, sf):
+    config = {"data_field": "text"}
+    return jobs.prompt_set(fx.corpus(spark, sf), ["doc_id"], config, n=300, min_new=100, skip=20, carry=("lang",))
+
+
 @query(
     "job_evaluate_rates",
     fx.with_views(

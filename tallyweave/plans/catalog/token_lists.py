@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import tokens as tk
-from tallyweave.operators import order, packing, sft, vocab
+from tallyweave.operators import packing, sft, vocab
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
 from tallyweave.sources.scratch import materialise
@@ -36,54 +36,55 @@ def token_ids(spark, sf):
     # Tokens that occur once are left out of the vocabulary: they are unknown.
     table = corpus_vocabulary(spark, sf).where("cnt > 1")
     ids = vocab.token_ids(fx.corpus(spark, sf), "doc_id", tk.tokenize_text(F.col("text")), table)
-    text = F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ")
-    return ids.select("doc_id", text.alias("ids"))
+    return ids.select("doc_id", fx.ids_text("input_ids").alias("ids"))
 
 
 @query(
     "tokenize_chat",
     fx.with_views(
-        "convtoks",
-        body="""select conv_id, repeat('<pad> ', 300 - len(t)) || array_to_string(t, ' ') as input_ids,
-  cast(len(t) as bigint) as n_tokens from convtoks where len(t) <= 300""",
+        "convids",
+        body="""select conv_id, trim(repeat('0 ', 300 - len(ids)) || array_to_string(ids, ' ')) as input_ids,
+  cast(len(ids) as bigint) as n_tokens from convids where len(ids) <= 300""",
     ),
 )
 def tokenize_chat(spark, sf):
-    rows = sft.tokenize_chat(fx.conversations(spark, sf), 300)
+    rows = sft.tokenize_chat(fx.conversations(spark, sf), ["conv_id"], fx.chat_encoder(spark, sf), 300)
     ones = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    return rows.select("conv_id", F.array_join("input_ids", " ").alias("input_ids"), ones.cast("bigint").alias("n_tokens"))
+    return rows.select("conv_id", fx.ids_text("input_ids").alias("input_ids"), ones.cast("bigint").alias("n_tokens"))
 
 
 @query(
     "pad_left",
     fx.with_views(
-        "convtoks",
-        body="""select conv_id, case when len(t) < 100 then repeat('<pad> ', 100 - len(t)) else '' end || array_to_string(t, ' ') as input_ids,
-  case when len(t) < 100 then repeat('0', 100 - len(t)) else '' end || repeat('1', len(t)) as mask from convtoks""",
+        "convids",
+        body="""select conv_id, trim(case when len(ids) < 100 then repeat('0 ', 100 - len(ids)) else '' end || array_to_string(ids, ' ')) as input_ids,
+  case when len(ids) < 100 then repeat('0', 100 - len(ids)) else '' end || repeat('1', len(ids)) as mask from convids""",
     ),
 )
 def pad_left(spark, sf):
-    rows = sft.tokenize_chat(fx.conversations(spark, sf), 100, no_filter=True)
+    rows = sft.tokenize_chat(fx.conversations(spark, sf), ["conv_id"], fx.chat_encoder(spark, sf), 100, no_filter=True)
     mask = F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), "")
-    return rows.select("conv_id", F.array_join("input_ids", " ").alias("input_ids"), mask.alias("mask"))
+    return rows.select("conv_id", fx.ids_text("input_ids").alias("input_ids"), mask.alias("mask"))
 
 
 @query(
     "pack_sequences",
     fx.with_views(
-        "toks",
+        "docids",
         body=""", placed as (
-  select t, (row_number() over (order by doc_id) - 1) // 100 as batch, row_number() over (order by doc_id) as pos from toks),
-flat as (select batch, pos, unnest(t) as token, generate_subscripts(t, 1) as i from placed),
-numbered as (select batch, token, row_number() over (partition by batch order by pos, i) - 1 as off from flat)
-select batch, off // 128 as block, string_agg(token, ' ' order by off) as tokens
+  select ids, (row_number() over (order by doc_id) - 1) // 100 as batch, row_number() over (order by doc_id) as pos from docids),
+flat as (select batch, pos, unnest(ids) as id, generate_subscripts(ids, 1) as i from placed),
+numbered as (select batch, id, row_number() over (partition by batch order by pos, i) - 1 as off from flat)
+select batch, off // 128 as block, string_agg(cast(id as varchar), ' ' order by off) as input_ids
 from numbered group by batch, block having count(*) = 128""",
     ),
 )
 def pack_sequences(spark, sf):
-    placed = order.natural_position(fx.corpus(spark, sf).select("doc_id", "text"), "doc_id")
-    blocks = packing.pack_sequences(placed, 128, tk.tokenize_text(F.col("text")), batch_rows=100)
-    return blocks.select("batch", "block", F.array_join("tokens", " ").alias("tokens"))
+    tokens = tk.tokenize_text(F.col("text"))
+    corpus = fx.corpus(spark, sf)
+    lists = materialise(fx.encoder(corpus, tokens)(corpus, tokens, "input_ids", ["doc_id"], ["doc_id"]), "token-lists")
+    blocks = packing.pack_sequences(lists, 128, "doc_id", batch_rows=100)
+    return blocks.select("batch", "block", fx.ids_text("input_ids").alias("input_ids"))
 
 
 @query("truncate_tokens", fx.with_views("toks", body="select doc_id, array_to_string(t[1:150], ' ') as tokens from toks"))

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyweave.functions import chat, tokens as tk
 from tallyweave.functions.ints import int_div
-from tallyweave.operators import order, sft
+from tallyweave.operators import order, sft, vocab
+from tallyweave.operators.encoding import Encoder, dictionary
 from tallyweave.sources.readers import read_table
+from tallyweave.sources.scratch import materialise
 
 CHAT_WEIGHTS = {"en": 5.0, "fr": 2.0, "de": 2.0, "es": 1.0}
 PROMPT_LENGTH = 50
@@ -112,6 +115,22 @@ def metric_series(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def encoder(df: DataFrame, tokens: Column) -> Encoder:
+    """Integer ids by the frame's own tokens, without those that occur once."""
+    counts = materialise(vocab.token_counts(df, tokens), "counts")
+    known = materialise(vocab.vocabulary(counts), "vocabulary").where("cnt > 1")
+    return Encoder(dictionary(known))
+
+
+def chat_encoder(spark: SparkSession, sf: str) -> Encoder:
+    return encoder(conversations(spark, sf), tk.tokenize_text(chat.chat_render(F.col("messages"))))
+
+
+def ids_text(ids: Column | str) -> Column:
+    """Whole numbers as one text, for results that are compared as text."""
+    return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
+
+
 def messages_text(messages: Column) -> Column:
     """One string per message list, for results that are compared as text."""
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit("="), m["content"])), "\n")
@@ -178,11 +197,22 @@ SQL = {
   from (select token, count(*) as cnt from occ group by token))""",
     "convtoks": r"""convtoks as (
   select conv_id, regexp_extract_all(rendered, '[\p{L}\p{N}]+') as t from rendered)""",
+    "convids": r"""convocc as (
+  select conv_id, unnest(t) as token, generate_subscripts(t, 1) as pos from convtoks),
+convvocab as (
+  select token, row_number() over (order by count(*) desc, md5(token), token) + 1 as id from convocc group by token having count(*) > 1),
+convids as (
+  select c.conv_id, coalesce(list(cast(coalesce(v.id, 1) as integer) order by o.pos) filter (o.pos is not null), []) as ids
+  from convtoks c left join convocc o on c.conv_id = o.conv_id left join convvocab v on o.token = v.token group by c.conv_id)""",
+    "docids": r"""docids as (
+  select d.doc_id, coalesce(list(cast(case when v.cnt > 1 then v.id + 2 else 1 end as integer) order by o.pos) filter (o.pos is not null), []) as ids
+  from documents d left join occ o on d.doc_id = o.doc_id left join vocab v on o.token = v.token group by d.doc_id)""",
 }
 # Views that a view is built on.
 _NEEDS = {
     "parsed": ["results"], "fanned": ["results", "parsed"], "verdicts": ["replies"],
     "occ": ["toks"], "vocab": ["toks", "occ"], "convtoks": ["rendered"],
+    "convids": ["rendered", "convtoks"], "docids": ["toks", "occ", "vocab"],
 }
 
 

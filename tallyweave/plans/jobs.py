@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.functions import chat, text, tokens as tk
-from tallyweave.operators import mix, order, rates, sft
+from tallyweave.operators import mix, order, packing, rates, selection, sft
+from tallyweave.operators.encoding import PAD_ID, Encoder
 from tallyweave.sources.scratch import materialise
 
 
@@ -18,20 +19,40 @@ def job_prepare_dataset(
     min_response: int,
     max_length: int,
     seed: int | str,
+    encode: Encoder,
     tokenizer=tk.tokenize_text,
-    pad: Column | None = None,
+    pad_id: int = PAD_ID,
 ) -> DataFrame:
-    """Source -> messages -> filters -> token rows -> seeded position.
+    """Source -> messages -> filters -> integer token rows -> seeded position.
 
-    Both filters run first and the rows that stay are written once: numbering reads
-    its input twice, and tokenising a second time would cost more than the write.
-    The shuffle moves messages; the padded token rows are made behind it.
+    Both filters run first, and a text is tokenised once: the id lists that stay are
+    written, since numbering reads its input twice. The shuffle moves id lists; they are
+    padded behind it.
     """
     converted = sft.sft_convert(df, messages, min_response).select(*keys, "messages")
-    fitting = converted.where(tk.at_most(tokenizer(chat.chat_render(F.col("messages"))), max_length))
-    placed = order.seeded_shuffle(materialise(fitting, "fitting"), keys, seed)
-    tokenized = sft.tokenize_chat(placed, max_length, no_filter=True, pad=pad, tokenizer=tokenizer)
-    return sft.select_token_columns(sft.add_labels(tokenized), *keys, "pos")
+    fitting = materialise(sft.chat_tokens(converted, keys, encode, max_length, tokenizer=tokenizer), "token-rows")
+    placed = order.seeded_shuffle(fitting, keys, seed)
+    return sft.select_token_columns(sft.add_labels(sft.padded(placed, max_length, pad_id)), *keys, "pos")
+
+
+def job_prepare_corpus(
+    df: DataFrame,
+    key: str,
+    text: Column,
+    length: int,
+    seed: int | str,
+    encode: Encoder,
+    tokenizer=tk.tokenize_text,
+    batch_rows: int = 1000,
+) -> DataFrame:
+    """Plain text -> integer tokens -> full blocks -> mask and labels -> seeded position.
+
+    ``key`` is an integer that identifies a row and gives the order of packing.
+    """
+    lists = materialise(encode(df, tokenizer(text), "input_ids", [key], [key]), "token-lists")
+    blocks = materialise(packing.pack_sequences(lists, length, key, batch_rows=batch_rows), "blocks")
+    placed = order.seeded_shuffle(blocks, ["batch", "block"], seed)
+    return sft.select_token_columns(sft.add_labels(packing.with_mask(placed)), "batch", "block", "pos")
 
 
 def job_build_mixture(
@@ -60,20 +81,18 @@ def job_prompt_set(
 ) -> DataFrame:
     """Chat mode: shuffle, keep prompts that fit, skip, take ``n``.
 
-    The prompts that fit are written once and numbered, whatever the sample's size.
+    The sample's ends in the seeded order are found from narrow codes of the prompts that
+    fit; only rows between them are rendered. ``df`` is read twice, so write it first if
+    it is costly. One path serves any ``n``.
     """
     content = text.prompt_with_context(question, context)
     rendered = chat.chat_render(F.array(chat.message("user", content)))
-    prompts = df.where(tk.at_most(tokenizer(rendered), max_prompt)).select(
-        *keys,
-        *carry,
-        question.alias("prompt_text"),
-        text.default_answer(answer).alias("text_completion"),
-        rendered.alias("rendered"),
+    fitting = tk.at_most(tokenizer(rendered), max_prompt)
+    prompt, completion = question.alias("prompt_text"), text.default_answer(answer).alias("text_completion")
+    taken = selection.sample_rows(df, keys, seed, n, skip, fitting)
+    return taken.select(*keys, *carry, prompt, completion, rendered.alias("rendered")).withColumn(
+        "text", text.full_text(F.col("prompt_text"), F.col("text_completion"))
     )
-    numbered = order.seeded_shuffle(materialise(prompts, "prompts"), keys, seed)
-    taken = order.take_positions(order.skip_rows(numbered, skip), n).drop("pos")
-    return taken.withColumn("text", text.full_text(F.col("prompt_text"), F.col("text_completion")))
 
 
 def job_completion_prompts(
@@ -94,24 +113,21 @@ def job_completion_prompts(
     A prompt length of -1 takes the whole text for both, without the special token.
     """
 
-    def taken(rows: DataFrame) -> DataFrame:
-        numbered = order.natural_position(materialise(rows, "prompts"), key)
-        return order.take_positions(order.skip_rows(numbered, skip), n).drop("pos")
-
+    limit = prompt_length + max_new
     if prompt_length == -1:
         whole = text.strip_special_token(field, special)
-        return taken(df.select(key, *carry, whole.alias("prompt_text"), whole.alias("text_completion"), whole.alias("text")))
-    limit = prompt_length + max_new
-    fitting = df.select(key, *carry, field.alias("__field")).where(
-        tk.at_least(tokenizer(F.col("__field")), limit, prompt_length + min_new)
-    )
-    tokens = tokenizer(F.col("__field"))
-    return taken(fitting).select(
+        return selection.first_rows(df, key, n, skip).select(
+            key, *carry, whole.alias("prompt_text"), whole.alias("text_completion"), whole.alias("text")
+        )
+    tokens = tokenizer(field)
+    taken = selection.first_rows(df, key, n, skip, tk.at_least(tokens, limit, prompt_length + min_new))
+    # The list is made once for the three columns that are cut from it.
+    return tk.keep_tokens(taken, "__tokens", tokens, lambda t: F.lit(True)).select(
         key,
         *carry,
-        F.array_join(tk.prompt_tokens(tokens, prompt_length), " ").alias("prompt_text"),
-        F.array_join(tk.completion_tokens(tokens, prompt_length, max_new), " ").alias("text_completion"),
-        F.array_join(tk.truncate_tokens(tokens, limit), " ").alias("text"),
+        F.array_join(tk.prompt_tokens(F.col("__tokens"), prompt_length), " ").alias("prompt_text"),
+        F.array_join(tk.completion_tokens(F.col("__tokens"), prompt_length, max_new), " ").alias("text_completion"),
+        F.array_join(tk.truncate_tokens(F.col("__tokens"), limit), " ").alias("text"),
     )
 
 

@@ -59,10 +59,19 @@ def test_only_bucket_counts_meet_in_one_task(spark):
     assert single and all("text" not in s and "doc_id" not in s for s in single)
 
 
-def test_packing_shuffles_by_batch_only(spark):
-    placed = fx.documents(spark, SF).select(F.col("doc_id").alias("pos"), "text")
-    plan = plan_text(packing.pack_sequences(placed, 128, tk.tokenize_text(F.col("text"))))
-    assert len(re.findall(r"\(\d+\) Exchange\n", plan)) == 1
+def test_packing_sums_sizes_on_narrow_rows(spark):
+    """Lists move to their sizes and, in pieces, to their blocks; no window sees them."""
+    lists = fx.documents(spark, SF).select("doc_id", tk.tokenize_text(F.col("text")).alias("input_ids"))
+    plan = plan_text(packing.pack_sequences(lists, 128, "doc_id"))
+    wide = [b for b in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan) if "__t#" in b or "input_ids#" in b]
+    assert len(wide) <= 1
+    assert all("__t#" not in b for b in re.findall(r"\(\d+\) Window\nInput \[\d+\]: \[(.*?)\]", plan))
+
+
+def test_a_whole_vocabulary_needs_no_shuffle(spark):
+    docs, tokens = fx.corpus(spark, SF), tk.tokenize_text(F.col("text"))
+    plan = plan_text(fx.encoder(docs, tokens)(docs, tokens, "input_ids", ["doc_id"]))
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
 
 
 def test_tokens_are_made_once(spark):

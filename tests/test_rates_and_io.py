@@ -151,14 +151,14 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
 
 def test_a_failed_call_is_a_null_verdict(spark):
-    def ask(prompt):
-        if "bad" in prompt:
+    def ask(messages, temperature):
+        if "bad" in messages[-1]["content"]:
             raise RuntimeError("no answer")
         time.sleep(0.001)
         return "#thescore: 5"
 
     df = spark.createDataFrame([("q", "ok"), ("bad", "ok"), (None, "ok")], "q string, a string")
-    judge = judging.ScoreJudge(lambda: ask, workers=3)
+    judge = judging.ScoreJudge(lambda: ask, workers=3, retries=judging.Retries(wait=0.0))
     got = judge.judge_batch(df, {"question": F.col("q"), "answer": F.col("a")}, "score").collect()
     assert [r["score"] for r in got] == [5, None, None]
     assert got[0].asDict().keys() == {"q", "a", "score"}

@@ -1,6 +1,7 @@
 """Packing, vocabularies, losses and divergences against brute force."""
 
 import collections
+import hashlib
 import math
 import random
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import tokens as tk
-from tallyweave.operators import divergence, hooks, losses, lookup, order, packing, sft, vocab
+from tallyweave.operators import divergence, encoding, hooks, losses, lookup, packing, sft, vocab
+from tallyweave.plans import jobs
 from tallyweave.sources.scratch import materialise
 
 RNG = random.Random(11)
@@ -26,13 +28,13 @@ def docs(spark):
 
 @pytest.mark.parametrize("length,batch", [(16, 10), (7, 120), (5000, 50), (1, 7)])
 def test_pack_sequences(spark, docs, length, batch):
-    placed = order.natural_position(docs, "doc_id")
-    got = packing.pack_sequences(placed, length, tokens(), batch_rows=batch).collect()
+    lists = docs.select(F.col("doc_id").alias("at"), tokens().alias("input_ids"))
+    got = packing.pack_sequences(lists, length, "at", batch_rows=batch).collect()
     want = []
     for b in range(0, len(DOCS), batch):
         flat = [t for d in DOCS[b : b + batch] for t in d[2].split()]
         want += [(b // batch, i, flat[i * length : (i + 1) * length]) for i in range(len(flat) // length)]
-    assert sorted((r["batch"], r["block"], r["tokens"]) for r in got) == want
+    assert sorted((r["batch"], r["block"], r["input_ids"]) for r in got) == want
 
 
 def python_vocab():
@@ -60,10 +62,10 @@ def test_unknown_tokens_and_empty_rows_keep_their_place(spark, head):
     assert {r["i"]: r["input_ids"] for r in got} == {1: [0, 9, 1], 2: [9], 3: [], 4: []}
 
 
-def test_head_weight_bounds_the_head(spark):
+def testhead_weight_bounds_the_head(spark):
     table = spark.createDataFrame([(f"t{i}", c) for i, c in enumerate([1] * 50 + [2] * 10 + [9, 100, 1000])], "token string, cnt bigint")
     for head in (0, 1, 2, 3, 12, 13, 62, 63):
-        cut = lookup._head_weight(table, "cnt", head)
+        cut = lookup.head_weight(table, "cnt", head)
         assert table.where(F.col("cnt") > cut).count() <= head
 
 
@@ -131,19 +133,65 @@ def test_vector_drift_with_a_hot_group(spark, head):
         assert got[label][0] == pytest.approx(sum(math.dist(v, mean) for v in vs) / len(vs), abs=1e-5)
 
 
-def test_tokenize_chat_filter_and_padding(spark):
-    m = "i int, messages array<struct<role:string,content:string>>"
-    df = spark.createDataFrame([(0, [("user", "a b")]), (1, [("user", "a " * 50)]), (2, [("system", "s")])], m)
-    kept = {r["i"]: r for r in sft.tokenize_chat(df, 8).collect()}
-    assert set(kept) == {0, 2}
-    assert kept[0]["input_ids"] == ["<pad>", "<pad>", "s", "INST", "a", "b", "INST", "ASST"]
-    assert kept[2]["attention_mask"] == [0] * 8
-    everything = {r["i"]: r for r in sft.tokenize_chat(df, 8, no_filter=True).collect()}
+CHATS = "i int, messages array<struct<role:string,content:string>>"
+
+
+def chat_encoder(spark, **options):
+    table = [("INST", 9, 0), ("s", 5, 1), ("ASST", 4, 2), ("a", 3, 3), ("x" * 200, 2, 4)]
+    return encoding.Encoder(encoding.dictionary(spark.createDataFrame(table, "token string, cnt bigint, id bigint")), **options)
+
+
+@pytest.mark.parametrize("head", [lookup.HEAD_ROWS, 2, 0])
+def test_tokenize_chat_filter_and_padding(spark, head):
+    rows = [(0, [("user", "a b")]), (1, [("user", "a " * 50)]), (2, [("system", "s")]), (3, [("assistant", "x" * 200 + " " + "y" * 90)])]
+    df, encode = spark.createDataFrame(rows, CHATS), chat_encoder(spark, head_rows=head)
+    out = sft.tokenize_chat(df, ["i"], encode, 8)
+    assert dict(out.dtypes) == {"i": "int", "input_ids": "array<int>", "attention_mask": "array<int>"}
+    kept = {r["i"]: r for r in out.collect()}
+    assert {i: r["input_ids"] for i, r in kept.items()} == {0: [0, 0, 3, 2, 5, 1, 2, 4], 2: [0] * 8, 3: [0, 0, 0, 0, 6, 1, 4, 3]}
+    assert {i: sum(r["attention_mask"]) for i, r in kept.items()} == {0: 6, 2: 0, 3: 4}
+    everything = {r["i"]: r for r in sft.tokenize_chat(df, ["i"], encode, 8, no_filter=True, pad_id=7).collect()}
     assert len(everything[1]["input_ids"]) == 54 and set(everything[1]["attention_mask"]) == {1}
-    labelled = sft.select_token_columns(sft.add_labels(sft.tokenize_chat(df, 8)), "i")
+    assert everything[2]["input_ids"] == [7] * 8
+    labelled = sft.select_token_columns(sft.add_labels(sft.tokenize_chat(df, ["i"], encode, 8)), "i")
     assert labelled.columns == ["i", "input_ids", "attention_mask", "labels"]
 
 
+def test_a_joined_vocabulary_needs_keys(spark):
+    with pytest.raises(ValueError):
+        chat_encoder(spark, head_rows=2)(spark.range(1), F.array(F.lit("a")))
+    assert chat_encoder(spark)(spark.range(1), F.array(F.lit("a"), F.lit("zz"))).first()["input_ids"] == [5, 1]
+
+
+@pytest.mark.parametrize("head", [lookup.HEAD_ROWS, 5, 1])
+def test_ids_of_many_rows(spark, docs, head):
+    """Hot, rare, long and unknown tokens, whole and split vocabularies, other columns kept."""
+    counts, _ = python_vocab()
+    known = [t for t, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:-3]
+    table = spark.createDataFrame([(t, counts[t], i) for i, t in enumerate(known)], "token string, cnt bigint, id bigint")
+    encode = encoding.Encoder(encoding.dictionary(materialise(table, "v")), head_rows=head)
+    got = encode(docs.withColumn("key", F.lit("own")), tokens(), "ids", ["doc_id"]).collect()
+    want = {i: [known.index(t) + 2 if t in known else 1 for t in text.split()] for i, _, text in DOCS}
+    assert {r["doc_id"]: r["ids"] for r in got} == want
+    assert len(got) == len(DOCS) and {r["key"] for r in got} == {"own"} and {r["g"] for r in got} == {"a", "b"}
+
+
+def test_prepared_corpus(spark, docs):
+    counts, _ = python_vocab()
+    known = sorted(counts)
+    table = spark.createDataFrame([(t, counts[t], i) for i, t in enumerate(known)], "token string, cnt bigint, id bigint")
+    encode = encoding.Encoder(encoding.dictionary(table))
+    rows = jobs.job_prepare_corpus(docs, "doc_id", F.col("text"), 32, 3, encode, batch_rows=40).collect()
+    want = {}
+    for b in range(0, len(DOCS), 40):
+        flat = [known.index(t) + 2 for d in DOCS[b : b + 40] for t in d[2].split()]
+        want |= {(b // 40, i): flat[i * 32 : (i + 1) * 32] for i in range(len(flat) // 32)}
+    assert {(r["batch"], r["block"]): r["input_ids"] for r in rows} == want
+    assert all(r["labels"] == r["input_ids"] and r["attention_mask"] == [1] * 32 for r in rows)
+    order_ = sorted(want, key=lambda k: (hashlib.md5(f"3:{k[0]}:{k[1]}".encode()).hexdigest(), k))
+    assert {(r["batch"], r["block"]): r["pos"] for r in rows} == {k: i for i, k in enumerate(order_)}
+
+
 def test_tokenizer_hook(spark):
     hook = hooks.tokenizer_hook(lambda: lambda t: [len(w) for w in t.split()])
     df = spark.createDataFrame([("a bb ccc",), ("",), (None,)], "t string")
@@ -188,5 +236,6 @@ def test_filters_on_turn_rows_see_the_whole_conversation(spark, head):
     assert kept(min_response_length=5) == {1: 40, 3: 2, 4: 1, 5: 1}
     assert kept(min_response_length=5, max_tokens=100) == {3: 2, 4: 1, 5: 1}
     # The same answer as the row filters where a conversation is one row.
-    rows = sft.min_response_filter(sft.tokenize_chat(sft.assemble_conversations(turns), 100), 5)
+    rows = sft.min_response_filter(sft.assemble_conversations(turns), 5)
+    rows = sft.tokenize_chat(rows, ["conv_id"], chat_encoder(spark), 100)
     assert {r["conv_id"] for r in rows.collect()} == {3, 4, 5}
