@@ -40,8 +40,8 @@ UNKNOWN = "und"
 FILTER_BITS = 1 << 27
 #: Piece ends become commas, blanks and tabs blanks; every other byte belongs to words.
 _BYTES = bytes(0x2C if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b in b" \t" else LOWER[b] for b in range(256))
-_SLICE = 1 << 22  # bytes of text that are cut into words at once
-_ROW = 1024  # words in a row of a persisted relation, up to the next zero
+_SLICE = 1 << 20  # bytes of text that are cut into words at once
+_ROW = 128  # words in a row of a persisted relation, up to the next zero: Arrow batches hold thousands of rows
 _WORDS = 1 << 19  # words that a task's dictionary holds before it is emptied
 _COUNTED = 1 << 21  # positions that are counted together
 _SALTS = 64
