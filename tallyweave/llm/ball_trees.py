@@ -34,7 +34,7 @@ from tallyweave.sources.scratch import materialise
 FIRST = 20
 #: Documents in one tree, and the cells of its dense matrix at most.
 TREE = 1024
-CELLS = 1 << 22
+CELLS = 1 << 21
 LEAF = 4
 GROUPS = 2048
 #: Terms of one block of items, repeats in different items included; about 100 bytes each in a task.
@@ -141,41 +141,44 @@ class BallTree:
 
     def __init__(self, values: np.ndarray, weights: np.ndarray, starts: np.ndarray, leaf: int = LEAF):
         """``starts``: where each group of terms begins among the columns; empty groups are left out."""
-        self.values = values
+        self.values = values.astype(np.float32, copy=False)  # whole numbers below 2^24: nothing is lost
+        self.weights, self.starts, self.leaf = weights, starts, leaf
         self.scaled = values * weights
-        self.starts = starts
+        self.squares = np.einsum("ij,ij->i", self.scaled, self.scaled)
         self.rows: list[np.ndarray] = []
         self.children: list[tuple[int, int] | None] = []
-        centroids, radii = [], []
-
-        def build(rows: np.ndarray) -> int:
-            at = len(self.rows)
-            self.rows.append(rows)
-            self.children.append(None)
-            centroids.append(values[rows].mean(axis=0))
-            radii.append(None)
-            if len(rows) <= leaf:
-                away = self.scaled[rows] - centroids[at] * weights
-                radii[at] = np.sqrt(np.add.reduceat(away * away, starts, axis=1).max(axis=0))
-                return at
-            left, right = (build(part) for part in self._halves(rows))
-            self.children[at] = (left, right)
-            # A node's documents lie no further off than a child's centroid and its radius together.
-            for child in (left, right):
-                apart = (centroids[child] - centroids[at]) * weights
-                reach = np.sqrt(np.add.reduceat(apart * apart, starts)) + radii[child]
-                radii[at] = reach if radii[at] is None else np.maximum(radii[at], reach)
+        most = 2 * len(values)  # a leaf has two documents or more, unless it is the only one
+        self.centroids = np.zeros((most, values.shape[1]), np.float32)
+        self.radii = np.zeros((most, len(starts)))
+        self._build(np.arange(len(values)))
+        self.centroids, self.radii = self.centroids[: len(self.rows)], self.radii[: len(self.rows)]
+        del self.scaled, self.squares
+
+    def _build(self, rows: np.ndarray) -> int:
+        """The node of some documents and all below it; any point serves as centroid, so rounding it is safe."""
+        at = len(self.rows)
+        self.rows.append(rows)
+        self.children.append(None)
+        self.centroids[at] = self.values[rows].mean(axis=0, dtype=np.float64)
+        centre = self.centroids[at] * self.weights
+        if len(rows) <= self.leaf:
+            away = self.scaled[rows] - centre
+            self.radii[at] = np.sqrt(np.add.reduceat(away * away, self.starts, axis=1).max(axis=0))
             return at
-
-        build(np.arange(len(values)))
-        self.centroids = np.array(centroids)
-        self.radii = np.array(radii)
+        first, second = self._halves(rows)
+        self.children[at] = (self._build(first), self._build(second))
+        # A node's documents lie no further off than a child's centroid and its radius together.
+        for child in self.children[at]:
+            apart = self.centroids[child] * self.weights - centre
+            reach = np.sqrt(np.add.reduceat(apart * apart, self.starts)) + self.radii[child]
+            self.radii[at] = np.maximum(self.radii[at], reach)
+        return at
 
     def _halves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two halves along the line between the document furthest from the first and the one furthest from that."""
-        points = self.scaled[rows]
-        a = points[((points - points[0]) ** 2).sum(axis=1).argmax()]
-        b = points[((points - a) ** 2).sum(axis=1).argmax()]
+        points, squares = self.scaled[rows], self.squares[rows]
+        a = points[(squares - 2 * (points @ points[0])).argmax()]
+        b = points[(squares - 2 * (points @ a)).argmax()]
         order = np.argsort(points @ (b - a), kind="stable")
         half = len(rows) // 2
         return rows[order[:half]], rows[order[half:]]
@@ -270,7 +273,7 @@ def _search_tree(
     used, group = used[order], group[order]
     column = np.full(len(weights), -1)
     column[used] = np.arange(len(used))
-    values = np.zeros((len(held), len(used)))
+    values = np.zeros((len(held), len(used)), np.float32)
     values[np.repeat(np.arange(len(held)), counts), column[terms]] = saturated(times, n, n_docs, n_terms)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     tree = BallTree(values, weights[used].astype(np.float64), starts)
