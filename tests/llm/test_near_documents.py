@@ -275,3 +275,11 @@ def test_drop_lines(spark, frame):
         1: (f"{a}\n{b}", 52), 2: ("kept line of the second text", 28), 4: (None, None), None: (a, 26), 5: ("", 0), 6: ("x\nx", 3)
     }
     assert near_lines.surplus_lines(frame([])).count() == 0
+
+
+def test_rows_of_one_id_lose_their_own_lines_only(spark, frame):
+    rows = [(0, "a first line of some length"), (1, "top\na first line of some length"), (1, "head\na line that nothing else has")]
+    rows += [(2, "the last words of all texts"), (2, "a first line of some length")]
+    out = near_lines.drop_lines(frame(rows), exact_chars=1)
+    want = [(0, rows[0][1]), (1, "top"), (1, rows[2][1]), (2, rows[3][1])]
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(want)
