@@ -26,7 +26,7 @@ def query(name: str):
 
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = weak_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = weak_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=("doc_id",))
     return judged.select("doc_id", *weak_rules.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 

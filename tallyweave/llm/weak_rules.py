@@ -143,18 +143,23 @@ def posteriors(combinations: DataFrame, rules: int, rounds: int = ROUNDS) -> Dat
     )
 
 
-def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``p_good`` and ``kept``.
+def judged(
+    docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, carry: tuple[str, ...] | None = None
+) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with the counts, ``base_failed``, ``p_good`` and ``kept``.
 
     A text fails outright with fewer than 50 words or when more than half of its words
     lie in repeated windows; else it is kept if its posterior is 0.5 or more. Null and
     empty texts have no words and fail. Repeated rows are judged alike, each on its own
-    row; an empty table gives no rows. A column of ``docs`` that is named like one of
-    the added ones is replaced.
+    row; an empty table gives no rows. A column of ``docs`` that is named like one of the
+    added ones is replaced; all others, whatever their names, come through. The counts are
+    written once, and with them what is carried.
     """
-    added = {*COUNTS, "n_lines", "n_marks", "base_failed", "p_good", "kept"} - {text_col}
-    own = [c for c in docs.columns if c not in added]
-    counted = with_counts(docs.select(*own), text_col)
+    added = {*COUNTS, "base_failed", "p_good", "kept"}
+    own = [c for c in (docs.columns if carry is None else carry) if c not in added]
+    # The row rides along as one column, so that no name can clash.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row") if own else F.lit(0).alias("_row"), F.col(text_col).alias("_text"))
+    counted = with_counts(whole, "_text").drop("_text")
     voted = materialise(counted.withColumn("votes", F.array(*(vote(r) for r in rules))), "quality-votes")
     table = voted.groupBy("votes").agg(F.count("*").alias("n"))
     scored = posteriors(table, len(rules), rounds).select("votes", "p_good")
@@ -164,12 +169,12 @@ def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
         voted.join(F.broadcast(scored), "votes")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
-        .select(*own, *COUNTS, "base_failed", "p_good", "kept")
+        .select(*(F.col(f"_row.`{c}`").alias(c) for c in own), *COUNTS, "base_failed", "p_good", "kept")
     )
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    # The document rides along as one column, so that no name can clash.
-    whole = docs.select(F.struct(*docs.columns).alias("_row"))
-    return judged(whole, "_row.text", **options).where("kept").select("_row.*")
+    # The document rides along as one column, so that it comes back as it was.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    return judged(whole, "_doc.text", **options).where("kept").select("_doc.*")

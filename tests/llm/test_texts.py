@@ -88,6 +88,19 @@ def test_keep_good(spark, frame):
     assert weak_rules.keep_good(frame([])).count() == 0
 
 
+def test_no_column_name_clashes(spark, frame):
+    names = ["_words", "_lines", "_windows", "_sorted", "_places", "_row", "_doc", "_text", "votes", "n_lines", "n_marks", "word_chars", "kept", "a.b"]
+    df = frame([(1, "a few plain words"), (2, None)])
+    for name in names:
+        df = df.withColumn(name, F.lit(f"own {name}"))
+    got = weak_rules.judged(df)
+    assert {c: got.first()[c] for c in names if c not in ("word_chars", "kept")} == {c: f"own {c}" for c in names if c not in ("word_chars", "kept")}
+    assert sorted(tuple(r) for r in got.select(*weak_rules.COUNTS, "kept").collect()) == [(0, 0, 0, 0, 0, False), (4, 14, 0, 0, 0, False)]
+    kept = df.withColumn("text", F.lit("These are the plain words of a text. " + " ".join(f"word{j}" for j in range(120)) + "."))
+    assert weak_rules.keep_good(kept).columns == kept.columns
+    assert {r["_row"] for r in weak_rules.keep_good(kept).collect()} == {"own _row"}
+
+
 def plain_hits(text, items, size):
     words = multi_pattern.text_words(text)
     hit, found = set(), set()
