@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.functions.vectors import l2_distance
+from tallyweave.functions.vectors import l2_distance, log_softmax, masked_sequence_mean
 from tallyweave.operators.lookup import lookup
 
-# Centre vectors that are broadcast at most (8,000 of 1,024 dimensions are 64 MB).
-CENTER_ROWS = 8_000
+# Bytes of centre vectors that are broadcast at most.
+CENTER_BYTES = 64 << 20
 
 
 def align_distributions(left: DataFrame, right: DataFrame, token: str = "token", count: str = "cnt") -> DataFrame:
@@ -73,34 +75,51 @@ def kl_divergence(counts: DataFrame, group: str, alpha: float = 1.0, temperature
 
 
 def vector_means(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """Mean vector and size per group; dimension sums are combined on the map side."""
-    means = (
-        df.select(group, F.posexplode(vector).alias("dim", "x"))
-        .groupBy(group, "dim")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
-    )
-    entries = F.sort_array(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy(group).agg(
-        F.transform(entries, lambda e: e["x"]).alias("center"), F.max("n").alias("cnt")
-    )
+    """``(group, center, cnt)``: mean vector and size per group.
+
+    Whole vectors are added up in the JVM, first in each task: a row per group, not one per
+    dimension, is shuffled. Null vectors are left out; the vectors of a group have one length.
+    """
+    rows = df.where(F.col(vector).isNotNull())
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return rows.groupBy(group).agg(vector_to_array(mean).alias("center"), F.count(F.lit(1)).alias("cnt"))
 
 
 def vector_l2_drift(
-    df: DataFrame, group: str, vector: str, centers: DataFrame, head_rows: int = CENTER_ROWS
+    df: DataFrame, group: str, vector: str, centers: DataFrame, center_bytes: int = CENTER_BYTES
 ) -> DataFrame:
     """Mean L2 distance of each vector to its group's centre vector.
 
-    ``centers`` is the materialised result of ``vector_means``. The centres of the
-    largest groups are broadcast, so a group with a third of all rows is not shuffled.
+    ``centers`` is the materialised result of ``vector_means``. The centres of the largest
+    groups, as many as ``center_bytes`` hold, are broadcast, so a group with a third of all
+    rows is not shuffled. Null vectors are left out.
     """
+    dims = centers.agg(F.max(F.size("center"))).first()[0] or 1
     distance = l2_distance(F.col(vector), F.col("center"))
     parts = lookup(
-        df.select(group, vector),
+        df.where(F.col(vector).isNotNull()).select(group, vector),
         centers,
         group,
         reduce=lambda found: found.groupBy(group).agg(
             F.sum(distance).alias("__sum"), F.count(F.lit(1)).alias("n")
         ),
-        head_rows=head_rows,
+        head_rows=center_bytes // (8 * dims),
     )
     return parts.groupBy(group).agg((F.sum("__sum") / F.sum("n")).alias("drift"), F.sum("n").alias("n"))
+
+
+def masked_divergence(df: DataFrame, anchor: str, own: str, mask: str, *keys: str, temperature: float = 1.0) -> DataFrame:
+    """``(*keys, kl)``: a row's divergence from its anchor, position by position.
+
+    ``anchor`` and ``own`` are arrays of logit vectors, one for each position, and ``mask``
+    holds a number for each. Every position's KL(anchor || own) counts with the mask of the
+    next position; the sum is divided by the row's number of positions and scaled by the
+    square of the temperature. All of it is column arithmetic inside the row.
+    """
+
+    def at(p: Column, q: Column) -> Column:
+        parts = F.zip_with(log_softmax(p, temperature), log_softmax(q, temperature), lambda a, b: F.exp(a) * (a - b))
+        return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+    values = F.zip_with(anchor, own, at)
+    return df.select(*keys, (masked_sequence_mean(values, F.col(mask)) * F.lit(float(temperature) ** 2)).alias("kl"))

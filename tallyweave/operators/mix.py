@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyweave.functions.ints import int_div
-from tallyweave.functions.seeds import UINT32, hash_uint32, order_hash
-from tallyweave.operators.order import KEY_SHIFTS, hash_position, natural_levels, natural_position, shifts_below, with_position
+from tallyweave.functions.seeds import UINT32, hash_uint32, order_hash, permuted_position
+from tallyweave.operators.order import (
+    KEY_SHIFTS,
+    hash_position,
+    natural_levels,
+    natural_position,
+    shifts_below,
+    sorted_position,
+    with_position,
+)
 
 # A source row that is drawn very often is copied, so that no join key of the
 # final lookup meets more than this many draws.
@@ -30,24 +38,45 @@ def tag_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def source_sizes(tagged: DataFrame, names: list[str], key: str) -> tuple[dict[str, int], list[int]]:
-    """Row count per source, and the position levels that its integer keys need.
+Key = str | Sequence[str]
 
-    One driver row per entry of the spec; only the key column is read.
+
+def _names(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def source_sizes(tagged: DataFrame, names: list[str], key: Key) -> tuple[dict[str, int], list[int] | None]:
+    """Row count per source, and the position levels that its integer keys need; None for keys of other types.
+
+    One driver row per entry of the spec; only the key columns are read.
     """
-    rows = (
-        tagged.groupBy("source")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
-        .collect()
-    )
+    keys = _names(key)
+    whole = len(keys) == 1 and isinstance(tagged.schema[keys[0]].dataType, T.IntegralType)
+    ends = [F.min(keys[0]).alias("low"), F.max(keys[0]).alias("high")] if whole else []
+    rows = tagged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *ends).collect()
     sizes = {r["source"]: r["n"] for r in rows}
     empty = [s for s in names if not sizes.get(s)]
     if empty:
         raise ValueError(f"sources without rows: {empty}")
+    if not whole:
+        return sizes, None
     small = min(r["low"] for r in rows) >= 0
     return sizes, shifts_below(max(r["high"] for r in rows) + 1) if small else list(KEY_SHIFTS)
 
 
+def numbered_rows(tagged: DataFrame, key: Key, levels: list[int] | None, sizes: Mapping[str, int], name: str = "idx") -> DataFrame:
+    """``tagged`` with each row's place in its source, by the key's order."""
+    if levels is not None:
+        return natural_position(tagged, _names(key)[0], name, ["source"], levels)
+    # The sources lie behind each other in one sorted order.
+    before, at = {}, 0
+    for source in sorted(sizes, key=str.encode):
+        before[source] = at
+        at += sizes[source]
+    placed = sorted_position(tagged, ["source", *_names(key)], "__at")
+    return placed.withColumn(name, F.col("__at") - _by_source(before)).drop("__at")
+
+
 def _by_source(values: Mapping[str, int]) -> Column:
     """Per-source constant as one CASE expression (the spec is a handful of rows)."""
     pairs = iter(values.items())
@@ -87,7 +116,7 @@ def repeat_rows(
 
 
 def fetch_rows(
-    draws: DataFrame, tagged: DataFrame, key: str, levels: list[int], repeats: Mapping[str, int]
+    draws: DataFrame, tagged: DataFrame, key: Key, levels: list[int] | None, sizes: Mapping[str, int], repeats: Mapping[str, int]
 ) -> DataFrame:
     """Join draws ``(source, idx, pass)`` to the ``idx``-th row of each source.
 
@@ -99,10 +128,11 @@ def fetch_rows(
     """
     copies = {s: max(1, math.ceil(r / DRAWS_PER_COPY)) for s, r in repeats.items()}
     wanted, most = _by_source(copies), max(copies.values())
-    numbered = natural_position(tagged.select("source", key), key, "idx", ["source"], levels)
+    row = ["source", *_names(key)]
+    numbered = numbered_rows(tagged.select(*row), key, levels, sizes)
     keyed = draws.withColumn("__copy", F.col("pass") % wanted)
-    placed = keyed.join(repeat_rows(numbered, most, "__copy", ["source", key], wanted), ["source", "idx", "__copy"])
-    return placed.join(repeat_rows(tagged, most, "__copy", ["source", key], wanted), ["source", key, "__copy"]).drop("__copy")
+    placed = keyed.join(repeat_rows(numbered, most, "__copy", row, wanted), ["source", "idx", "__copy"])
+    return placed.join(repeat_rows(tagged, most, "__copy", row, wanted), [*row, "__copy"]).drop("__copy")
 
 
 def _thresholds(weights: Mapping[str, float]) -> list[tuple[str, float]]:
@@ -196,17 +226,18 @@ def _check(sources: Mapping[str, DataFrame], weights: Mapping[str, float]) -> No
 
 
 def mix_weighted(
-    sources: Mapping[str, DataFrame], weights: Mapping[str, float], key: str, seed: int | str
+    sources: Mapping[str, DataFrame], weights: Mapping[str, float], key: Key, seed: int | str
 ) -> DataFrame:
     """Weighted interleave until all sources are exhausted; short sources restart.
 
-    ``key`` is a unique integer key inside each source and gives its row order.
+    ``key`` names one column or several, of any type that can be ordered, that identify a
+    row inside each source and give its row order. They must not be null.
     """
     _check(sources, weights)
     tagged = tag_sources(sources)
     sizes, levels = source_sizes(tagged, list(weights), key)
     draws, slots = mix_draws(tagged.sparkSession, sizes, weights, seed)
-    return fetch_rows(draws, tagged, key, levels, _repeats(sizes, weights, slots))
+    return fetch_rows(draws, tagged, key, levels, sizes, _repeats(sizes, weights, slots))
 
 
 def _places(
@@ -221,15 +252,15 @@ def _places(
     return repeated.where(at < longest).withColumn("pos", at * sources + turn)
 
 
-def interleave_round_robin(sources: Mapping[str, DataFrame], key: str) -> DataFrame:
+def interleave_round_robin(sources: Mapping[str, DataFrame], key: Key) -> DataFrame:
     """Alternate the sources row by row until the longest one ends; short ones restart.
 
-    The rows of a source are ordered by their unique integer ``key``.
+    The rows of a source are ordered by ``key``, as in ``mix_weighted``.
     """
     tagged = tag_sources(sources)
     sizes, levels = source_sizes(tagged, list(sources), key)
     longest = max(sizes.values())
-    numbered = natural_position(tagged, key, "idx", ["source"], levels)
+    numbered = numbered_rows(tagged, key, levels, sizes)
     turns = _by_source({s: j for j, s in enumerate(sources)})
     return _places(numbered, turns, len(sources), sizes, longest, "idx").drop("round")
 
@@ -238,7 +269,7 @@ def build_mixture(
     sources: Mapping[str, DataFrame],
     weights: Mapping[str, float],
     second: DataFrame,
-    key: str,
+    key: Key,
     seed: int | str,
 ) -> DataFrame:
     """Weighted mix, shuffled, alternating with a second, shuffled set.
@@ -263,20 +294,32 @@ def build_mixture(
     )
     rounds = math.ceil(longest / slots)
     repeats = {s: r * rounds for s, r in _repeats(sizes, weights, slots).items()}
-    mixed = fetch_rows(plan, tagged, key, levels, repeats).drop("idx", "pass").withColumnRenamed("source", "origin")
+    mixed = fetch_rows(plan, tagged, key, levels, sizes, repeats).drop("idx", "pass").withColumnRenamed("source", "origin")
 
-    rest = hash_position(second, [key], seed, "at").withColumn("source", F.lit(_SECOND))
+    rest = hash_position(second, _names(key), seed, "at").withColumn("source", F.lit(_SECOND))
     rest = _places(rest, F.lit(1), 2, {_SECOND: rest_size}, longest, "at").drop("round", "at")
     return mixed.withColumn("part", F.lit(_FIRST)).unionByName(
         rest.withColumnRenamed("source", "part").withColumn("origin", F.lit(_SECOND))
     )
 
 
-def batch_plan(numbered: DataFrame, batch: int, accumulate: int, max_steps: int, pos: str = "pos", rows: int | None = None) -> DataFrame:
+def batch_plan(
+    numbered: DataFrame,
+    batch: int,
+    accumulate: int,
+    max_steps: int,
+    pos: str = "pos",
+    rows: int | None = None,
+    reshuffle: int | str | None = None,
+    start_step: int = 0,
+) -> DataFrame:
     """Training manifest with its rows; the rows cycle when the steps outlast them.
 
     Row ``pos`` fills the slots ``pos + pass * rows``, so no join is needed. ``rows`` is
-    the number of rows; it is counted if it is not given.
+    the number of rows; it is counted if it is not given. With a seed in ``reshuffle`` each
+    pass has an order of its own: a row's place in it is computed from its position and the
+    pass, so nothing is shuffled, and a run resumed at ``start_step`` sees the rows that it
+    would have seen.
     """
     rows = numbered.count() if rows is None else rows
     if rows == 0:
@@ -284,10 +327,11 @@ def batch_plan(numbered: DataFrame, batch: int, accumulate: int, max_steps: int,
     per_step = batch * accumulate
     total = per_step * max_steps
     slot = F.col("slot_id")
+    place = F.col(pos) if reshuffle is None else permuted_position(F.col(pos), rows, reshuffle, F.col("pass"))
     return (
         repeat_rows(numbered, max(1, math.ceil(total / rows)), "pass", [pos])
-        .withColumn("slot_id", F.col(pos) + F.col("pass") * F.lit(rows))
-        .where(slot < total)
+        .withColumn("slot_id", place + F.col("pass") * F.lit(rows))
+        .where((slot < total) & (slot >= per_step * start_step))
         .select(
             "slot_id",
             int_div(slot, per_step).alias("step"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.functions.ints import int_div
 from tallyweave.functions.seeds import order_hash
+from tallyweave.sources.scratch import materialise
 
 # Row keys of the natural order: 4,096 values per leaf bucket, then at most
 # 131,072 child buckets per parent, so a 64-bit key needs three levels.
@@ -94,6 +95,14 @@ def shifts_below(upper: int) -> list[int]:
     return wanted or [KEY_SHIFTS[-1]]
 
 
+def fitting_shifts(df: DataFrame, key: str) -> list[int]:
+    """The levels that the values of an integer key need; the key column is read once for them."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return [KEY_SHIFTS[-1]]
+    return shifts_below(high + 1) if low >= 0 else list(KEY_SHIFTS)
+
+
 def natural_position(
     df: DataFrame,
     key: str,
@@ -105,6 +114,37 @@ def natural_position(
     return with_position(df, natural_levels(F.col(key), shifts), [F.col(key)], name, within)
 
 
+def sorted_rows(df: DataFrame, order: Sequence[Column], name: str = "pos", base: int = 0) -> DataFrame:
+    """Rows numbered by ``order``, which identifies a row and may be of any types that can be ordered.
+
+    The rows are dealt by ranges whose ends are sampled, sorted inside each range and
+    written: the files fix the order, whatever is computed again later. Only the ranges'
+    row counts, one per task, are added up. Wide rows are better numbered by narrow keys
+    (``sorted_position``).
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ranges.withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__id", 33)  # the task is in the high bits of the generated id, the row's number in the low ones
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per task
+    offsets, at = [], base
+    for r in sorted(counts):
+        offsets.append((r["__part"], at))
+        at += r["n"]
+    table = df.sparkSession.createDataFrame(offsets, "__part bigint, __off bigint")
+    row = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    found = placed.withColumn("__part", part).join(F.broadcast(table), "__part")
+    return found.select(*df.columns, (F.col("__off") + row).alias(name))
+
+
+def sorted_position(df: DataFrame, keys: Sequence[str], name: str = "pos") -> DataFrame:
+    """Position by unique keys of any types that can be ordered, e.g. strings or several columns.
+
+    Only the keys are sorted; the places are joined back by them.
+    """
+    places = sorted_rows(df.select(*keys), [F.col(k) for k in keys], name)
+    return df.join(places, list(keys)) if set(df.columns) != set(keys) else places
+
+
 def hash_position(
     df: DataFrame,
     keys: Sequence[str],

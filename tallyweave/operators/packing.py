@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.functions.ints import int_div
-from tallyweave.operators.order import natural_position
+from tallyweave.operators.order import fitting_shifts, natural_position
 
 
 def pack_sequences(
@@ -23,7 +23,7 @@ def pack_sequences(
     in_batch = Window.partitionBy("batch")
     before = in_batch.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        natural_position(sizes, key)
+        natural_position(sizes, key, shifts=fitting_shifts(sizes, key))
         .withColumn("batch", int_div(F.col("pos"), batch_rows))
         .select(
             key,

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Mapping
+import uuid
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyweave.functions import judging, text
 from tallyweave.sources.scratch import materialise
 
 BASELINE = "original"
 TYPES_PER_CHUNK = 1_000
+#: Characters of an error that a status row holds.
+ERROR_CHARS = 500
 
 
 def checkpoint_parse(results: DataFrame, key: str = "ft_dataset") -> DataFrame:
@@ -155,22 +160,37 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def union_eval_sets(spark, builders: Mapping[str, object]) -> tuple[DataFrame | None, DataFrame]:
-    """Union of the prompt sets that resolve, and one status row per set.
+def union_eval_sets(
+    spark: SparkSession, builders: Mapping[str, Callable[[], DataFrame]], workers: int = 4
+) -> tuple[DataFrame | None, DataFrame]:
+    """Union of the prompt sets that come through, and one status row per set.
 
-    ``builders`` maps a set name to a function without arguments that returns a
-    DataFrame. A set that cannot be resolved is reported and left out.
+    ``builders`` maps a set name to a function without arguments that returns a DataFrame.
+    Each set is computed and written by tagged jobs of its own, ``workers`` sets at a time,
+    so that one that cannot be read, or fails while it runs, leaves the others whole: its
+    other jobs are cancelled, nothing of it comes out, and its status row holds the error.
     """
-    frames, status = [], []
-    for name, build in builders.items():
+    context, run = spark.sparkContext, uuid.uuid4().hex
+
+    def finish(place: int, build: Callable[[], DataFrame]) -> tuple[DataFrame | None, str | None]:
+        tag = f"eval-set-{run}-{place}"
+        context.addJobTag(tag)
         try:
-            frame = build()
-            frame.schema  # resolves the plan
-            frames.append(frame)
-            status.append((name, True, None))
+            return materialise(build(), "eval-set"), None
         except Exception as error:  # noqa: BLE001 - one bad set must not stop the others
-            status.append((name, False, type(error).__name__))
+            context.cancelJobsWithTag(tag)
+            lines = [line for line in str(error).splitlines() if line.strip()]
+            return None, f"{type(error).__name__}: {lines[0] if lines else ''}"[:ERROR_CHARS]
+        finally:
+            context.removeJobTag(tag)
+
+    with ThreadPoolExecutor(max(1, workers)) as pool:
+        # Each task inherits this thread's settings, and has job tags of its own.
+        jobs = [pool.submit(inheritable_thread_target(spark)(finish), i, build) for i, build in enumerate(builders.values())]
+        done = [job.result() for job in jobs]
+    status = [(name, error is None, error) for name, (_, error) in zip(builders, done)]
     report = spark.createDataFrame(status, "set_name string, ok boolean, error string")
+    frames = [frame for frame, _ in done if frame is not None]
     return (union_all(frames) if frames else None), report
 
 

@@ -10,7 +10,7 @@ from tallyweave.functions import chat, tokens as tk
 from tallyweave.functions.text import strip_ws
 from tallyweave.operators.encoding import PAD_ID, Encoder
 from tallyweave.operators.lookup import HEAD_ROWS, lookup
-from tallyweave.operators.order import natural_position
+from tallyweave.operators.order import fitting_shifts, natural_position
 from tallyweave.sources.scratch import materialise
 
 
@@ -83,7 +83,8 @@ def turn_pairs(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
     Turns are numbered by bucket counts and met by an equi-join on ``(key, place + 1)``:
     unlike a window per conversation this spreads one huge conversation over all tasks.
     """
-    placed = natural_position(turns.select(key, turn, role, content), turn, "__place", [key])
+    rows = turns.select(key, turn, role, content)
+    placed = natural_position(rows, turn, "__place", [key], fitting_shifts(turns, turn))
     users = placed.where(F.col(role) == "user").select(key, turn, "__place", F.col(content).alias("prompt"))
     answers = placed.where(F.col(role) == "assistant").select(
         key, (F.col("__place") - 1).alias("__place"), F.col(content).alias("completion")

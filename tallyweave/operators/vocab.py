@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.operators.encoding import Encoder
 from tallyweave.operators.lookup import HEAD_ROWS
-from tallyweave.operators.order import with_position
+from tallyweave.operators.order import sorted_rows
 
 
 def token_rows(df: DataFrame, tokens: Column, *keys: str, pos: str = "pos") -> DataFrame:
@@ -27,13 +27,10 @@ def token_counts(df: DataFrame, tokens: Column, *groups: str) -> DataFrame:
 def vocabulary(counts: DataFrame) -> DataFrame:
     """``(token, cnt, id)``: id by falling count, ties by the token's hash.
 
-    Buckets are (count, hash prefix): the many tokens of count 1 are spread, and
-    there are at most ``sqrt(2 * tokens)`` different counts to sum over.
+    ``counts`` is read twice and should be materialised.
     """
-    hashed = counts.withColumn("__h", F.md5("token"))
-    rare_first = -F.col("cnt")
-    spread = F.concat_ws(":", "cnt", F.substring("__h", 1, 3))
-    return with_position(hashed, [rare_first, spread], [rare_first, F.col("__h"), F.col("token")], "id").drop("__h")
+    rows = counts.withColumn("__h", F.md5("token"))
+    return sorted_rows(rows, [-F.col("cnt"), F.col("__h"), F.col("token")], "id").drop("__h")
 
 
 def with_nll(counts: DataFrame) -> DataFrame:

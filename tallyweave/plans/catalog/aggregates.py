@@ -155,15 +155,15 @@ def distinct_types(spark, sf):
 
 def _losses(spark, sf):
     tokens = tk.tokenize_text(F.col("text"))
-    counts = materialise(vocab.token_counts(fx.corpus(spark, sf), tokens), "counts")
+    counts = materialise(vocab.token_counts(fx.token_corpus(spark, sf), tokens), "counts")
     table = vocab.with_nll(counts)
-    rows = vocab.token_rows(fx.corpus(spark, sf), tokens, "doc_id")
+    rows = vocab.token_rows(fx.token_corpus(spark, sf), tokens, "doc_id")
     return losses.sequence_losses(rows, table, "doc_id", fx.PROMPT_LENGTH)
 
 
 @query("ngram_nll", fx.with_views("vocab", body="select token, cnt, round(nll, 6) as nll from vocab"))
 def ngram_nll(spark, sf):
-    counts = vocab.token_counts(fx.corpus(spark, sf), tk.tokenize_text(F.col("text")))
+    counts = vocab.token_counts(fx.token_corpus(spark, sf), tk.tokenize_text(F.col("text")))
     scored = vocab.with_nll(materialise(counts, "counts"))
     return scored.select("token", "cnt", F.round("nll", 6).alias("nll"))
 
@@ -201,9 +201,9 @@ p3 as (
 def _kneser_ney(spark, sf):
     """Scored trigrams of the corpus, and their occurrences."""
     tokens = tk.tokenize_text(F.col("text"))
-    model = ngrams.kneser_ney(fx.corpus(spark, sf), tokens, 3)
+    model = ngrams.kneser_ney(fx.token_corpus(spark, sf), tokens, 3)
     counted = model.grams[-1].select("gram", "cnt")
-    return ngrams.gram_nll(counted, model), ngrams.gram_rows(fx.corpus(spark, sf), tokens, "doc_id", order=3)
+    return ngrams.gram_nll(counted, model), ngrams.gram_rows(fx.token_corpus(spark, sf), tokens, "doc_id", order=3)
 
 
 @query(
@@ -272,7 +272,7 @@ select lang, round(sum(p * ln(p / q)) * {t * t}, 6) as kl from z group by lang""
 
 
 def _kl(spark, sf, temperature):
-    counts = vocab.token_counts(fx.corpus(spark, sf), tk.tokenize_text(F.col("text")), "lang")
+    counts = vocab.token_counts(fx.token_corpus(spark, sf), tk.tokenize_text(F.col("text")), "lang")
     out = divergence.kl_divergence(materialise(counts, "counts"), "lang", temperature=temperature)
     return out.withColumn("kl", F.round("kl", 6))
 
@@ -287,6 +287,30 @@ def kl_temperature(spark, sf):
     return _kl(spark, sf, 2.0)
 
 
+# Each vector is read as sixteen positions of four logits; the anchor has them the other way round.
+@query(
+    "masked_kl",
+    """with e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings),
+n as (select vec_id, count(*) as dims from e group by vec_id),
+c as (select e.vec_id, e.dim // 4 as pos, e.dim % 4 as k, e.x as own, o.x as anchor
+      from e join n using (vec_id) join e o on o.vec_id = e.vec_id and o.dim = n.dims - 1 - e.dim),
+l as (select *, own / 2 - ln(sum(exp(own / 2)) over w) as lq, anchor / 2 - ln(sum(exp(anchor / 2)) over w) as lp
+      from c window w as (partition by vec_id, pos)),
+kl as (select vec_id, pos, sum(exp(lp) * (lp - lq)) as v from l group by vec_id, pos),
+s as (select vec_id, count(*) as n from kl group by vec_id)
+select vec_id, round(4 * sum(case when pos < n - 1 and pos + 1 >= 3 then v else 0 end) / n, 6) as kl
+from kl join s using (vec_id) group by vec_id, n""",
+)
+def masked_kl(spark, sf):
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), (F.size(v) / 4).cast("int") - 1), lambda i: F.slice(v, (i * 4 + 1).cast("int"), 4))
+    rows = read_table(spark, sf, "embeddings").select(
+        "vec_id", blocks(F.col("embedding")).alias("own"), blocks(F.reverse("embedding")).alias("anchor")
+    )
+    masked = rows.withColumn("mask", F.transform("own", lambda _, i: (i >= 3).cast("int")))
+    found = divergence.masked_divergence(masked, "anchor", "own", "mask", "vec_id", temperature=2.0)
+    return found.withColumn("kl", F.round("kl", 6))
+
+
 @query(
     "softmax_rows",
     """with e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings),

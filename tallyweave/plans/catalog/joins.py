@@ -10,6 +10,7 @@ from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
 from tallyweave.plans.catalog.mappings import TASKS
 from tallyweave.sources.readers import read_table
+from tallyweave.sources.scratch import materialise
 
 _TASKS_SQL = "tasks as (select * from (values ('en', 'reading'), ('en', 'logic_instruct'), ('fr', 'reading')) t(lang, task))"
 
@@ -78,6 +79,8 @@ def union_eval_sets(spark, sf):
         "web": lambda: named(fx.documents(spark, sf), "web", "doc_id"),
         # This set does not resolve; the others must come through.
         "broken": lambda: named(fx.documents(spark, sf), "broken", "no_such_column"),
+        # This one fails while it runs.
+        "failing": lambda: named(fx.documents(spark, sf), "failing", "doc_id").withColumn("prompt", F.raise_error(F.lit("no reply"))),
         "bench": lambda: named(read_table(spark, sf, "benchmark"), "bench", "item_id"),
     }
     rows, _ = rates.union_eval_sets(spark, sets)
@@ -88,13 +91,14 @@ def union_eval_sets(spark, sf):
     "align_distributions",
     fx.with_views(
         "occ",
-        body=""", c as (select lang, token, count(*) as cnt from occ group by lang, token)
+        body=""", c as (select lang is not distinct from 'en' as english, token, count(*) as cnt from occ group by all)
 select coalesce(a.token, b.token) as token, coalesce(a.cnt, 0) as p_cnt, coalesce(b.cnt, 0) as q_cnt
-from (select * from c where lang = 'en') a full outer join (select * from c where lang = 'fr') b on a.token = b.token""",
+from (select * from c where english) a full outer join (select * from c where not english) b on a.token = b.token""",
     ),
 )
 def align_distributions(spark, sf):
-    def counts(lang):
-        return vocab.token_counts(fx.corpus(spark, sf).where(F.col("lang") == lang), tk.tokenize_text(F.col("text")))
-
-    return divergence.align_distributions(counts("en"), counts("fr"))
+    """English texts against all others."""
+    english = F.col("lang").eqNullSafe("en").alias("english")
+    counts = vocab.token_counts(fx.corpus(spark, sf).select(english, "text"), tk.tokenize_text(F.col("text")), "english")
+    both = materialise(counts, "counts")
+    return divergence.align_distributions(both.where("english"), both.where("not english"))

@@ -92,9 +92,9 @@ def udf_scorer(spark, sf):
     "udf_generate",
     fx.with_views(
         "results",
-        body="select sample_id, array_to_string(list_reverse(string_split(prompt, ' ')), ' ') as generated from results",
+        body="select sample_id, array_to_string(list_reverse(string_split(completion, ' ')), ' ') as generated from results",
     ),
 )
 def udf_generate(spark, sf):
-    prompts = fx.results(spark, sf).select("sample_id", "prompt")
+    prompts = fx.results(spark, sf).select("sample_id", F.col("completion").alias("prompt"))
     return jo.generate_samples(prompts, "prompt", "generated", lambda: jo.reverse_words).select("sample_id", "generated")

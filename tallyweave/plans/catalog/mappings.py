@@ -175,14 +175,15 @@ def strip_special_token(spark, sf):
     "prompt_with_context",
     fx.with_views(
         "results",
-        body="select sample_id, dataset_name || chr(10) || prompt as content, prompt as bare from results",
+        body="select sample_id, dataset_name || chr(10) || completion as content, completion as bare from results",
     ),
 )
 def prompt_with_context(spark, sf):
+    # Each text as a whole is the question.
     return fx.results(spark, sf).select(
         "sample_id",
-        tx.prompt_with_context(F.col("prompt"), F.col("dataset_name")).alias("content"),
-        tx.prompt_with_context(F.col("prompt"), None).alias("bare"),
+        tx.prompt_with_context(F.col("completion"), F.col("dataset_name")).alias("content"),
+        tx.prompt_with_context(F.col("completion"), None).alias("bare"),
     )
 
 
@@ -239,7 +240,8 @@ from convids where len(ids) <= 256"""
 
 
 def _token_rows(spark, sf):
-    return sft.add_labels(sft.tokenize_chat(fx.conversations(spark, sf), ["conv_id"], fx.chat_encoder(spark, sf), 256))
+    chats, encode = fx.encoded_chats(spark, sf)
+    return sft.add_labels(sft.tokenize_chat(chats, ["conv_id"], encode, 256))
 
 
 @query(

@@ -9,6 +9,7 @@ from tallyweave.functions.ints import int_div
 from tallyweave.operators import mix, order, selection
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
+from tallyweave.sources import registry
 
 SEED = 7
 
@@ -140,3 +141,74 @@ def batch_plan(spark, sf):
     # One and a half passes over the rows.
     plan = mix.batch_plan(_shuffled(spark, sf), batch=8, accumulate=4, max_steps=rows * 3 // 64, rows=rows)
     return plan.select("slot_id", "step", "micro", "slot", "pass", "doc_id", "text_md5")
+
+
+def _permuted_sql(n: str, seed: int) -> str:
+    """Recursive view ``walk`` (doc_id, text_md5, pass, x): places in each pass, walked until they lie below n."""
+    p, f, g = seeds.PRIME, *seeds.FACTORS
+    lines, low, high = [], "l0", "h0"
+    for i, (key, step) in enumerate(seeds.round_keys(seed)):
+        k = f"(({key} + pass % {p} * {step}) % {p})"
+        mix = lambda v: f"((({v} % {p} * {f} + {k}) % {p} * {g} + {k}) % {p})"  # noqa: B023, E731
+        if i % 2 == 0:
+            lines.append(f"({low} + {mix(high)}) % a as l{i + 1}")
+            low = f"l{i + 1}"
+        else:
+            lines.append(f"({high} + {mix(low)}) % b as h{i + 1}")
+            high = f"h{i + 1}"
+    return f"""size as (select n, a, cast(ceil(n / a) as bigint) as b from (select {n} as n, cast(ceil(sqrt({n})) as bigint) as a)),
+walk as (
+  select doc_id, text_md5, pass, pos as x, 0 as step from base
+  union all
+  select doc_id, text_md5, pass, {low} + {high} * a, step + 1
+  from (select *, x % a as l0, x // a as h0, {", ".join(lines)} from walk, size where step = 0 or x >= n))"""
+
+
+@query(
+    "epoch_reshuffle",
+    f"""with recursive {SHUFFLED_SQL},
+base as (select doc_id, text_md5, pos, unnest(range(3)) as pass from shuffled),
+{_permuted_sql("(select count(*) from documents)", 11)}
+select pass * n + x as slot_id, (pass * n + x) // 32 as step, pass, doc_id, text_md5
+from walk, size where walk.step > 0 and x < n and pass * n + x >= 64 and pass * n + x < 32 * (n * 5 // 64)""",
+)
+def epoch_reshuffle(spark, sf):
+    """Two and a half passes, each in an order of its own, resumed at the third step."""
+    rows = fx.documents(spark, sf).count()
+    plan = mix.batch_plan(
+        _shuffled(spark, sf), batch=8, accumulate=4, max_steps=rows * 5 // 64, rows=rows, reshuffle=11, start_step=2
+    )
+    return plan.select("slot_id", "step", "pass", "doc_id", "text_md5")
+
+
+@query(
+    "mix_registry",
+    f"""with keyed as (select lang, lang || '/' || doc_id as row_key, md5(text) as text_md5 from documents),
+spec as (select * from (values ('en', 0.0, 0.6), ('fr', 0.6, 0.9), ('es', 0.9, 1.0)) t(source, lo, hi)),
+rows_ as (
+  select k.lang as source, row_key, text_md5, row_number() over (partition by k.lang order by row_key) - 1 as idx, count(*) over (partition by k.lang) as n
+  from keyed k join spec on spec.source = k.lang),
+sizes as (select source, max(n) as n from rows_ group by source),
+draws as (
+  select s as slot, source, row_number() over (partition by source order by s) - 1 as rank
+  from (select unnest(range(30 * (select sum(n) from sizes)::bigint + 2000)) as s)
+  join spec on ('0x' || substr(md5('{SEED}:' || s), 1, 8))::bigint / 4294967296.0 >= lo
+           and ('0x' || substr(md5('{SEED}:' || s), 1, 8))::bigint / 4294967296.0 < hi),
+ends as (select max(slot) as last from draws join sizes using (source) where rank = n - 1)
+select slot, d.source, r.row_key, r.text_md5, rank // r.n as pass
+from draws d join rows_ r on r.source = d.source and r.idx = d.rank % r.n, ends where slot <= last""",
+)
+def mix_registry(spark, sf):
+    """A registry entry that mixes named sources whose rows have text keys."""
+
+    def reader(lang):
+        def read(spark, root):
+            docs = fx.documents(spark, root).where(F.col("lang") == lang)
+            return docs.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("row_key"), "text")
+
+        return read
+
+    known = registry.Registry({lang: registry.DatasetSpec(reader(lang), keep=("row_key",)) for lang in ("en", "fr", "es")})
+    known.register("all", registry.MixtureSpec({"en": 6.0, "fr": 3.0, "es": 1.0}, "row_key", SEED))
+    mixed = known.resolve(spark, "all", sf)
+    return mixed.select("slot", "source", "row_key", F.md5("text").alias("text_md5"), "pass")

@@ -27,9 +27,8 @@ select conv_id, pos, trim(repeat('0 ', 400 - len(ids)) || array_to_string(ids, '
     ),
 )
 def job_prepare_dataset(spark, sf):
-    rows = jobs.job_prepare_dataset(
-        fx.conversations(spark, sf), ["conv_id"], F.col("messages"), 100, 400, SEED, fx.chat_encoder(spark, sf)
-    )
+    chats, encode = fx.encoded_chats(spark, sf)
+    rows = jobs.job_prepare_dataset(chats, ["conv_id"], F.col("messages"), 100, 400, SEED, encode)
     return rows.select(
         "conv_id",
         "pos",
@@ -55,7 +54,7 @@ select batch, block, row_number() over (order by md5('{SEED}:' || batch || ':' |
     ),
 )
 def job_prepare_corpus(spark, sf):
-    corpus, tokens = fx.corpus(spark, sf), tk.tokenize_text(F.col("text"))
+    corpus, tokens = fx.token_corpus(spark, sf), tk.tokenize_text(F.col("text"))
     rows = jobs.job_prepare_corpus(corpus, "doc_id", F.col("text"), 256, SEED, fx.encoder(corpus, tokens), batch_rows=100)
     return rows.select(
         "batch",

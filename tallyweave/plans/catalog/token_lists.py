@@ -19,7 +19,7 @@ def tokenize_text(spark, sf):
 def corpus_vocabulary(spark, sf):
     """Vocabulary of the whole corpus. The corpus is read once, for the counts; ids
     and scores come from the written, small table."""
-    counts = materialise(vocab.token_counts(fx.corpus(spark, sf), tk.tokenize_text(F.col("text"))), "counts")
+    counts = materialise(vocab.token_counts(fx.token_corpus(spark, sf), tk.tokenize_text(F.col("text"))), "counts")
     return materialise(vocab.with_nll(vocab.vocabulary(counts)), "vocabulary")
 
 
@@ -35,7 +35,7 @@ from documents d left join occ o on d.doc_id = o.doc_id left join vocab v on o.t
 def token_ids(spark, sf):
     # Tokens that occur once are left out of the vocabulary: they are unknown.
     table = corpus_vocabulary(spark, sf).where("cnt > 1")
-    ids = vocab.token_ids(fx.corpus(spark, sf), "doc_id", tk.tokenize_text(F.col("text")), table)
+    ids = vocab.token_ids(fx.token_corpus(spark, sf), "doc_id", tk.tokenize_text(F.col("text")), table)
     return ids.select("doc_id", fx.ids_text("input_ids").alias("ids"))
 
 
@@ -48,7 +48,8 @@ def token_ids(spark, sf):
     ),
 )
 def tokenize_chat(spark, sf):
-    rows = sft.tokenize_chat(fx.conversations(spark, sf), ["conv_id"], fx.chat_encoder(spark, sf), 300)
+    chats, encode = fx.encoded_chats(spark, sf)
+    rows = sft.tokenize_chat(chats, ["conv_id"], encode, 300)
     ones = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     return rows.select("conv_id", fx.ids_text("input_ids").alias("input_ids"), ones.cast("bigint").alias("n_tokens"))
 
@@ -62,7 +63,8 @@ def tokenize_chat(spark, sf):
     ),
 )
 def pad_left(spark, sf):
-    rows = sft.tokenize_chat(fx.conversations(spark, sf), ["conv_id"], fx.chat_encoder(spark, sf), 100, no_filter=True)
+    chats, encode = fx.encoded_chats(spark, sf)
+    rows = sft.tokenize_chat(chats, ["conv_id"], encode, 100, no_filter=True)
     mask = F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), "")
     return rows.select("conv_id", fx.ids_text("input_ids").alias("input_ids"), mask.alias("mask"))
 
@@ -81,7 +83,7 @@ from numbered group by batch, block having count(*) = 128""",
 )
 def pack_sequences(spark, sf):
     tokens = tk.tokenize_text(F.col("text"))
-    corpus = fx.corpus(spark, sf)
+    corpus = fx.token_corpus(spark, sf)
     lists = materialise(fx.encoder(corpus, tokens)(corpus, tokens, "input_ids", ["doc_id"], ["doc_id"]), "token-lists")
     blocks = packing.pack_sequences(lists, 128, "doc_id", batch_rows=100)
     return blocks.select("batch", "block", fx.ids_text("input_ids").alias("input_ids"))

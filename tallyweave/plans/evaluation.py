@@ -14,6 +14,7 @@ from tallyweave.plans import jobs
 from tallyweave.sources import readers, sinks
 from tallyweave.sources.scratch import materialise
 
+# The evaluations that a configuration may name.
 EVALS = ("injection", "refusal", "smooth_refusal", "jailbreak")
 
 Reader = Callable[[Mapping], DataFrame]
@@ -108,8 +109,8 @@ def evaluate_prompts(
     unknown_nll: float = 20.0,
 ) -> tuple[DataFrame | None, DataFrame]:
     """Results of all prompt sets, and one status row per set (a set that cannot be
-    read is left out, not fatal). The completions are written, so that each prompt is
-    generated once whatever is computed from them."""
+    read, or whose generator fails, is left out, not fatal). The completions are written,
+    so that each prompt is generated once whatever is computed from them."""
     options = judging.GenerateOptions(config.min_new_tokens, config.max_new_tokens, config.temperature)
 
     def build(name: str, dataset: Mapping) -> Callable[[], DataFrame]:
@@ -129,7 +130,6 @@ def evaluate_prompts(
     )
     if rows is None:
         return None, status
-    rows = materialise(rows, "completions")
     if config.compute_ppl:
         if ppl_table is None:
             raise ValueError("compute_ppl needs a token table")

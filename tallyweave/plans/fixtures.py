@@ -11,7 +11,7 @@ from tallyweave.functions import chat, tokens as tk
 from tallyweave.functions.ints import int_div
 from tallyweave.operators import order, sft, vocab
 from tallyweave.operators.encoding import Encoder, dictionary
-from tallyweave.sources.readers import read_table
+from tallyweave.sources.readers import read_table, spread
 from tallyweave.sources.scratch import materialise
 
 CHAT_WEIGHTS = {"en": 5.0, "fr": 2.0, "de": 2.0, "es": 1.0}
@@ -42,6 +42,11 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", "lang", "text")
 
 
+def token_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus for queries that cut all texts into tokens, some of them more than once."""
+    return spread(corpus(spark, sf))
+
+
 def result_key() -> Column:
     """Every document gets a result key: baseline, unnumbered, or one of three steps."""
     step = (int_div(F.col("doc_id"), 10) % 3 + 1) * 500
@@ -93,12 +98,24 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def preferences(spark: SparkSession, sf: str) -> DataFrame:
-    """Non-toxic and toxic documents paired by rank: ``rank, prompt, chosen, rejected``."""
+    """Every non-toxic and every toxic document in a pair: ``rank, prompt, chosen, rejected``.
+
+    Pairs are made by rank; the texts of the smaller class are used again from the first
+    on, each in places that it works out itself, so that no join key is hot.
+    """
     labelled = documents(spark, sf).select("doc_id", "text").join(read_table(spark, sf, "labels"), "doc_id")
-    ranked = order.natural_position(labelled.select("doc_id", "text", "toxic"), "doc_id", "rank", ["toxic"])
-    good = ranked.where("toxic = 0").select("rank", F.col("text").alias("chosen"))
-    bad = ranked.where("toxic = 1").select("rank", F.col("text").alias("rejected"))
-    return good.join(bad, "rank").withColumn("prompt", F.substring_index("chosen", "\n", 1))
+    ranked = materialise(order.natural_position(labelled.select("doc_id", "text", "toxic"), "doc_id", "rank", ["toxic"]), "ranked")
+    sizes = {r["toxic"]: r["count"] for r in ranked.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    longest = max(sizes.values(), default=0)
+
+    def side(toxic: int, name: str) -> DataFrame:
+        n = max(1, sizes.get(toxic, 0))
+        rows = ranked.where(F.col("toxic") == toxic).select("rank", F.col("text").alias(name))
+        return order.oversample(rows, -(-longest // n) or 1, longest, F.lit(n), pos="rank", slot="place").select(
+            F.col("place").alias("rank"), name
+        )
+
+    return side(0, "chosen").join(side(1, "rejected"), "rank").withColumn("prompt", F.substring_index("chosen", "\n", 1))
 
 
 def mix_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -122,8 +139,10 @@ def encoder(df: DataFrame, tokens: Column) -> Encoder:
     return Encoder(dictionary(known))
 
 
-def chat_encoder(spark: SparkSession, sf: str) -> Encoder:
-    return encoder(conversations(spark, sf), tk.tokenize_text(chat.chat_render(F.col("messages"))))
+def encoded_chats(spark: SparkSession, sf: str) -> tuple[DataFrame, Encoder]:
+    """Conversations, written once, and the encoder of their own tokens."""
+    chats = materialise(conversations(spark, sf), "chats")
+    return chats, encoder(chats, tk.tokenize_text(chat.chat_render(F.col("messages"))))
 
 
 def ids_text(ids: Column | str) -> Column:
@@ -176,12 +195,14 @@ SQL = {
   from (select *, lead(role) over w as next_role, lead(text) over w as next_text
         from conversations window w as (partition by conv_id order by turn))
   where role = 'user' and next_role = 'assistant')""",
-    "preferences": r"""preferences as (
-  select a.rank, a.text as chosen, b.text as rejected, split_part(a.text, chr(10), 1) as prompt
-  from (select d.doc_id, text, row_number() over (order by d.doc_id) - 1 as rank
-        from documents d join labels l on d.doc_id = l.doc_id where toxic = 0) a
-  join (select d.doc_id, text, row_number() over (order by d.doc_id) - 1 as rank
-        from documents d join labels l on d.doc_id = l.doc_id where toxic = 1) b on a.rank = b.rank)""",
+    "preferences": r"""ranked_labels as (
+  select d.doc_id, text, toxic, row_number() over (partition by toxic order by d.doc_id) - 1 as rank, count(*) over (partition by toxic) as n
+  from documents d join labels l on d.doc_id = l.doc_id where toxic in (0, 1)),
+preferences as (
+  select places.rank, a.text as chosen, b.text as rejected, split_part(a.text, chr(10), 1) as prompt
+  from (select unnest(range((select max(n) from ranked_labels))) as rank) places
+  join ranked_labels a on a.toxic = 0 and a.rank = places.rank % a.n
+  join ranked_labels b on b.toxic = 1 and b.rank = places.rank % b.n)""",
     "rendered": r"""rendered as (
   select conv_id, string_agg(
     case role when 'user' then '<s>[INST] ' || regexp_replace(text, '^\s+|\s+$', '', 'g') || ' [/INST][ASST] '

@@ -11,6 +11,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A scan with fewer tasks than cores (few, large row groups) dealt out to all of them.
+
+    Worth its shuffle before costly work on each row, such as cutting texts into tokens. A
+    scan with enough tasks, as any large table has, stays as it is.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism if tasks is None else tasks
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def read_columnar(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

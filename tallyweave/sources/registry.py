@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyweave.functions import chat
-from tallyweave.operators import sft
+from tallyweave.operators import mix, sft
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
@@ -24,21 +24,40 @@ class DatasetSpec:
     keep: tuple[str, ...] = field(default=())
 
 
+@dataclass(frozen=True)
+class MixtureSpec:
+    """Named datasets and their weights. ``key`` identifies a row of each and is among its ``keep``."""
+
+    weights: Mapping[str, float]
+    key: str | tuple[str, ...]
+    seed: int | str = 0
+
+
 class Registry:
-    def __init__(self, specs: dict[str, DatasetSpec]):
+    def __init__(self, specs: Mapping[str, DatasetSpec | MixtureSpec]):
         self.specs = dict(specs)
 
-    def register(self, name: str, spec: DatasetSpec) -> None:
+    def register(self, name: str, spec: DatasetSpec | MixtureSpec) -> None:
         self.specs[name] = spec
 
     def names(self) -> list[str]:
         return sorted(self.specs)
 
     def resolve(self, spark: SparkSession, name: str, root: str) -> DataFrame:
-        """Prepared rows: ``messages``, or ``text`` for a plain-text corpus."""
+        """Prepared rows: ``messages``, or ``text`` for a plain-text corpus.
+
+        A mixture gives the drawn rows of its datasets, with ``slot``, ``source``, ``idx``
+        and ``pass``; its datasets are no mixtures themselves.
+        """
         if name not in self.specs:
             raise KeyError(f"unknown dataset {name!r}; known: {self.names()}")
         spec = self.specs[name]
+        if isinstance(spec, MixtureSpec):
+            nested = [n for n in spec.weights if isinstance(self.specs.get(n), MixtureSpec)]
+            if nested:
+                raise ValueError(f"{name!r} mixes mixtures: {nested}")
+            parts = {n: self.resolve(spark, n, root) for n in spec.weights}
+            return mix.mix_weighted(parts, spec.weights, spec.key, spec.seed)
         df = sft.language_filter(spec.reader(spark, root), spec.language)
         if spec.messages is None:
             return df.select(*spec.keep, "text")

@@ -120,12 +120,12 @@ def test_align_distributions(spark):
     assert got == {("x", 1, 0), ("y", 2, 5), ("z", 0, 7)}
 
 
-@pytest.mark.parametrize("head", [divergence.CENTER_ROWS, 1])
-def test_vector_drift_with_a_hot_group(spark, head):
+@pytest.mark.parametrize("held", [divergence.CENTER_BYTES, 32])
+def test_vector_drift_with_a_hot_group(spark, held):
     rows = [(i, 0 if i % 3 else i % 5, [RNG.random() for _ in range(4)]) for i in range(90)]
     df = spark.createDataFrame(rows, "id bigint, label int, v array<float>")
     centers = materialise(divergence.vector_means(df, "label", "v"), "c")
-    got = {r["label"]: (r["drift"], r["n"]) for r in divergence.vector_l2_drift(df, "label", "v", centers, head).collect()}
+    got = {r["label"]: (r["drift"], r["n"]) for r in divergence.vector_l2_drift(df, "label", "v", centers, held).collect()}
     for label in {r[1] for r in rows}:
         vs = [r[2] for r in rows if r[1] == label]
         mean = [sum(x) / len(vs) for x in zip(*vs)]
