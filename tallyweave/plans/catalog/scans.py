@@ -9,7 +9,7 @@ from tallyweave.functions import chat, text as tx
 from tallyweave.operators import rates, tasks
 from tallyweave.plans import fixtures as fx
 from tallyweave.plans.catalog.base import query
-from tallyweave.sources import readers, sinks
+from tallyweave.sources import arrow_tables, readers, sinks
 from tallyweave.sources.registry import DatasetSpec, Registry
 from tallyweave.sources.scratch import scratch_dir
 
@@ -92,6 +92,30 @@ def src_split(spark, sf):
     return split.select("doc_id", "text")
 
 
+@query("src_arrow_table", "select doc_id, lang, text from documents")
+def src_arrow_table(spark, sf):
+    """All documents, written as Arrow files and read by ranges of record batches, without two of the columns."""
+    path = scratch_dir(spark, "arrow-table")
+    arrow_tables.write_arrow_table(fx.documents(spark, sf), path)
+    return arrow_tables.read_arrow_table(spark, path, ["doc_id", "lang", "text"], task_bytes=1 << 20)
+
+
+@query(
+    "src_data_files",
+    "select case when lang like 'e%' then 'train' else 'validation' end as split, doc_id, text from documents",
+)
+def src_data_files(spark, sf):
+    """Each split from the files that the source names for it."""
+    root = scratch_dir(spark, "files")
+    fx.corpus(spark, sf).write.partitionBy("lang").json(root)
+    files = {"train": ["lang=en/*.json", "lang=e[!n]*/*.json"], "validation": "lang=[!e]*/*.json"}
+    schema = "doc_id bigint, text string"
+    parts = [
+        readers.read_data_files(spark, root, files, schema, split).select(F.lit(split).alias("split"), "doc_id", "text") for split in files
+    ]
+    return rates.union_all(parts)
+
+
 @query(
     "dataset_card",
     "select lang, count(*) as num_examples, cast(sum(strlen(text)) as bigint) as num_bytes from documents group by lang",

@@ -57,6 +57,23 @@ def read_split(
     return df if config is None else df.where(F.col(config_col) == config)
 
 
+def read_data_files(
+    spark: SparkSession, root: str, data_files: str | list[str] | dict, schema: T.StructType | str, split: str | None = None, fmt: str = "json"
+) -> DataFrame:
+    """The files that a source names: a path or glob under ``root``, several, or some for each split.
+
+    With splits only the files of the one that is asked for are opened; without a split all are.
+    """
+    if isinstance(data_files, dict):
+        if split is not None and split not in data_files:
+            raise KeyError(f"no data files for split {split!r}; known: {sorted(data_files)}")
+        chosen = list(data_files.values()) if split is None else [data_files[split]]
+    else:
+        chosen = [data_files]
+    paths = [p for x in chosen for p in ([x] if isinstance(x, str) else x)]
+    return spark.read.schema(schema).format(fmt).load([f"{root.rstrip('/')}/{p}" for p in paths])
+
+
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType | str, fmt: str = "json", glob: str | None = None, files_per_batch: int = 1000) -> DataFrame:
     """The same files as a stream."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)

@@ -44,12 +44,12 @@ def checkpoint_sums(results: DataFrame, flag: Column) -> DataFrame:
 def stream_ckpt_rates(results: DataFrame, flag: Column, out: str, checkpoint: str) -> None:
     """Keep the sums per (type, ckpt) current while result files land.
 
-    Complete mode rewrites the small table each batch, in a folder of its own
-    number, so a repeated batch replaces itself and a reader never sees half of one.
+    Complete mode rewrites the small table each batch, as a version of that number: a
+    repeated batch replaces itself, a reader never sees half of one, old ones are removed.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        sinks.write_version(batch, out, batch_id)
 
     (
         checkpoint_sums(results, flag)
@@ -65,9 +65,7 @@ def stream_ckpt_rates(results: DataFrame, flag: Column, out: str, checkpoint: st
 def read_ckpt_rates(spark, out: str) -> DataFrame:
     """Latest published rates, the baseline fanned out at read time (a stream does
     not know all types in advance)."""
-    versions = spark.read.parquet(out)
-    latest = versions.agg(F.max("version")).scalar()
-    sums = versions.where(F.col("version") == latest).drop("version")
+    sums = sinks.read_version(spark, out)
     rate = (F.col("rate__sum") / F.nullif(F.col("rate__n"), F.lit(0))).alias("rate")
     return rates.fan_out_sums(sums).select("dataset_type", "ckpt", rate, "n")
 
