@@ -122,16 +122,18 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         return _batch({"head": head.view(np.int64), "rest": rest.view(np.int64), "text_key": key, "doc_id": doc, "place": place})
 
     every = docs.mapInArrow(run, _ANCHOR)
-    return every.groupBy("head", "rest", "text_key", "place").agg(F.min("doc_id").alias("doc_id")).select("head", "rest", "doc_id", "place")
+    return every.groupBy("head", "rest", "text_key", "place").agg(F.min("doc_id").alias("doc_id")).select("head", "rest", "text_key", "doc_id", "place")
 
 
 def neighbours(sorted_anchors: DataFrame) -> DataFrame:
-    """Suffixes with an equal head beside them: ``doc_id, place, settled, look``.
+    """Suffixes with an equal head beside them: ``text_key, doc_id, place, settled, look``.
 
     ``settled``: a neighbour has the same rest. ``look``: its windows are to be looked up.
     """
 
-    def judge(head: np.ndarray, rest: np.ndarray, doc: np.ndarray, place: np.ndarray, edge_first: bool, edge_last: bool, keep: slice):
+    def judge(
+        head: np.ndarray, rest: np.ndarray, key: np.ndarray, doc: np.ndarray, place: np.ndarray, edge_first: bool, edge_last: bool, keep: slice
+    ):
         n = len(head)
         same_head, same_rest = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
         same_head[1:n] = head[1:] == head[:-1]
@@ -146,7 +148,7 @@ def neighbours(sorted_anchors: DataFrame) -> DataFrame:
         pick = np.zeros(n, bool)
         pick[keep] = True
         pick &= near
-        return _batch({"doc_id": doc[pick], "place": place[pick], "settled": settled[pick], "look": look[pick]})
+        return _batch({"text_key": key[pick], "doc_id": doc[pick], "place": place[pick], "settled": settled[pick], "look": look[pick]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Two rows are held back: the last one is judged with its follower at hand.
@@ -155,7 +157,7 @@ def neighbours(sorted_anchors: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [long_array(batch.column(c)) for c in ("head", "rest", "doc_id", "place")]
+            columns = [long_array(batch.column(c)) for c in ("head", "rest", "text_key", "doc_id", "place")]
             fresh = held is None
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
@@ -172,7 +174,7 @@ def neighbours(sorted_anchors: DataFrame) -> DataFrame:
         if held is not None:
             yield judge(*held, edge_first=first, edge_last=True, keep=slice(0 if first else 1, None))
 
-    return sorted_anchors.mapInArrow(run, "doc_id bigint, place bigint, settled boolean, look boolean")
+    return sorted_anchors.mapInArrow(run, "text_key bigint, doc_id bigint, place bigint, settled boolean, look boolean")
 
 
 def windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -248,7 +250,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     non-white characters, compared exactly.
 
     Null and empty texts, and texts under ``length`` words, have no passages. Rows with
-    the same id are one document: repeated rows do not repeat each other. Rows without
+    the same id are one document, whose ranges are those of all its texts together:
+    repeated rows do not repeat each other. Rows without
     an id cannot be named and are left out. Empty tables give no rows; other columns are
     not read.
     """
@@ -257,11 +260,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     keyed = source.select("doc_id", F.xxhash64(F.lit("passages"), "text").alias("text_key"), "text")
     kept = materialise(anchors(keyed, length, gram), "anchors")
-    ordered = kept.repartitionByRange("head", "rest", "doc_id", "place").sortWithinPartitions("head", "rest", "doc_id", "place")
+    order = ("head", "rest", "doc_id", "place", "text_key")
+    ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order)
     near = materialise(neighbours(ordered), "anchor-neighbours")
 
-    places = near.where("look").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    looked = materialise(windows(source.join(places, "doc_id"), length, gram), "windows")
+    # Rows of one id may have different texts: a place belongs to one of them.
+    places = near.where("look").groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))
+    held = keyed.join(places, ["doc_id", "text_key"]).select("doc_id", "text", "places")
+    looked = materialise(windows(held, length, gram), "windows")
     firsts = looked.groupBy("head", "window").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high")
     hits = looked.join(firsts.select("head", "window", "low"), ["head", "window"])
     open_spans = hits.select(

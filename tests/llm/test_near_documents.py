@@ -283,3 +283,15 @@ def test_rows_of_one_id_lose_their_own_lines_only(spark, frame):
     out = near_lines.drop_lines(frame(rows), exact_chars=1)
     want = [(0, rows[0][1]), (1, "top"), (1, rows[2][1]), (2, rows[3][1])]
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(want)
+
+
+def test_passages_of_one_id_with_different_texts(spark, frame):
+    """Ids that come with a short, a long and another long text; the long ones share a passage with other ids."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    shared = [rng.choice(words) for _ in range(70)]
+    own = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = [(1, ["short"]), (1, own(30) + shared), (1, own(80)), (2, shared + own(20)), (3, own(90)), (1, ["short"])]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    got = {r["doc_id"]: [tuple(x) for x in r["repeated"]] for r in passages.repeated_passages(frame(rows)).collect()}
+    assert got == {1: [(30, 100)], 2: [(0, 70)]}
