@@ -184,9 +184,10 @@ def test_token_files(spark, frame, tmp_path):
     rows = [(5, "It's a <|endoftext|> test, İ \x1c ok..."), (2, None), (None, "null id"), (9, ""), (2, "twice"), (7, "Σας 日本 " * 3000)]
     path = f"{tmp_path}/tokens"
     token_files.write_tokens(frame(rows), path, WORDS, 1)
+    key = {r["t"]: r["k"] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) as k").collect()}
     library = Tokenizer.from_str(WORDS)
     want, start = [], 0
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, key[r[1]])):
         ids = library.encode(t or "", add_special_tokens=False).ids + [1]
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
@@ -209,6 +210,38 @@ PAGES = [
 ]
 
 
+def test_rows_without_id_are_spread(spark, tmp_path):
+    """A third of the ids is null, and one id has as many rows: both are cut into several parts."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 5) for i in range(3000)]
+    path = f"{tmp_path}/tokens"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for tables that are not small
+    try:
+        token_files.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), path, WORDS, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = spark.read.orc(path)
+    per_part = [r["count"] for r in written.groupBy("part").count().collect()]
+    assert sum(per_part) == 3000 and max(per_part) < 900
+    got = token_files.read_tokens(spark, path).orderBy("start").collect()
+    ids = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert ids == sorted(ids)
+    starts = np.cumsum([0] + [r["n_tokens"] for r in got])
+    assert [r["start"] for r in got] == starts[:-1].tolist()
+
+
+def test_pieces_are_forgotten(monkeypatch):
+    """A very small store of pieces gives the same ids."""
+    texts = ["Some words, and some more.", "more words; less!", None, "words words", "İ <|x|> a\tb\x0bc", "é" * 200] * 4
+    library = Tokenizer.from_str(WORDS)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kept in (1_000_000, 3):
+        monkeypatch.setattr(token_files, "_KEPT", kept)
+        encoder = token_files.PieceEncoder(WORDS)
+        for at in range(0, len(texts), 3):
+            flat, ends = encoder.ids(texts[at : at + 3])
+            assert [x.tolist() for x in np.split(flat, ends[:-1])] == want[at : at + 3]
+
+
 def test_main_text(spark):
     df = spark.createDataFrame([(i, f"u{i}", h, "own") for i, (h, _) in enumerate(PAGES)] + [(None, None, PAGES[2][0], "own")], "page_id bigint, url string, html string, text string")
     got = html_text.main_text(df).collect()
