@@ -15,7 +15,8 @@ from tallyweave.streaming import jobs as sj
 
 
 def table_stream(spark, sf, name):
-    return readers.read_stream(spark, sf, schemas.TABLES[name], "parquet", f"{name}.parquet")
+    # As a pattern the name stands for one file and for a folder of files alike.
+    return readers.read_stream(spark, f"{sf}/{name}.parque[t]", schemas.TABLES[name], "parquet")
 
 
 def landed_results(spark, sf):

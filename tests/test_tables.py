@@ -6,8 +6,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.plans.catalog import QUERIES
 from tallyweave.sources import arrow_tables, readers, sinks
 
+SF = "/root/testdata/sf0.001"
+
 
 def arrow_files(folder, tables, stream=False, batch_rows=4):
     os.makedirs(folder, exist_ok=True)
@@ -117,3 +120,12 @@ def test_versions(spark, tmp_path):
     assert sinks.read_version(spark, folder).count() == 4
     sinks.write_version(spark.range(6), folder, 4)
     assert sinks.read_version(spark, folder).count() == 6
+
+
+@pytest.mark.parametrize("name", ["src_stream", "stream_prepare", "stream_metric_log"])
+def test_a_stream_reads_a_table_kept_as_a_folder(spark, name, tmp_path):
+    """One file or a folder of several files: the same rows."""
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    one, several = (QUERIES[name](spark, path) for path in (SF, str(tmp_path)))
+    assert one.count() > 0 and one.exceptAll(several).count() == several.exceptAll(one).count() == 0
