@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyweave.sources.scratch import materialise
 
 SCHEMA = "key string, reply string"
+#: Batches of one run, however many rows it asks for.
+MOST_BATCHES = 64
 
 
 def verdict_key(model: str, system: str | None, prompt: Column, temperature: float) -> Column:
@@ -21,8 +23,9 @@ def verdict_key(model: str, system: str | None, prompt: Column, temperature: flo
 class VerdictStore:
     """A folder of parquet files with one reply per key, to which batches are appended.
 
-    Prompts without a reply are asked in batches of about ``batch_rows``, and each batch is
-    committed before the next is asked. A run that breaks off loses its last batch at most.
+    Prompts without a reply are asked in batches of about ``batch_rows``, or of a
+    ``MOST_BATCHES``-th of them if that is more, and each batch is committed before the next
+    is asked. Of its last batch, a run that breaks off keeps the replies of finished tasks.
     Replies that failed are not kept, so a later run asks for them again. Two runs at the
     same time may ask twice; the reply that is read is the same for both (the least).
     """
@@ -43,10 +46,14 @@ class VerdictStore:
         """
         asked = rows.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.first("__prompt").alias("__prompt"))
         missing = materialise(asked.join(self.replies(), asked["__key"] == F.col("key"), "left_anti"), "unanswered")
-        batches = -(-missing.count() // self.batch_rows)
+        batches = min(-(-missing.count() // self.batch_rows), MOST_BATCHES)
+        numbered = missing.withColumn("batch", F.expr(f"pmod(xxhash64(__key), {max(1, batches)})"))
+        if batches > 1:  # no batch reads the rows of another
+            numbered = materialise(numbered, "batches", "batch")
         for number in range(batches):
-            batch = missing.where(F.expr(f"pmod(xxhash64(__key), {batches}) = {number}"))
-            found = ask(batch).where(F.col("__reply").isNotNull())
-            found.select(F.col("__key").alias("key"), F.col("__reply").alias("reply")).write.mode("append").parquet(self.path)
+            found = ask(numbered.where(F.col("batch") == number).drop("batch")).where(F.col("__reply").isNotNull())
+            replies = found.select(F.col("__key").alias("key"), F.col("__reply").alias("reply"))
+            # Version 2: what a task wrote is in place when the task ends, not when the job does.
+            replies.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", 2).parquet(self.path)
         known = self.replies().select(F.col("key").alias("__key"), F.col("reply").alias("__reply"))
         return rows.join(known, "__key", "left")

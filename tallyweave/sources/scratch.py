@@ -18,8 +18,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once and read back: later plans start from files that survive lost executors."""
+def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write once and read back: later plans start from files that survive lost executors.
+
+    With columns ``by`` each of their values has files of its own, and a filter on them
+    opens no others.
+    """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

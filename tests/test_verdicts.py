@@ -6,7 +6,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tallyweave.operators import judging
+from harness import plan_text
+from tallyweave.operators import judging, verdicts
 from tallyweave.operators.verdicts import VerdictStore, verdict_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the hooks below travel with the tasks
@@ -89,6 +90,21 @@ def test_a_run_that_breaks_off_keeps_its_batches(spark, rows, tmp_path):
     assert whole == scores(judging.ScoreJudge(lambda: Logged(tmp_path / "plain")), rows)
 
 
+def test_batches_are_few_and_each_reads_its_own_rows(spark, tmp_path, monkeypatch):
+    """Neither the jobs nor the rows that they read grow with prompts times batches."""
+    monkeypatch.setattr(verdicts, "MOST_BATCHES", 4, raising=False)
+    prompts = spark.range(40).selectExpr("string(id) as __key", "concat('p', id) as __prompt")
+    store, plans = VerdictStore(spark, str(tmp_path / "store"), batch_rows=2), []
+
+    def ask(df):
+        plans.append(plan_text(df))
+        return df.withColumn("__reply", F.upper("__prompt"))
+
+    got = store.answered(prompts, ask)
+    assert {tuple(r) for r in got.select("__prompt", "__reply").collect()} == {(f"p{i}", f"P{i}") for i in range(40)}
+    assert 1 < len(plans) <= 4 and all("PartitionFilters: [isnotnull(batch" in p for p in plans)
+
+
 def test_system_turn_and_temperature_reach_the_hook(spark, rows):
     class Strict(judging.LetterJudge):
         system = "You are strict."
