@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Series -> Series, or several Series -> Series.
 SeriesFn = Callable[..., pd.Series]
+#: Bytes of rows that a batch function gets at a time.
+PIECE_BYTES = 4 << 20
 
 
 def row_map(df: DataFrame, name: str, fn: Column | SeriesFn, inputs: list[str], returns: str) -> DataFrame:
@@ -23,12 +27,28 @@ def row_map(df: DataFrame, name: str, fn: Column | SeriesFn, inputs: list[str],
     return df.withColumn(name, apply(*inputs))
 
 
-def batch_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Batch function; it may change the row count."""
+def pieces(pdf: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """The rows of a batch in order, about ``most`` bytes at a time; a longer row is a piece of its own."""
+    size = np.zeros(len(pdf), np.int64)
+    for _, column in pdf.items():
+        size += np.array([sys.getsizeof(x) for x in column], np.int64)
+    start = 0
+    for end in [*(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), len(pdf)]:
+        yield pdf.iloc[start:end]
+        start = end
+
+
+def batch_map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Batch function; it may change the row count.
+
+    A batch holds thousands of rows of any length, and what a function makes of them can be
+    many times as much; so it gets pieces of bounded size.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield fn(pdf)
+            for piece in pieces(pdf, piece_bytes):
+                yield fn(piece)
 
     return df.mapInPandas(run, schema)
 

@@ -3,6 +3,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +270,16 @@ def test_metadata_types_are_brought_together(spark):
 def test_messages_schema_is_checked(spark):
     with pytest.raises(ValueError):
         sft.require_messages(spark.createDataFrame([(["x"],)], "messages array<string>"))
+
+
+def test_a_batch_function_gets_pieces_of_bounded_size(spark):
+    """Thousands of long rows, and some very long ones: all rows once, in order, never many bytes at a time."""
+    texts = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('x', if(id % 500 = 0, 50000, 1000)) as t")
+
+    def sizes(pdf):
+        return pdf.assign(n=pdf["t"].str.len().sum(), rows=len(pdf))[["id", "n", "rows"]]
+
+    got = hooks.batch_map(texts, sizes, "id bigint, n bigint, rows bigint", piece_bytes=40_000).collect()
+    assert [r["id"] for r in got] == list(range(3000))
+    assert max(r["n"] for r in got) < 2 * 50_000 and 1 < max(r["rows"] for r in got) <= 40
+    assert [len(p) for p in hooks.pieces(pd.DataFrame({"a": []}), 10)] == [0]
