@@ -39,13 +39,22 @@ _SEED = 42
 _SLICE = 1 << 16
 
 
-def text_fingerprint(text: str | None, words: int) -> int:
-    """Unsigned 64-bit fingerprint; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; a text of fewer words is one shingle."""
     w = utf8(text).translate(LOWER).split()
     if not w:
-        return 0
+        return np.zeros(0, "<u8")
     shingles = zip(*(w[i:] for i in range(words))) if len(w) >= words else [w]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(_SEED)), dtype="<u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(_SEED)), dtype="<u8")
+
+
+def text_fingerprint(text: str | None, words: int) -> int:
+    """Unsigned 64-bit fingerprint; 0 for a text without words."""
+    return fingerprint(shingle_hashes(text, words))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _SLICE):
         part = hashes[at : at + _SLICE]

@@ -115,6 +115,26 @@ def test_near_sets_equal_brute_force(spark, frame, block):
     assert near_sets.keep_one(frame([])).count() == 0
 
 
+def test_near_sets_find_candidates_by_fingerprint(spark, frame):
+    """Without any shared shingle key, the links among texts that reach each other by 3 bits are all there."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randint(0, 900)}" for _ in range(rng.choice([300, 1500]))]
+        texts += [" ".join(w), " ".join([*w[:9], "other", *w[10:]]), " ".join(w[: len(w) * 3 // 5])]
+    prints = [plain_fingerprint(t, 5) for t in texts]
+    sets = [plain_shingles(t, 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    reach = roots(len(texts), [(i, j) for i, j in pairs if bin(prints[i] ^ prints[j]).count("1") <= 3])
+    linked = [(i, j) for i, j in pairs if reach[i] == reach[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    rows = near_sets._with_sets(frame(list(enumerate(texts))).selectExpr("struct(doc_id) as row", "text"), 5).collect()
+    number = {r["sig"]: r["row"]["doc_id"] for r in rows}
+    assert [r["fp"] % (1 << 64) for r in sorted(rows, key=lambda r: r["row"]["doc_id"])] == prints
+    df = spark.createDataFrame([(r["text"], r["sig"], r["fp"], []) for r in rows], "text string, sig bigint, fp bigint, keys array<bigint>")
+    found = [(number[r["a"]], number[r["b"]]) for r in near_sets.links(df).collect()]
+    assert linked and roots(len(texts), found) == roots(len(texts), linked)
+
+
 def plain_passages(docs, length):
     at = collections.defaultdict(set)
     for d, t in docs:
