@@ -135,6 +135,41 @@ def test_near_sets_find_candidates_by_fingerprint(spark, frame):
     assert linked and roots(len(texts), found) == roots(len(texts), linked)
 
 
+@pytest.mark.parametrize("meet", [1, 3, near_sets.MEET])
+def test_near_sets_meet_in_pairs_or_groups(spark, meet):
+    rng = random.Random(meet)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(rng.choice([40, 90, 200]))] for _ in range(6)]
+    texts = []
+    for _ in range(90):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 9)}"
+        texts.append(" ".join(w[rng.choice([0, 0, 3, 9]) :]))
+    sets = [plain_shingles(t, 5) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    rows = near_sets._with_sets(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), 5).localCheckpoint()
+    number = {}
+    for r in rows.orderBy("id").collect():
+        number.setdefault(r["sig"], r["id"])
+    found = [(number[r["a"]], number[r["b"]]) for r in near_sets.links(rows, meet=meet).collect()]
+    same = [(i, min(j for j in range(i + 1) if sets[j] == sets[i])) for i in range(len(sets))]
+    assert roots(len(texts), found + same) == roots(len(texts), linked)
+
+
+def test_near_sets_move_no_chain_of_texts(spark, frame, monkeypatch):
+    """Texts that share half with the next one each are compared in pairs, not all with all."""
+    texts = [" ".join(f"w{i + k // 60}x{k % 60}" for k in range(120)) for i in range(60)]
+    moved, verified = [], near_sets._verified
+
+    def counted(rows, words):
+        moved.append(rows.count())
+        return verified(rows, words)
+
+    monkeypatch.setattr(near_sets, "_verified", counted)
+    assert near_sets.keep_one(frame(list(enumerate(texts))), block=4).count() == len(texts)
+    assert sum(moved) <= 2 * len(texts)
+
+
 def plain_passages(docs, length):
     at = collections.defaultdict(set)
     for d, t in docs:

@@ -1,6 +1,8 @@
 """Rates, sources, sinks, judges, hooks, streams."""
 
+import glob
 import json
+import os
 import time
 
 import pandas as pd
@@ -151,6 +153,26 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
         scratch.scratch_dir(Session(), "x")
 
 
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {p for d in folders for p in glob.glob(f"{d}/*/shuffle_*") if os.path.getsize(p) > 50_000}
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        table = scratch.materialise(spark.range(200_000).repartition("id"), "x")
+        assert spark.conf.get(setting) == "false"
+    finally:
+        spark.conf.unset(setting)
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert table.count() == 200_000
+    path = table._scratch_path
+    scratch.discard(table)
+    assert os.path.isdir(os.path.dirname(path)) and not os.path.exists(path)
+
+
 def test_a_failed_call_is_a_null_verdict(spark):
     def ask(messages, temperature):
         if "bad" in messages[-1]["content"]:
