@@ -1,6 +1,7 @@
 """SimHash, repeated passages and surplus lines against brute force."""
 
 import collections
+import os
 import random
 
 import numpy as np
@@ -350,3 +351,15 @@ def test_passages_of_one_id_with_different_texts(spark, frame):
     rows = [(i, " ".join(t)) for i, t in texts]
     got = {r["doc_id"]: [tuple(x) for x in r["repeated"]] for r in passages.repeated_passages(frame(rows)).collect()}
     assert got == {1: [(30, 100)], 2: [(0, 70)]}
+
+
+def test_line_stage_removes_its_texts_and_filters(spark, frame):
+    """What is read only while lines are compared goes; the result can be read twice after that."""
+    base = "a line of words that is long enough to be compared with others "
+    df = frame([(i, f"{base}{i}\nother {i} line number of a document {i}") for i in range(20)])
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    out = near_lines.surplus_lines(df)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left == {"line-places", "first-lines", "near-lines"}
+    assert out.count() == out.count() >= 19
