@@ -174,7 +174,15 @@ def judged(
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    # The document rides along as one column, so that it comes back as it was.
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
-    return judged(whole, "_doc.text", **options).where("kept").select("_doc.*")
+    """The documents that are kept, with their own columns.
+
+    A text is known by its hashes in what is written, so that no table holds the texts a
+    second time; a null text is never kept.
+    """
+    known = F.xxhash64("text"), F.xxhash64(F.lit("text"), "text")
+    hashed = docs.select(known[0].alias("_h1"), known[1].alias("_h2"), "text")
+    kept = judged(hashed, carry=("_h1", "_h2"), **options).where("kept").select("_h1", "_h2").distinct()
+    # The document rides along as one column, so that no name can clash.
+    whole = docs.select(*(k.alias(f"_{i}") for i, k in enumerate(known)), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    found = whole.join(kept.hint("shuffle_hash"), (F.col("_0") == F.col("_h1")) & (F.col("_1") == F.col("_h2")), "left_semi")
+    return found.select(*(F.col(f"_doc.`{c}`") for c in docs.columns))

@@ -363,3 +363,83 @@ def test_line_stage_removes_its_texts_and_filters(spark, frame):
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
     assert left == {"line-places", "first-lines", "near-lines"}
     assert out.count() == out.count() >= 19
+
+
+def test_line_passes_have_each_key_once():
+    limits = near_lines.LIMITS
+    counts = [(7, 90), (20, 5), (21, 4), (22, 3), (30, 100), (41, 2), (500, 1)]
+    found = near_lines.passes(counts, limits, 30)
+    assert [p[:2] for p in found] == [(20, 22), (22, 23), *[(30, 31)] * 10, (41, 501)]
+    assert max(p.keys for p in found) <= 30
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64)
+    assert sum(p.own(keys).astype(int) for p in found if p.low == 30).tolist() == [1] * 1000
+
+
+def test_lines_meet_in_passes(spark, frame, monkeypatch):
+    """Many passes with small filters find what one finds, and their rows are gone when the next begins."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (21, 21, 39, 41, 125)]
+    df = frame([(d, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 1, 2, 5])) for _ in range(4))) for d in range(40)])
+    want = sorted(map(tuple, near_lines.line_classes(df).collect()))
+    folder, seen, keyed = spark.conf.get("spark.checkpoint.dir"), [], near_lines._keyed
+    before = set(os.listdir(folder))
+
+    def counted(*args):
+        seen.append({name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before})
+        return keyed(*args)
+
+    monkeypatch.setattr(near_lines, "PASS_KEYS", 150)
+    monkeypatch.setattr(near_lines, "_keyed", counted)
+    assert sorted(map(tuple, near_lines.line_classes(df).collect())) == want
+    assert len(seen) > 4 and set.union(*seen) == {"line-places", "first-lines", "first-texts", "near-lines"}
+
+
+def test_shingles_of_one_set_are_not_shuffled(spark):
+    one, two, three, four, both = (xxhash.xxh64_intdigest(str(i)) >> 1 for i in range(5))
+    rows = [(1, [both, one]), (2, [two, both]), (3, [three, four]), (3, [three, four])]
+    sets = near_sets._sets(spark.createDataFrame(rows, "sig bigint, keys array<bigint>"))
+    for parts in (1, 3):
+        got = [tuple(r) for part in range(parts) for r in near_sets._shared_keys(sets, part, parts, 1 << 12).collect()]
+        assert sorted(got) == [(both, 1, 2, 0, bytes(64)), (both, 2, 2, 1, bytes(64))]
+
+
+def test_near_sets_in_passes(spark, frame, monkeypatch):
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(80)] for _ in range(5)]
+    texts = [" ".join([f"v{rng.randint(0, 9)}" if rng.random() < 0.02 else x for x in rng.choice(base)]) for _ in range(60)]
+    df = frame(list(enumerate(texts)))
+    want = sorted(r["doc_id"] for r in near_sets.keep_one(df).collect())
+    passes, met = [], near_sets._shared_keys
+    monkeypatch.setattr(near_sets, "PASS_KEYS", 300)
+    monkeypatch.setattr(near_sets, "_shared_keys", lambda *args: passes.append(args[1]) or met(*args))
+    assert sorted(r["doc_id"] for r in near_sets.keep_one(df).collect()) == want and len(want) < 60
+    assert len(passes) > 2
+
+
+def test_drop_lines_leaves_only_its_surplus(spark, frame):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    near_lines.drop_lines(frame([(i, f"a line of words that is long enough {i}\nmenu") for i in range(9)]), exact_chars=1)
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before} == {"surplus-lines"}
+
+
+def test_sketches_are_never_further_apart_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        b = np.unique(np.r_[a[: n // 2], rng.integers(0, 1 << 63, n // 2).astype(np.uint64) << np.uint64(1)])
+        one, two = (np.frombuffer(near_sets.sketch(x), np.uint8)[None, :] for x in (a, b))
+        got = near_sets.sketch_distance(np.r_[one, one], np.r_[one, two]).tolist()
+        assert got[0] == 0 and got[1] <= len(np.setxor1d(a, b))
+
+
+def test_sets_of_a_common_shingle_move_no_texts(spark, frame, monkeypatch):
+    """Texts with one passage in common, more than meet in one task, are told apart without their texts."""
+    rng = random.Random(6)
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts = [" ".join([shared, *(f"w{rng.randint(0, 10**9)}" for _ in range(100))]) for _ in range(90)]
+    moved, verified = [], near_sets._verified
+    monkeypatch.setattr(near_sets, "_common", lambda *_: near_sets.NO_COMMON)
+    monkeypatch.setattr(near_sets, "_verified", lambda rows, words: moved.append(rows.count()) or verified(rows, words))
+    assert near_sets.keep_one(frame(list(enumerate(texts))), block=4).count() == len(texts)
+    assert sum(moved) <= len(texts)

@@ -79,6 +79,15 @@ def test_quality_on_labelled_documents(spark):
     assert not any(failed and kept for _, failed, kept in n)
 
 
+def test_keep_good_writes_no_texts(frame, monkeypatch):
+    written, write = [], weak_rules.materialise
+    monkeypatch.setattr(weak_rules, "materialise", lambda df, label: written.append(df.schema.simpleString()) or write(df, label))
+    good = " ".join(f"word{i} and. \n" for i in range(120))
+    rows = [(1, good), (1, good), (None, good), (2, "few"), (3, None)]
+    assert [(r["doc_id"], r["text"]) for r in weak_rules.keep_good(frame(rows)).orderBy("doc_id").collect()] == [(None, good), (1, good), (1, good)]
+    assert written and "string" not in written[0]
+
+
 def test_keep_good(spark, frame):
     rows = [(i, f"These are the plain words of a text about number {i}. " * 1 + " ".join(f"word{i}x{j}" for j in range(120)) + ".") for i in range(8)]
     df = frame(rows + [(50, None), (51, ""), (None, rows[0][1]), (1, rows[1][1])])
