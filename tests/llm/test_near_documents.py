@@ -428,9 +428,9 @@ def test_sketches_are_never_further_apart_than_sets():
     for n in (1, 40, 3000):
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
         b = np.unique(np.r_[a[: n // 2], rng.integers(0, 1 << 63, n // 2).astype(np.uint64) << np.uint64(1)])
-        one, two = (np.frombuffer(near_sets.sketch(x), np.uint8)[None, :] for x in (a, b))
-        got = near_sets.sketch_distance(np.r_[one, one], np.r_[one, two]).tolist()
-        assert got[0] == 0 and got[1] <= len(np.setxor1d(a, b))
+        wide, narrow = [near_sets.sketch(x) for x in (a, b)], [near_sets.folded(near_sets.sketch(x)) for x in (a, b)]
+        assert near_sets._apart(*wide) <= len(np.setxor1d(a, b)) and near_sets._apart(*narrow) <= near_sets._apart(*wide)
+        assert near_sets._apart(wide[0], narrow[0]) == 0 and {len(x) for x in narrow} == {near_sets.COUNTERS // 2}
 
 
 def test_sets_of_a_common_shingle_move_no_texts(spark, frame, monkeypatch):
@@ -443,3 +443,16 @@ def test_sets_of_a_common_shingle_move_no_texts(spark, frame, monkeypatch):
     monkeypatch.setattr(near_sets, "_verified", lambda rows, words: moved.append(rows.count()) or verified(rows, words))
     assert near_sets.keep_one(frame(list(enumerate(texts))), block=4).count() == len(texts)
     assert sum(moved) <= len(texts)
+
+
+def test_long_sets_are_told_apart_without_their_texts(spark, frame, monkeypatch):
+    rng = random.Random(7)
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts = [" ".join([shared, *(f"w{rng.randint(0, 10**9)}" for _ in range(6000))]) for _ in range(12)]
+    texts.append(texts[0].replace(" s5 ", " other "))
+    moved, verified = [], near_sets._verified
+    monkeypatch.setattr(near_sets, "_common", lambda *_: near_sets.NO_COMMON)
+    monkeypatch.setattr(near_sets, "_same_fingerprint", lambda rows, held: rows.sparkSession.createDataFrame([], "a bigint, b bigint"))
+    monkeypatch.setattr(near_sets, "_verified", lambda rows, words: moved.append(rows.count()) or verified(rows, words))
+    assert near_sets.keep_one(frame(list(enumerate(texts)))).count() == len(texts) - 1
+    assert sum(moved) == 2
