@@ -168,19 +168,20 @@ def union_eval_sets(
     ``builders`` maps a set name to a function without arguments that returns a DataFrame.
     Each set is computed and written by tagged jobs of its own, ``workers`` sets at a time,
     so that one that cannot be read, or fails while it runs, leaves the others whole: its
-    other jobs are cancelled, nothing of it comes out, and its status row holds the error.
+    other jobs are cancelled, nothing of it comes out, and its status row holds the error's
+    name and the first line of its message.
     """
     context, run = spark.sparkContext, uuid.uuid4().hex
 
-    def finish(place: int, build: Callable[[], DataFrame]) -> tuple[DataFrame | None, str | None]:
+    def finish(place: int, build: Callable[[], DataFrame]) -> tuple[DataFrame | None, str | None, str | None]:
         tag = f"eval-set-{run}-{place}"
         context.addJobTag(tag)
         try:
-            return materialise(build(), "eval-set"), None
+            return materialise(build(), "eval-set"), None, None
         except Exception as error:  # noqa: BLE001 - one bad set must not stop the others
             context.cancelJobsWithTag(tag)
             lines = [line for line in str(error).splitlines() if line.strip()]
-            return None, f"{type(error).__name__}: {lines[0] if lines else ''}"[:ERROR_CHARS]
+            return None, type(error).__name__, (lines[0] if lines else "")[:ERROR_CHARS]
         finally:
             context.removeJobTag(tag)
 
@@ -188,9 +189,9 @@ def union_eval_sets(
         # Each task inherits this thread's settings, and has job tags of its own.
         jobs = [pool.submit(inheritable_thread_target(spark)(finish), i, build) for i, build in enumerate(builders.values())]
         done = [job.result() for job in jobs]
-    status = [(name, error is None, error) for name, (_, error) in zip(builders, done)]
-    report = spark.createDataFrame(status, "set_name string, ok boolean, error string")
-    frames = [frame for frame, _ in done if frame is not None]
+    status = [(name, error is None, error, message) for name, (_, error, message) in zip(builders, done)]
+    report = spark.createDataFrame(status, "set_name string, ok boolean, error string, message string")
+    frames = [frame for frame, *_ in done if frame is not None]
     return (union_all(frames) if frames else None), report
 
 
